@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moltide.operators import parse_faults
+from moltide.operators import parse_faults, spikes
 from moltide.plans.tables import table
 
 
@@ -18,5 +18,9 @@ def p1_headers(spark, sf_dir):
     return parse_faults.sound_headers(table(spark, sf_dir, "xyz_lines"), table(spark, sf_dir, "elements"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_atoms": p1_atoms, "p1_headers": p1_headers}
+def p2_found(spark, sf_dir):
+    return spikes.faulty(table(spark, sf_dir, "atoms"), table(spark, sf_dir, "frames"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_atoms": p1_atoms, "p1_headers": p1_headers, "p2_found": p2_found}
 SQL: dict[str, str] = {}
