@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from moltide.operators import parse_faults, spikes
+from moltide.operators import drift, parse_faults, spikes
 from moltide.plans.tables import table
 
 
@@ -22,5 +22,17 @@ def p2_found(spark, sf_dir):
     return spikes.faulty(table(spark, sf_dir, "atoms"), table(spark, sf_dir, "frames"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_atoms": p1_atoms, "p1_headers": p1_headers, "p2_found": p2_found}
+def p3_found(spark, sf_dir):
+    return drift.changes(table(spark, sf_dir, "file_headers"))
+
+
+def p3_statistics(spark, sf_dir):
+    return drift.path_statistics(table(spark, sf_dir, "file_headers")).drop("written_at")
+
+
+def p3_table(spark, sf_dir):
+    return drift.consistent_table(table(spark, sf_dir, "file_headers"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_atoms": p1_atoms, "p1_headers": p1_headers, "p2_found": p2_found, "p3_found": p3_found, "p3_statistics": p3_statistics, "p3_table": p3_table}
 SQL: dict[str, str] = {}
