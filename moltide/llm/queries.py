@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from moltide.llm import components, runs
+from moltide.llm import components, runs, tokens
 from moltide.plans.tables import table
 
 
@@ -24,7 +24,18 @@ def p5_near_runs(spark, sf_dir):
     return runs.runs(runs.contacts(table(spark, sf_dir, "dimers")), 0.5, 3)
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_near_runs": p5_near_runs}
+def p6_ids(spark, sf_dir):
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def p6_roundtrip(spark, sf_dir):
+    """Every document that decoding does not give back as it was, with its two lengths: no rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("was"))
+    back = tokens.decode(tokens.encode(table(spark, sf_dir, "documents"))).withColumnRenamed("text", "now")
+    return docs.join(back, "doc_id").where(F.col("was") != F.col("now")).select("doc_id", F.length("was").alias("n_was"), F.length("now").alias("n_now"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip} | {"p4_found": p4_found, "p5_found": p5_found, "p5_near_runs": p5_near_runs}
 
 SQL = {
     "p4_found": """
