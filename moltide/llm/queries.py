@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from moltide.llm import components, runs, tokens
+from moltide.llm import components, reading, runs, tokens
 from moltide.plans.tables import table
 
 
@@ -35,7 +35,11 @@ def p6_roundtrip(spark, sf_dir):
     return docs.join(back, "doc_id").where(F.col("was") != F.col("now")).select("doc_id", F.length("was").alias("n_was"), F.length("now").alias("n_now"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip} | {"p4_found": p4_found, "p5_found": p5_found, "p5_near_runs": p5_near_runs}
+def p8_found(spark, sf_dir):
+    return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+QUERIES = {"p8_found": p8_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip} | {"p4_found": p4_found, "p5_found": p5_found, "p5_near_runs": p5_near_runs}
 
 SQL = {
     "p4_found": """
