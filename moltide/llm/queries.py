@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from moltide.llm import components, reading, runs, tokens
+from moltide.llm import components, leakage, reading, runs, tokens
 from moltide.plans.tables import table
 
 
@@ -39,7 +39,11 @@ def p8_found(spark, sf_dir):
     return reading.levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
 
-QUERIES = {"p8_found": p8_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip} | {"p4_found": p4_found, "p5_found": p5_found, "p5_near_runs": p5_near_runs}
+def p7_found(spark, sf_dir):
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p7_found": p7_found, "p8_found": p8_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip} | {"p4_found": p4_found, "p5_found": p5_found, "p5_near_runs": p5_near_runs}
 
 SQL = {
     "p4_found": """
