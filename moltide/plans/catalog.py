@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from moltide.plans import data_quality
+from moltide.plans import data_quality, structure
 
-MODULES = (data_quality,)
+MODULES = (data_quality, structure)
 
 
 def queries() -> dict:

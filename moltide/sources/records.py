@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from moltide.sources.text_lines import chosen
 
-BOND = "donor int, hydrogen int, acceptor int, `R(D-A)` double, DHA_ang double, `r(D-H)` double"
+BOND = "donor: int, hydrogen: int, acceptor: int, `R(D-A)`: double, DHA_ang: double, `r(D-H)`: double"
 
 
 def hbond_records(bonds: DataFrame, frames: DataFrame) -> DataFrame:
     """(run_id, frame, n_hbonds, hbonds): one record per frame, frames without bonds included. A record holds one frame's bonds."""
     one = F.struct(F.col("a0").alias("donor"), F.col("a1").alias("hydrogen"), F.col("a2").alias("acceptor"), F.col("r_da").alias("R(D-A)"), F.col("angle").alias("DHA_ang"), F.col("r_dh").alias("r(D-H)"))
     g = bonds.groupBy("run_id", "frame").agg(F.array_sort(F.collect_list(one)).alias("hbonds"))
-    return frames.select("run_id", "frame").distinct().join(g, ["run_id", "frame"], "left").select("run_id", "frame", F.coalesce(F.size("hbonds"), F.lit(0)).alias("n_hbonds"), F.coalesce("hbonds", F.expr(f"from_json('[]', 'array<struct<{BOND.replace(' int', ': int').replace(' double', ': double')}>>')")).alias("hbonds"))
+    return frames.select("run_id", "frame").distinct().join(g, ["run_id", "frame"], "left").select("run_id", "frame", F.coalesce(F.size("hbonds"), F.lit(0)).alias("n_hbonds"), F.coalesce("hbonds", F.array().cast(f"array<struct<{BOND}>>")).alias("hbonds"))
 
 
 def dimer_records(contacts: DataFrame) -> DataFrame:
