@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from moltide.plans import data_quality, structure
+from moltide.plans import contacts, data_quality, dynamics, structure
 
-MODULES = (data_quality, structure)
+MODULES = (structure, dynamics, contacts, data_quality)
 
 
 def queries() -> dict:
