@@ -72,6 +72,23 @@ def mic(d: Vec, lattice: str = "rows", exact: bool = False) -> Vec:
     return best["x"], best["y"], best["z"]
 
 
+def with_images(df: DataFrame, vectors: dict[str, Vec], lattice: str = "rows", periodic: bool = True) -> DataFrame:
+    """df with columns <name>x, <name>y, <name>z for each vector, by its nearest image if periodic.
+
+    Differences, whole cells and images are columns of their own, step by step: later expressions refer to them
+    instead of repeating them, which keeps plans small.
+    """
+    raw = "_" if periodic else ""
+    d = df.select("*", *[c.alias(f"{raw}{n}{k}") for n, vec in vectors.items() for c, k in zip(vec, "xyz", strict=True)])
+    if not periodic:
+        return d
+    e = (lambda m, i, j: f"{m}{i}{j}") if lattice == "rows" else (lambda m, i, j: f"{m}{j}{i}")
+    times = lambda x, m, j: " + ".join(f"{x}{k} * {e(m, i, j)}" for i, k in zip(AXES, "xyz", strict=True))
+    d = d.selectExpr("*", *[f"rint({times(f'_{n}', 'g', j)}) AS _{n}n{k}" for n in vectors for j, k in zip(AXES, "xyz", strict=True)])
+    d = d.selectExpr("*", *[f"_{n}{k} - ({times(f'_{n}n', 'h', j)}) AS {n}{k}" for n in vectors for j, k in zip(AXES, "xyz", strict=True)])
+    return d.drop(*[f"_{n}{m}{k}" for n in vectors for m in ("", "n") for k in "xyz"])
+
+
 def angle(p: Vec, q: Vec, degenerate: float | None = None) -> Column:
     """Angle in degrees between two vectors; with a vector of no length NaN, or the given value."""
     n = norm(p) * norm(q)
@@ -91,17 +108,19 @@ def cells(frames: DataFrame, *keys: str) -> DataFrame:
     """Cell columns per key (default run_id) from `lattice` (9 numbers) of the first frame that has one. A cell without volume gives null inverses."""
     keys = keys or ("run_id",)
     m = frames.where(F.size("lattice") == 9).groupBy(*keys).agg(F.min_by("lattice", "frame").alias("m"))
-    m = m.select(*keys, *[F.get("m", i).alias(n) for i, n in enumerate(CELL)])
+    m = m.selectExpr(*keys, *[f"get(m, {i}) AS {n}" for i, n in enumerate(CELL)])
     return with_inverse(m)
 
 
 def with_inverse(m: DataFrame) -> DataFrame:
-    h = lambda i, j: F.col(f"h{i}{j}")
     nxt = {1: 2, 2: 3, 3: 1}
-    cof = lambda i, j: h(nxt[i], nxt[j]) * h(nxt[nxt[i]], nxt[nxt[j]]) - h(nxt[i], nxt[nxt[j]]) * h(nxt[nxt[i]], nxt[j])
-    det = h(1, 1) * cof(1, 1) + h(1, 2) * cof(1, 2) + h(1, 3) * cof(1, 3)
-    m = m.withColumn("det", F.nullif(det, F.lit(0.0)))
-    return m.select("*", *[(cof(j, i) / F.col("det")).alias(f"g{i}{j}") for i in AXES for j in AXES], F.abs("det").alias("vol")).drop("det")
+
+    def cof(i, j):
+        i1, j1 = nxt[i], nxt[j]
+        return f"(h{i1}{j1} * h{nxt[i1]}{nxt[j1]} - h{i1}{nxt[j1]} * h{nxt[i1]}{j1})"
+
+    m = m.selectExpr("*", f"nullif(h11 * {cof(1, 1)} + h12 * {cof(1, 2)} + h13 * {cof(1, 3)}, 0D) AS det")
+    return m.selectExpr("*", *[f"{cof(j, i)} / det AS g{i}{j}" for i in AXES for j in AXES], "abs(det) AS vol").drop("det")
 
 
 def wrapped(s: Vec, center: tuple[float, float, float] = (0.5, 0.5, 0.5), eps: float = 1e-7, pbc=(True, True, True)) -> Vec:

@@ -85,11 +85,11 @@ def hbond_geometry(atoms: DataFrame, cells: DataFrame | None, triples: DataFrame
     """(run_id, frame, tuple_id, a0 donor, a1 hydrogen, a2 acceptor, symb0.., r_da, r_dh, angle at the hydrogen)."""
     p = _with_symbols(atoms, triples)
     p = p.join(cells, "run_id") if cells is not None else p
-    m = geom.mic if cells is not None else (lambda d: d)
-    leg = lambda i, j: m(geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}")))
+    leg = lambda i, j: geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}"))
+    p = geom.with_images(p, {"da": leg(0, 2), "dh": leg(0, 1), "hd": leg(1, 0), "ha": leg(1, 2)}, periodic=cells is not None)
     return p.select(
         *KEY, "tuple_id", "a0", "a1", "a2", "symb0", "symb1", "symb2",
-        geom.norm(leg(0, 2)).alias("r_da"), geom.norm(leg(0, 1)).alias("r_dh"), geom.angle(leg(1, 0), leg(1, 2)).alias("angle"),
+        geom.norm(geom.v("da")).alias("r_da"), geom.norm(geom.v("dh")).alias("r_dh"), geom.angle(geom.v("hd"), geom.v("ha")).alias("angle"),
     )
 
 

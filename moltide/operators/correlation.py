@@ -175,7 +175,7 @@ def vanhove_distinct(series: DataFrame, cells: DataFrame, pairs: DataFrame, lags
     a = a.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("frame", (F.col("frame") + F.col("lag")).cast("int"))
     b = series.select("run_id", F.col("frame").cast("int").alias("frame"), F.col("at_idx").alias("j"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
     p = a.join(b, ["run_id", "frame", "j"]).join(cells, "run_id")
-    d = p.select("run_id", "lag", geom.norm(geom.mic(geom.sub(geom.v("b"), geom.v("a")))).alias("d"))
+    d = geom.with_images(p, {"d": geom.sub(geom.v("b"), geom.v("a"))}).select("run_id", "lag", geom.norm(geom.v("d")).alias("d"))
     w = r_max / nbins
     h = histogram(d, F.col("d"), 0.0, r_max, nbins, "run_id", "lag")
     n = d.groupBy("run_id", "lag").agg(F.count("*").alias("n")).join(cells.select("run_id", "vol"), "run_id")

@@ -47,9 +47,9 @@ def tuple_angles(atoms: DataFrame, cells: DataFrame | None, tups: DataFrame, lat
     """(run_id, frame, tuple_id, angle): angle at the second atom of triples; degenerate (a leg without length) as given."""
     p = P.positions(atoms, tups)
     p = p.join(cells, "run_id") if cells is not None else p
-    leg = lambda k: geom.sub(geom.v(f"p{k}"), geom.v("p1"))
-    m = (lambda d: geom.mic(d, lattice)) if cells is not None else (lambda d: d)
-    return p.select(*KEY, "tuple_id", geom.angle(m(leg(0)), m(leg(2)), degenerate).alias("angle"))
+    legs = {f"leg{k}": geom.sub(geom.v(f"p{k}"), geom.v("p1")) for k in (0, 2)}
+    p = geom.with_images(p, legs, lattice, cells is not None)
+    return p.select(*KEY, "tuple_id", geom.angle(geom.v("leg0"), geom.v("leg2"), degenerate).alias("angle"))
 
 
 def tuple_dihedrals(atoms: DataFrame, cells: DataFrame | None, tups: DataFrame, signed: bool = False, lattice: str = "rows", degenerate: float = 90.0) -> DataFrame:
@@ -59,12 +59,12 @@ def tuple_dihedrals(atoms: DataFrame, cells: DataFrame | None, tups: DataFrame,
         raise ValueError("dihedrals need tuples of four or six atoms")
     p = P.positions(atoms, tups)
     p = p.join(cells, "run_id") if cells is not None else p
-    m = (lambda d: geom.mic(d, lattice)) if cells is not None else (lambda d: d)
-    step = lambda i, j: m(geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}")))
-    n1 = geom.cross(step(0, 1), step(1, 2))
-    n2 = geom.cross(step(1, 2), step(2, 3)) if n == 4 else geom.cross(step(3, 4), step(4, 5))
-    axis = step(1, 2) if signed else None
-    return p.select(*KEY, "tuple_id", geom.dihedral(n1, n2, axis, degenerate).alias("dihedral"))
+    steps = [(0, 1), (1, 2), (2, 3)] if n == 4 else [(0, 1), (1, 2), (3, 4), (4, 5)]
+    p = geom.with_images(p, {f"step{i}": geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}")) for i, j in steps}, lattice, cells is not None)
+    second = ("step1", "step2") if n == 4 else ("step3", "step4")
+    planes = {"na": geom.cross(geom.v("step0"), geom.v("step1")), "nb": geom.cross(geom.v(second[0]), geom.v(second[1]))}
+    p = geom.with_images(p, planes, periodic=False)
+    return p.select(*KEY, "tuple_id", geom.dihedral(geom.v("na"), geom.v("nb"), geom.v("step1") if signed else None, degenerate).alias("dihedral"))
 
 
 def adf(atoms: DataFrame, cells: DataFrame | None, tups: DataFrame, nbins: int = 200, lo: float = 0.0, hi: float = 180.0, cone: bool = True) -> DataFrame:

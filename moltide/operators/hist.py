@@ -22,13 +22,12 @@ def axis(spark, lo: float, hi: float, n: int) -> DataFrame:
 def histogram(df: DataFrame, value: Column, lo: float, hi: float, n: int, *keys: str) -> DataFrame:
     """(keys, bin, lo, hi, x, count) with every bin of every key that has rows. Counts combine before the shuffle."""
     counted = df.select(*keys, bin_of(value, lo, hi, n).alias("bin")).groupBy(*keys, "bin").agg(F.count("*").alias("count"))
-    bins = axis(df.sparkSession, lo, hi, n)
     if not keys:
-        return bins.join(F.broadcast(counted.where(F.col("bin").isNotNull())), "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    grid = counted.select(*keys).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    full = grid.join(counted, [*keys, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+        return axis(df.sparkSession, lo, hi, n).join(F.broadcast(counted.where(F.col("bin").isNotNull())), "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    # At most n counts a key: they fill the axis in one step, and the rows before are read once.
+    filled = counted.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "count")))).alias("m"))
     w = (hi - lo) / n
-    return full.select(*keys, "bin", (lo + F.col("bin") * w).alias("lo"), (lo + (F.col("bin") + 1) * w).alias("hi"), (lo + (F.col("bin") + 0.5) * w).alias("x"), "count")
+    return filled.selectExpr(*keys, f"explode(sequence(0, {n - 1})) AS bin", "m").selectExpr(*keys, "bin", f"{lo}D + bin * {w!r}D AS lo", f"{lo}D + (bin + 1) * {w!r}D AS hi", f"{lo}D + (bin + 0.5D) * {w!r}D AS x", "coalesce(m[bin], 0L) AS count")
 
 
 def histogram2d(df: DataFrame, x: Column, y: Column, rx: tuple[float, float, int], ry: tuple[float, float, int]) -> DataFrame:

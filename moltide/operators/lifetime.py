@@ -65,11 +65,9 @@ def lifetime_displacement(contacts: DataFrame, centers: DataFrame, cells: DataFr
     first = c.select(key, *ids, "place", *[F.col(a).alias(f"a{a}") for a in "xyz"])
     dead = c.select(key, *ids, F.col("place").alias("gone"), *[F.col(a).alias(f"b{a}") for a in "xyz"])
     j = o.withColumn("gone", F.col("place") + F.col("life")).join(first, [key, *ids, "place"]).join(dead, [key, *ids, "gone"])
-    d = geom.sub(geom.v("b"), geom.v("a"))
-    if cells is not None:
-        j = j.join(cells, key)
-        d = geom.mic(d)
-    return j.select(key, *ids, "place", "life", geom.norm(d).alias("dr"))
+    j = j.join(cells, key) if cells is not None else j
+    j = geom.with_images(j, {"d": geom.sub(geom.v("b"), geom.v("a"))}, periodic=cells is not None)
+    return j.select(key, *ids, "place", "life", geom.norm(geom.v("d")).alias("dr"))
 
 
 def dlddf(moved: DataFrame, dt_fs: float, tau: tuple[float, float, int], dr: tuple[float, float, int]) -> DataFrame:

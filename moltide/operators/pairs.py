@@ -79,9 +79,8 @@ def positions(atoms: DataFrame, tups: DataFrame, *carry: str) -> DataFrame:
 def vectors(placed: DataFrame, cells: DataFrame | None, i: int = 0, j: int = 1, lattice: str = "rows") -> DataFrame:
     """Adds dx, dy, dz from member i to member j; by the nearest image if cells are given."""
     p = placed.join(cells, "run_id") if cells is not None else placed
-    d = geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}"))
-    d = geom.mic(d, lattice) if cells is not None else d
-    return p.select(*placed.columns, *[c.alias(n) for c, n in zip(d, ("dx", "dy", "dz"), strict=True)])
+    d = geom.with_images(p, {"d": geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}"))}, lattice, cells is not None)
+    return d.select(*placed.columns, "dx", "dy", "dz")
 
 
 def neighbours(a: DataFrame, b: DataFrame, cells: DataFrame, cutoff: float, same: bool, lattice: str = "rows") -> DataFrame:
@@ -98,27 +97,27 @@ def neighbours(a: DataFrame, b: DataFrame, cells: DataFrame, cutoff: float, same
     if lattice == "columns":
         col = lambda j: tuple(F.col(f"h{k}{j}") for k in (1, 2, 3))
         thick = {k: F.col("vol") / geom.norm(geom.cross(col(i), col(j))) for k, i, j in ((1, 2, 3), (2, 3, 1), (3, 1, 2))}
-    c = cells
-    for k in (1, 2, 3):
-        n = F.floor(thick[k] / cutoff).cast("int")
-        c = c.withColumn(f"n{k}", F.when(n > 3, n).otherwise(1))
+    c = cells.select("*", *[F.floor(thick[k] / cutoff).cast("int").alias(f"n{k}") for k in (1, 2, 3)])
+    c = c.selectExpr("run_id", *geom.CELL, *geom.INVERSE, *[f"CASE WHEN n{k} > 3 THEN n{k} ELSE 1 END AS n{k}" for k in (1, 2, 3)])
 
     def gridded(d):
-        e = d.select(*KEY, "at_idx", "x", "y", "z").join(c, "run_id")
-        s = geom.to_frac(geom.v(""), lattice)
-        for k in (1, 2, 3):
-            # Fractions just below a whole number may round up to it: they belong to the first cell.
-            e = e.withColumn(f"c{k}", F.pmod(F.floor(F.pmod(s[k - 1], F.lit(1.0)) * F.col(f"n{k}")).cast("int"), F.col(f"n{k}")))
-        return e
+        e = d.select(*KEY, "at_idx", "x", "y", "z").join(F.broadcast(c) if _is_broadcast(cells) else c, "run_id")
+        frac = lambda j: " + ".join(f"{a} * " + (f"g{i}{j}" if lattice == "rows" else f"g{j}{i}") for i, a in zip((1, 2, 3), "xyz", strict=True))
+        # Fractions just below a whole number may round up to it: they belong to the first cell.
+        return e.selectExpr("*", *[f"pmod(int(floor(pmod({frac(k)}, 1D) * n{k})), n{k}) AS c{k}" for k in (1, 2, 3)])
 
     left = gridded(a).withColumnsRenamed({"at_idx": "i", "x": "ax", "y": "ay", "z": "az"})
     for k in (1, 2, 3):
-        around = F.when(F.col(f"n{k}") == 1, F.array(F.lit(0))).otherwise(F.array(*[F.pmod(F.col(f"c{k}") + o, F.col(f"n{k}")) for o in (-1, 0, 1)]))
-        left = left.withColumn(f"c{k}", F.explode(around))
+        left = left.withColumn(f"c{k}", F.expr(f"explode(CASE WHEN n{k} = 1 THEN array(0) ELSE array(pmod(c{k} - 1, n{k}), c{k}, pmod(c{k} + 1, n{k})) END)"))
     right = gridded(b).select(*KEY, F.col("at_idx").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), "c1", "c2", "c3")
     j = left.join(right, [*KEY, "c1", "c2", "c3"]).where(F.col("i") < F.col("j") if same else F.col("i") != F.col("j"))
-    d = geom.mic(geom.sub(geom.v("b"), geom.v("a")), lattice)
-    return j.select(*KEY, "i", "j", geom.norm(d).alias("dist")).where(F.col("dist") <= cutoff)
+    d = geom.with_images(j, {"d": geom.sub(geom.v("b"), geom.v("a"))}, lattice)
+    return d.select(*KEY, "i", "j", geom.norm(geom.v("d")).alias("dist")).where(F.col("dist") <= cutoff)
+
+
+def _is_broadcast(df: DataFrame) -> bool:
+    """Whether a table carries the broadcast hint of a checked size."""
+    return "ResolvedHint" in df._jdf.queryExecution().analyzed().getClass().getSimpleName()
 
 
 def find_d_a(sites: list[dict[str, int]]) -> tuple[list[dict[str, int]], list[dict[str, int]]]:

@@ -93,19 +93,19 @@ def dimers_flexible(spark, d):
 
 def survival(spark, d):
     c = K.dimers_distance(atoms(spark, d), cells(spark, d), P.tuples(spark, PAIRS), LIMIT)
-    return rounded(L.survival(c, atoms(spark, d), "run_id", ["tuple_id"], WINDOW), 5)
+    return rounded(L.survival(c, atoms(spark, d), "run_id", ["tuple_id"], WINDOW), 9)
 
 
 def survival_sampled(spark, d):
     c = K.dimers_distance(atoms(spark, d), cells(spark, d), P.tuples(spark, PAIRS), LIMIT)
-    return rounded(L.survival(c, atoms(spark, d), "run_id", ["tuple_id"], WINDOW, 3, 2), 5)
+    return rounded(L.survival(c, atoms(spark, d), "run_id", ["tuple_id"], WINDOW, 3, 2), 9)
 
 
 def survival_records(spark, d):
     """Survival of the hydrogen-bond lists of the dimers table, each stream's own frames."""
     t = table(spark, d, "dimers").where(F.col("stream_id").isNotNull() & F.col("frame").isNotNull() & F.col("d_h_a_pairs").isNotNull())
     c = records.contact_lists(t, ["stream_id", "frame"], "d_h_a_pairs", 3).select("stream_id", "frame", "a0", "a2").distinct()
-    return rounded(L.survival(c, t, "stream_id", ["a0", "a2"], 5), 5)
+    return rounded(L.survival(c, t, "stream_id", ["a0", "a2"], 5), 9)
 
 
 def _centers(spark, d):
@@ -175,7 +175,7 @@ def _survival(contacts: str, frames_: str, key: str, ids: str, n: int, sampling:
         init AS (SELECT {key}, place, m AS m0 FROM alive WHERE k = 0),
         tot AS (SELECT {key}, count(*) AS origins, any_value(places) AS places FROM og GROUP BY ALL),
         sh AS (SELECT {key}, k, sum(m / m0) AS s1, sum((m / m0) * (m / m0)) AS s2 FROM alive JOIN init USING ({key}, place) GROUP BY ALL)
-        SELECT tot.{key}, CAST(t.k * {sampling} AS INTEGER) AS k, round(coalesce(s1, 0.0) / origins, 5) + 0.0 AS c, round(sqrt(greatest(coalesce(s2, 0.0) / origins - (coalesce(s1, 0.0) / origins) * (coalesce(s1, 0.0) / origins), 0.0)) / sqrt(places // {n}), 5) + 0.0 AS error
+        SELECT tot.{key}, CAST(t.k * {sampling} AS INTEGER) AS k, round(coalesce(s1, 0.0) / origins, 9) + 0.0 AS c, round(sqrt(greatest(coalesce(s2, 0.0) / origins - (coalesce(s1, 0.0) / origins) * (coalesce(s1, 0.0) / origins), 0.0)) / sqrt(places // {n}), 9) + 0.0 AS error
         FROM tot CROSS JOIN range({last}) t(k) LEFT JOIN sh ON sh.{key} = tot.{key} AND sh.k = t.k"""
 
 

@@ -56,7 +56,13 @@ def drop_written(df: DataFrame) -> None:
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> tuple[DataFrame, bool]:
-    """Broadcast df when its counted size is below the limit; else leave it to a shuffle join. True if it was broadcast."""
-    if df.limit(limit_bytes // row_bytes + 1).count() * row_bytes <= limit_bytes:
-        return F.broadcast(df), True
-    return df, False
+    """A dimension table ready to be broadcast, if its rows stay below the limit; else df as it is, for a shuffle join.
+
+    At most limit_bytes / row_bytes + 1 rows come to the driver, once: plans that use the table several times hold
+    its rows instead of several copies of the plan that makes it.
+    """
+    most = limit_bytes // row_bytes
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return df, False
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
