@@ -135,6 +135,35 @@ def hampel(pdf: pd.DataFrame, values: list[str], cell: list[str], relative: floa
         rest = np.searchsorted(g, g, "right") - 1 - np.arange(len(g))
         limit = np.where((place < 2) | (rest < 2), LIMIT_AT_END, LIMIT)
         out = z > limit
+        # Near a lasting move the median may lie on the other side of a drift: a spike also stands off from the records around it.
+        k = np.flatnonzero(out)
+        if len(k):
+            calm = np.flatnonzero(~out)
+            at = np.searchsorted(calm, k)
+            apart = np.ones(len(k), bool)
+            first = np.zeros(len(k), bool)
+            for s, side in enumerate(((-3, -2, -1), (0, 1, 2))):
+                j = at[:, None] + np.array(side)[None]
+                ok = (j >= 0) & (j < len(calm))
+                j = calm[np.clip(j, 0, max(len(calm) - 1, 0))] if len(calm) else np.zeros_like(j)
+                ok = ok & (g[j] == g[k][:, None])
+                w = np.where(ok[:, :, None], u[j], np.inf)
+                w.sort(axis=1)
+                n_ok = ok.sum(1)
+                m = w[np.arange(len(k)), np.maximum(n_ok - 1, 0) // 2]
+                off = np.where(n_ok[:, None] > 0, u[k] - np.where(np.isfinite(m), m, u[k]), 0)
+                if s == 0:
+                    first = n_ok == 0
+                elif first.any():
+                    # At the start of a source it may still relax: the line through the records after is what it should be on.
+                    start = first & (n_ok == 3)
+                    a, b = u[j[start, 0]], u[j[start, 2]]
+                    steps = (j[start, 2] - j[start, 0])[:, None]
+                    off[start] = u[k[start]] - (a + (a - b) / steps * (j[start, 0] - k[start])[:, None])
+                if has_cell:
+                    off = _fold(off, h[k], inv[k])
+                apart &= (n_ok == 0) | (np.abs(off).max(1) > np.where(first, LIMIT_AT_END, LIMIT / 2) * scale[g[k]])
+            out[k] = apart
         # Farther from the usual place than any image can be.
         near = _rolling_median(v, g)
         reach = np.abs(h).sum(1) * 1.5 if has_cell else np.full(v.shape, np.inf)

@@ -67,7 +67,8 @@ def vanhove_distinct(spark, d):
 
 
 def non_gaussian(spark, d):
-    return rounded(C.moments(atoms(spark, d), LAGS, "run_id"), 3)
+    m = C.moments(atoms(spark, d), LAGS, "run_id")
+    return rounded(m.select("run_id", "lag", "r2", F.ln(1 + F.col("r4")).alias("ln_r4"), "alpha2"), 3)
 
 
 def vanhove_summary(spark, d):
@@ -180,7 +181,7 @@ SQL = {
         n AS (SELECT run_id, lag, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT run_id, lag, {sql_bin('d', 0.0, 12.0, 24)} AS bin, count(*) AS count FROM s WHERE d <= 12.0 GROUP BY ALL),
         g AS (SELECT n.run_id, n.lag, CAST(b.bin AS INTEGER) AS bin, n.n, vol, coalesce(k.count, 0) AS count FROM n CROSS JOIN range(24) b(bin) LEFT JOIN k ON k.run_id = n.run_id AND k.lag = n.lag AND k.bin = b.bin JOIN c ON c.run_id = n.run_id)
         SELECT run_id, lag, bin, (bin + 0.5) * 0.5 AS r, count, round(count / (n * 0.5), 6) + 0.0 AS rpd, round(count / (n / vol * {_s2}), 6) + 0.0 AS g FROM g""",
-    "non_gaussian": f"WITH {SQL_ATOMS}, {_mom} SELECT run_id, lag, round(r2, 3) + 0.0 AS r2, round(r4, 3) + 0.0 AS r4, round(alpha2, 3) + 0.0 AS alpha2 FROM al",
+    "non_gaussian": f"WITH {SQL_ATOMS}, {_mom} SELECT run_id, lag, round(r2, 3) + 0.0 AS r2, round(ln(1 + r4), 3) + 0.0 AS ln_r4, round(alpha2, 3) + 0.0 AS alpha2 FROM al",
     "vanhove_summary": f"WITH {SQL_ATOMS}, {_mom}, s AS (SELECT run_id, max(alpha2) AS m FROM al GROUP BY run_id) SELECT run_id, round(m, 3) + 0.0 AS peak_alpha2, CASE WHEN m < 0.1 THEN 'Gaussian' ELSE 'heterogeneous' END AS kind FROM s",
     "vrd_series": f"WITH {SQL_ATOMS}, v AS (SELECT run_id, at_idx AS series_id, frame, x AS vx, y AS vy, z AS vz FROM a), {_vrd_sql('v', 2, 10, 3, 5, 'run_id')}",
     "vrd_per_pair": f"WITH {SQL_BASE}, {_vec}, {_vrd_sql('l', 2, 20, 2, 5, 'run_id, series_id')}",

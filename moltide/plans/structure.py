@@ -65,7 +65,7 @@ def frac_coords_columns(spark, d):
 
 
 def wrap_box(spark, d):
-    return rounded(S.wrap(atoms(spark, d), cells(spark, d)).select("row_id", "x", "y", "z"), 5)
+    return rounded(S.wrap(atoms(spark, d), cells(spark, d)).select("row_id", "x", "y", "z"), 7)
 
 
 def wrap_pretty(spark, d):
@@ -279,7 +279,7 @@ SQL = {
     "frac_coords": f"WITH {SQL_BASE} SELECT row_id, {', '.join(f'round({s}, 6) + 0.0 AS s{k}' for s, k in zip(sql_frac(('a.x', 'a.y', 'a.z')), 'xyz', strict=True))} FROM a JOIN c USING (run_id)",
     "cart_roundtrip": f"WITH {SQL_ATOMS} SELECT row_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM a WHERE run_id IN (SELECT run_id FROM frames WHERE len(lattice) = 9)",
     "frac_coords_columns": f"WITH {SQL_BASE} SELECT row_id, {', '.join(f'round(a.x * c.g{j}1 + a.y * c.g{j}2 + a.z * c.g{j}3, 6) + 0.0 AS s{k}' for j, k in zip((1, 2, 3), 'xyz', strict=True))} FROM a JOIN c USING (run_id)",
-    "wrap_box": f"WITH {SQL_BASE} SELECT row_id, {', '.join(f'round({e}, 5) + 0.0 AS {k}' for e, k in zip(sql_cart(_wrapped), 'xyz', strict=True))} FROM a JOIN c USING (run_id)",
+    "wrap_box": f"WITH {SQL_BASE} SELECT row_id, {', '.join(f'round({e}, 7) + 0.0 AS {k}' for e, k in zip(sql_cart(_wrapped), 'xyz', strict=True))} FROM a JOIN c USING (run_id)",
     "wrap_pretty": f"""WITH {SQL_BASE}, s AS (SELECT row_id, run_id, frame, {', '.join(f'{s} AS s{k}' for s, k in zip(sql_frac(('a.x', 'a.y', 'a.z')), 'xyz', strict=True))} FROM a JOIN c USING (run_id)),
         """ + ", ".join(f"""g{k} AS (SELECT run_id, frame, s{k}, coalesce(lag(s{k}) OVER w, max(s{k}) OVER (PARTITION BY run_id, frame)) - s{k} AS raw FROM s WINDOW w AS (PARTITION BY run_id, frame ORDER BY s{k})),
         m{k} AS (SELECT run_id, frame, arg_min(s{k}, (raw - floor(raw), s{k})) AS f{k} FROM g{k} GROUP BY run_id, frame)""" for k in "xyz") + f"""
