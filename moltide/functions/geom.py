@@ -89,6 +89,16 @@ def with_images(df: DataFrame, vectors: dict[str, Vec], lattice: str = "rows", p
     return d.drop(*[f"_{n}{m}{k}" for n in vectors for m in ("", "n") for k in "xyz"])
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on computed geometry.
+
+    A plain filter is pushed below the steps of with_images() and repeats their whole expressions for every use
+    (minutes of planning for angles); as a generator of one row or none it stays above them and reads their columns.
+    """
+    columns = df.columns
+    return df.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")).select(*columns)
+
+
 def angle(p: Vec, q: Vec, degenerate: float | None = None) -> Column:
     """Angle in degrees between two vectors; with a vector of no length NaN, or the given value."""
     n = norm(p) * norm(q)

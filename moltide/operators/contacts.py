@@ -50,7 +50,7 @@ def dimers_distance(atoms: DataFrame, cells: DataFrame | None, tups: DataFrame,
     p = P.vectors(P.positions(atoms.withColumn("s0", F.struct("at_idx", "symb")), tups) if isinstance(criterion, (int, float)) else _with_symbols(atoms, tups), cells)
     d = p.withColumn("dist", geom.norm(geom.v("d")))
     d, limit = _limit(atoms.sparkSession, d, criterion, "symb0", "symb1")
-    return d.where(F.col("dist") <= limit).select(*KEY, "tuple_id", "a0", "a1", "dist")
+    return geom.keep(d, F.col("dist") <= limit).select(*KEY, "tuple_id", "a0", "a1", "dist")
 
 
 def _with_symbols(atoms: DataFrame, tups: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def dimers_com(atoms: DataFrame, cells: DataFrame | None, members: DataFrame, mo
     com = center_of_mass(atoms.join(F.broadcast(members), "at_idx"), *KEY, "mol")
     placed = P.positions(com.select(*KEY, F.col("mol").alias("at_idx"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z")), mol_pairs)
     d = P.vectors(placed, cells).withColumn("dist", geom.norm(geom.v("d")))
-    return d.where(F.col("dist") <= limit).select(*KEY, "tuple_id", "a0", "a1", "dist")
+    return geom.keep(d, F.col("dist") <= limit).select(*KEY, "tuple_id", "a0", "a1", "dist")
 
 
 def hbond_geometry(atoms: DataFrame, cells: DataFrame | None, triples: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def dimers_angle(atoms: DataFrame, cells: DataFrame | None, triples: DataFrame,
     else:
         shown, least = F.col("angle"), float(angle)
     # NaN compares as the greatest value: degenerate angles are no contact.
-    return g.where((F.col("r_da") <= limit) & ~F.isnan("angle") & (shown >= least)).select(*KEY, "tuple_id", "a0", "a1", "a2", F.col("r_da").alias("dist"), "angle")
+    return geom.keep(g, (F.col("r_da") <= limit) & ~F.isnan("angle") & (shown >= least)).select(*KEY, "tuple_id", "a0", "a1", "a2", F.col("r_da").alias("dist"), "angle")
 
 
 def hbonds(atoms: DataFrame, cells: DataFrame | None, triples: DataFrame, factor: float = 1.02) -> DataFrame:
@@ -120,7 +120,7 @@ def hbonds(atoms: DataFrame, cells: DataFrame | None, triples: DataFrame, factor
     g = hbond_geometry(atoms, cells, triples)
     g, limit = _limit(atoms.sparkSession, g, f"{factor}vdw_sum", "symb0", "symb2")
     least = (F.degrees(F.atan2("r_da", "r_dh")) + 180) * 3 / 8
-    return g.where((F.col("r_da") <= limit) & ~F.isnan("angle") & (F.col("angle") >= least)).select(*KEY, "tuple_id", "a0", "a1", "a2", "r_da", "r_dh", "angle")
+    return geom.keep(g, (F.col("r_da") <= limit) & ~F.isnan("angle") & (F.col("angle") >= least)).select(*KEY, "tuple_id", "a0", "a1", "a2", "r_da", "r_dh", "angle")
 
 
 def hbond_counts(bonds: DataFrame, frames: DataFrame) -> DataFrame:

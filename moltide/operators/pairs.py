@@ -112,7 +112,7 @@ def neighbours(a: DataFrame, b: DataFrame, cells: DataFrame, cutoff: float, same
     right = gridded(b).select(*KEY, F.col("at_idx").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), "c1", "c2", "c3")
     j = left.join(right, [*KEY, "c1", "c2", "c3"]).where(F.col("i") < F.col("j") if same else F.col("i") != F.col("j"))
     d = geom.with_images(j, {"d": geom.sub(geom.v("b"), geom.v("a"))}, lattice)
-    return d.select(*KEY, "i", "j", geom.norm(geom.v("d")).alias("dist")).where(F.col("dist") <= cutoff)
+    return geom.keep(d.select(*KEY, "i", "j", geom.norm(geom.v("d")).alias("dist")), F.col("dist") <= cutoff)
 
 
 def _is_broadcast(df: DataFrame) -> bool:

@@ -66,7 +66,8 @@ def hbond_records(spark, d):
 def hbond_heatmap(spark, d):
     from moltide.operators.hist import histogram2d
 
-    g = K.hbond_geometry(atoms(spark, d), cells(spark, d), P.tuples(spark, TRIPLES)).where(~F.isnan("angle"))
+    g = K.hbond_geometry(atoms(spark, d), cells(spark, d), P.tuples(spark, TRIPLES))
+    # NaN is out of every range.
     return histogram2d(g, F.col("r_da"), F.col("angle"), (0.0, 15.0, 30), (0.0, 180.0, 30)).select("bin_x", "bin_y", "count")
 
 
