@@ -192,19 +192,19 @@ def levels(docs: DataFrame, labels: DataFrame, min_words: int = MIN_WORDS, sampl
     """(doc_id, reading_level) of each document of at least min_words words."""
     m = written(measured(docs), "reading")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("reading_level").isNotNull()).select("doc_id", "reading_level").orderBy(F.xxhash64("doc_id"), "doc_id", "reading_level").limit(sample)
-    fitted = m.join(F.broadcast(known), "doc_id").select("lang", F.col("reading_level").cast("long").alias("level"), *MEASURES)
+    fitted = m.join(F.broadcast(known), "doc_id").select("doc_id", "lang", F.col("reading_level").cast("long").alias("level"), *MEASURES)
     every = fitted.unionByName(fitted.withColumn("lang", F.lit("")))
     # Spread of each measure within the levels of a language: the root mean square over levels of the median deviation.
     middle = every.groupBy("lang", "level").agg(*[F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in MEASURES])
     near = every.join(F.broadcast(middle), ["lang", "level"]).groupBy("lang", "level").agg(F.count("*").alias("n"), *[F.percentile(F.abs(F.col(c) - F.col(f"m_{c}")), F.lit(0.5)).alias(c) for c in MEASURES])
     spread = {r["lang"]: r for r in near.groupBy("lang").agg(F.sum("n").alias("n"), *[(1.4826 * F.sqrt(F.avg(F.col(c) * F.col(c))) + 0.02).alias(c) for c in MEASURES]).collect()}
-    points = fitted.orderBy("lang", "level", *MEASURES).toPandas()  # at most `sample` labels
+    points = fitted.orderBy("doc_id", "level").toPandas()  # at most `sample` labels
     model = {}
     for lang in ("", *LANGUAGES):
         p = points if lang == "" else points[points.lang == lang]
         if len(p) >= LEAST_LABELS or (lang == "" and len(p)):
             scale = np.array([spread[lang][c] for c in MEASURES])
-            model[lang] = (p[list(MEASURES)].to_numpy() / scale, p.level.to_numpy("int64"), scale)
+            model[lang] = (p[list(MEASURES)].to_numpy() / scale, p.level.to_numpy("int64"), scale, p.doc_id.to_numpy("int64"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -213,13 +213,13 @@ def levels(docs: DataFrame, labels: DataFrame, min_words: int = MIN_WORDS, sampl
             out = pd.Series(pd.NA, index=pdf.index, dtype="Int64")
             for lang, rows in pdf.groupby("lang"):
                 if found := model.get(lang, model.get("")):
-                    a, level, scale = found
+                    a, level, scale, own = found
                     kinds = np.unique(level)
                     k = min(NEIGHBOURS, len(a))
-                    q = rows[list(MEASURES)].to_numpy() / scale
+                    q, ids = rows[list(MEASURES)].to_numpy() / scale, rows.doc_id.to_numpy("int64")
                     for s in range(0, len(q), 1024):
                         d = (q[s : s + 1024] ** 2).sum(1)[:, None] - 2 * q[s : s + 1024] @ a.T + (a**2).sum(1)[None]
-                        d[d < 1e-9] = 1e9  # a document's own label may be one of the wrong ones
+                        d[ids[s : s + 1024, None] == own[None]] = 1e9  # a document's own label may be one of the wrong ones
                         near = np.argpartition(d, k - 1, axis=1)[:, :k]
                         weight = 1 / (np.maximum(np.take_along_axis(d, near, 1), 0) + 0.5)
                         votes = np.stack([(weight * (level[near] == x)).sum(1) for x in kinds], 1)
