@@ -180,12 +180,21 @@ def atom_table(spark, d):
     return atoms(spark, d).join(F.broadcast(e), "symb").groupBy("run_id", "symb", "atomic_no").agg(F.count("*").alias("n"), F.round(F.sum("mass"), 3).alias("mass"))
 
 
+def xyz_export(spark, d):
+    """The lines of the extended XYZ form of every record."""
+    from moltide.sources.xyz import extxyz_lines
+
+    a = atoms(spark, d).where(F.col("symb").isNotNull())
+    e = F.when(F.abs("energy") < 1e7, F.col("energy"))
+    return extxyz_lines(a, frames(spark, d).withColumn("energy", e)).select("run_id", "frame", F.col("line").cast("int").alias("line"), "value")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         atoms_by_symbol, atoms_by_index, atoms_take_order, atoms_slice, atoms_inverse, frames_slice_stride, runs, frac_coords, cart_roundtrip, frac_coords_columns, wrap_box, wrap_pretty, cell_volume,
         pairs_combinations, pairs_zip, pairs_product, pair_distances_mic, pair_vectors_unit, distance_cutoff, bond_angles, dihedrals4, dihedrals6, dihedrals_signed,
-        com_by_frame, calib_drift, rdf, rdf_same, coordination_number, adf, ddf, sdf, sdf_summary, cdf, atom_table,
+        com_by_frame, calib_drift, rdf, rdf_same, coordination_number, adf, ddf, sdf, sdf_summary, cdf, atom_table, xyz_export,
     )
 }
 
@@ -311,6 +320,11 @@ SQL = {
         SELECT {sql_bin('dist', 0.0, 20.0, 20)} AS bin_x, {sql_bin('angle', 0.0, 180.0, 18)} AS bin_y, bin_x + 0.5 AS x, (bin_y + 0.5) * 10.0 AS y, count(*) AS count FROM j WHERE dist <= 20.0 AND angle BETWEEN 0 AND 180 GROUP BY ALL""",
     "atom_table": f"WITH {SQL_ATOMS} SELECT run_id, symb, atomic_no, count(*) AS n, round(sum(mass), 3) AS mass FROM a JOIN elements USING (symb) GROUP BY ALL",
 }
+SQL["xyz_export"] = f"""WITH {SQL_ATOMS}, s AS (SELECT * FROM a WHERE symb IS NOT NULL), n AS (SELECT run_id, frame, count(*) AS n FROM s GROUP BY ALL),
+    f AS (SELECT DISTINCT frame_id, run_id, frame, t_fs, CASE WHEN abs(energy) < 1e7 THEN energy END AS e, lattice FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL)
+    SELECT run_id, frame, CAST(at_idx + 2 AS INTEGER) AS line, rpad(symb, 3, ' ') || printf('%18.8f', x) || printf('%18.8f', y) || printf('%18.8f', z) AS value FROM s
+    UNION ALL SELECT run_id, frame, 0, CAST(n AS VARCHAR) FROM f JOIN n USING (run_id, frame)
+    UNION ALL SELECT run_id, frame, 1, coalesce('Lattice="' || array_to_string([printf('%.8f', v) for v in lattice], ' ') || '" ', '') || 'Properties=species:S:1:pos:R:3 frame=' || frame || coalesce(' time=' || printf('%.3f', t_fs), '') || coalesce(' energy=' || printf('%.8f', e), '') FROM f JOIN n USING (run_id, frame)"""
 _f = "f AS (SELECT DISTINCT frame_id, temperature_k AS v FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL AND temperature_k IS NOT NULL AND NOT isnan(temperature_k)), s AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n FROM f)"
 _sdf = f"""{_f}, k AS (SELECT CAST(least(floor((v - lo) / (hi - lo) * 20), 19) AS INTEGER) AS bin, count(*) AS count FROM f, s GROUP BY ALL),
         g AS (SELECT CAST(b.bin AS INTEGER) AS bin, lo + (b.bin + 0.5) * ((hi - lo) / 20) AS x, coalesce(count, 0) AS count, coalesce(count, 0) / (n * ((hi - lo) / 20)) AS value FROM range(20) b(bin) CROSS JOIN s LEFT JOIN k ON k.bin = b.bin)"""
