@@ -35,4 +35,19 @@ def p3_table(spark, sf_dir):
 
 
 QUERIES = {"p1_found": p1_found, "p1_atoms": p1_atoms, "p1_headers": p1_headers, "p2_found": p2_found, "p3_found": p3_found, "p3_statistics": p3_statistics, "p3_table": p3_table}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": r"""
+WITH RECURSIVE l AS (SELECT DISTINCT line_id, file_id, line_no, coalesce(raw_line, '') AS t FROM xyz_lines WHERE file_id IS NOT NULL AND line_no IS NOT NULL),
+n AS (SELECT file_id, line_no, CAST(trim(t) AS BIGINT) AS n FROM l WHERE regexp_full_match(t, '\s*\d{1,9}\s*')),
+b(file_id, at0, n) AS (SELECT file_id, line_no, n FROM n WHERE line_no = 1 UNION ALL SELECT n.file_id, n.line_no, n.n FROM b JOIN n ON n.file_id = b.file_id AND n.line_no = b.at0 + b.n + 2),
+h AS (SELECT b.file_id, b.at0, b.n, l.line_id, l.t, regexp_extract(l.t, '(?i)\bproperties\s*=\s*"?([A-Za-z_]\w*:[A-Za-z]:\d+(?::[A-Za-z_]\w*:[A-Za-z]:\d+)*)', 1) AS spec FROM b JOIN l ON l.file_id = b.file_id AND l.line_no = b.at0 + 1),
+w AS (SELECT *, CASE WHEN spec = '' THEN 4 ELSE list_sum([CAST(x AS INTEGER) for x in regexp_extract_all(spec, ':(\d+)', 1)]) END AS want FROM h),
+a AS (SELECT l.line_id, l.t, w.want, list_filter(regexp_split_to_array(l.t, '[ \t\r\n]+'), lambda x: x <> '') AS f FROM w JOIN l ON l.file_id = w.file_id AND l.line_no BETWEEN w.at0 + 2 AND w.at0 + 1 + w.n),
+ar AS (SELECT line_id, CASE WHEN (length(t) - length(replace(t, '"', ''))) % 2 = 1 THEN 'quoting' WHEN len(f) <> want THEN 'column_count' WHEN f[1] NOT IN (SELECT symb FROM elements) THEN 'bad_symbol'
+  WHEN len(list_filter(f[2:4], lambda x: NOT (regexp_full_match(x, '[+-]?(\d+\.?\d*|\.\d+)([eEdD][+-]?\d+)?') AND coalesce(isfinite(TRY_CAST(translate(x, 'dD', 'ee') AS DOUBLE)), FALSE)))) > 0 THEN 'bad_number' END AS reason FROM a),
+v AS (SELECT line_id, t, regexp_extract(t, '(?i)(lattice|cell)\s*[=:]\s*("[^"]*"|\[\[.*\]\])', 2) AS raw, regexp_matches(t, '(?i)(lattice|cell)\s*[=:]') AS has FROM w),
+c AS (SELECT *, CASE WHEN starts_with(raw, '[') THEN regexp_split_to_array(regexp_replace(raw, '[\[\]\s]', '', 'g'), ',') ELSE list_filter(regexp_split_to_array(trim(raw, '"'), '\s+'), lambda x: x <> '') END AS nums FROM v),
+hr AS (SELECT line_id, CASE WHEN (length(t) - length(replace(t, '"', ''))) % 2 = 1 THEN 'quoting' WHEN has AND (len(nums) NOT IN (3, 9) OR (starts_with(raw, '[') AND NOT regexp_full_match(raw, '\[\s*(\[[^\],]+,[^\],]+,[^\],]+\]\s*,?\s*){3}\]'))
+  OR len(list_filter(nums, lambda x: NOT (regexp_full_match(x, '[+-]?(\d+\.?\d*|\.\d+)([eEdD][+-]?\d+)?') AND coalesce(isfinite(TRY_CAST(translate(x, 'dD', 'ee') AS DOUBLE)), FALSE)))) > 0) THEN 'bad_lattice' END AS reason FROM c)
+SELECT line_id, reason FROM ar WHERE reason IS NOT NULL UNION SELECT line_id, reason FROM hr WHERE reason IS NOT NULL""",
+}
