@@ -52,4 +52,12 @@ SQL = {
               UNION SELECT mol_b, mol_a FROM mol_matches WHERE mol_a IN (SELECT mol_id FROM ids) AND mol_b IN (SELECT mol_id FROM ids)),
         r(mol_id, g) AS (SELECT mol_id, mol_id FROM ids UNION SELECT e.b, r.g FROM r JOIN e ON r.mol_id = e.a WHERE r.g < e.b)
         SELECT mol_id, min(g) AS group_id FROM r GROUP BY mol_id""",
+    "p5_found": """
+WITH r AS (SELECT DISTINCT stream_id, frame, dimer_id, pairs, d_h_a_pairs FROM dimers WHERE stream_id IS NOT NULL AND frame IS NOT NULL AND dimer_id IS NOT NULL),
+n AS (SELECT stream_id, frame, dimer_id, pairs, d_h_a_pairs, [CAST(v AS BIGINT) for v in regexp_extract_all(coalesce(pairs, d_h_a_pairs), '[0-9]+')] AS v FROM r),
+s AS (SELECT stream_id, frame, dimer_id, CASE WHEN pairs IS NOT NULL THEN list_sort(list_distinct([least(v[2 * i + 1], v[2 * i + 2]) || '-' || greatest(v[2 * i + 1], v[2 * i + 2]) for i in range(len(v) // 2)]))
+  WHEN d_h_a_pairs IS NOT NULL THEN list_sort(list_distinct([v[3 * i + 1] || '>' || v[3 * i + 3] for i in range(len(v) // 3)])) END AS k FROM n),
+g AS (SELECT *, CASE WHEN k IS NOT NULL AND k = lag(k) OVER w THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY stream_id ORDER BY frame, dimer_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY stream_id ORDER BY frame, dimer_id) AS run FROM g)
+SELECT stream_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n_records FROM i WHERE k IS NOT NULL GROUP BY stream_id, run HAVING count(*) > 1""",
 }
