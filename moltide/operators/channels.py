@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from moltide.operators.correlation import msd_tensor
 
+STRETCH = 4096
+
 
 def assign(points: DataFrame, seeds: list[tuple[float, ...]], columns: list[str]) -> DataFrame:
     """Adds region: the number of the nearest seed, the first of equally near ones. Seeds are the caller's short list and become constants."""
@@ -19,8 +21,12 @@ def assign(points: DataFrame, seeds: list[tuple[float, ...]], columns: list[str]
 
 def switch_rate(labelled: DataFrame, dt_fs: float, *keys: str, compat: bool = False) -> DataFrame:
     """(keys, n, changes, rate): changes of region between successive records, per ps; compat gives changes * dt / (1000 n)."""
-    w = Window.partitionBy(*keys).orderBy("frame")
-    c = labelled.withColumn("changed", (F.col("region") != F.lag("region").over(w)).cast("int"))
+    # Records are compared inside stretches; the last of the stretch before comes from one row per stretch.
+    c = labelled.select(*keys, "frame", "region", F.floor(F.col("frame") / STRETCH).alias("k"))
+    ends = c.groupBy(*keys, "k").agg(F.max_by("region", "frame").alias("last"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy(*keys).orderBy("k"))).drop("last")
+    own = F.lag("region").over(Window.partitionBy(*keys, "k").orderBy("frame"))
+    c = c.withColumn("own", own).join(ends, [*keys, "k"]).withColumn("changed", (F.col("region") != F.coalesce("own", "before")).cast("int"))
     s = c.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.sum("changed"), F.lit(0)).alias("changes"))
     rate = F.col("changes") * dt_fs / (1000.0 * F.col("n")) if compat else F.col("changes") * 1000.0 / (F.col("n") * dt_fs)
     return s.withColumn("rate", rate)

@@ -13,12 +13,21 @@ from pyspark.sql import functions as F
 from moltide.functions import geom
 from moltide.operators.hist import histogram2d
 
+STRETCH = 4096
+
 
 def places(frames: DataFrame, key: str) -> DataFrame:
-    """(key, frame, place, places): each frame's dense number in its run. A run's frames are rows of three numbers."""
+    """(key, frame, place, places): each frame's dense number in its run, and their number.
+
+    Frames are numbered inside stretches; one row per stretch gives what lies before it.
+    """
+    f = frames.select(key, "frame").distinct().withColumn("k", F.floor(F.col("frame") / STRETCH))
+    per = f.groupBy(key, "k").agg(F.count("*").alias("n"))
     w = Window.partitionBy(key)
-    f = frames.select(key, "frame").distinct()
-    return f.withColumn("place", (F.row_number().over(w.orderBy("frame")) - 1).cast("int")).withColumn("places", F.count("*").over(w).cast("int"))
+    before = F.coalesce(F.sum("n").over(w.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(key, "k", before.alias("before"), F.sum("n").over(w).cast("int").alias("places"))
+    own = F.row_number().over(Window.partitionBy(key, "k").orderBy("frame")) - 1
+    return f.withColumn("own", own).join(per, [key, "k"]).select(key, "frame", (F.col("own") + F.col("before")).cast("int").alias("place"), "places")
 
 
 def lifetimes(contacts: DataFrame, at: DataFrame, key: str, ids: list[str], sampling: int = 1) -> DataFrame:
