@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from moltide.functions import geom
 from moltide.functions.elements import R_COV, elements
 from moltide.operators import pairs as P
 from moltide.operators.grouped import group_ids, map_groups
@@ -20,10 +21,8 @@ def bonds(atoms: DataFrame, cells: DataFrame, factor: float = 1.05) -> DataFrame
     # The widest bond that the elements can have bounds the search.
     reach = factor * 2 * max(R_COV.values())
     present = a.agg(F.max("r_cov")).first()[0]
-    near = P.neighbours(a, a, cells, factor * 2 * present if present else reach, True)
-    ri = a.select(*KEY, F.col("at_idx").alias("i"), F.col("r_cov").alias("ri"))
-    rj = a.select(*KEY, F.col("at_idx").alias("j"), F.col("r_cov").alias("rj"))
-    return near.join(ri, [*KEY, "i"]).join(rj, [*KEY, "j"]).where(F.col("dist") < factor * (F.col("ri") + F.col("rj"))).select(*KEY, "i", "j", "dist")
+    near = P.neighbours(a, a, cells, factor * 2 * present if present else reach, True, carry=("r_cov",))
+    return geom.keep(near, F.col("dist") < factor * (F.col("r_cov_i") + F.col("r_cov_j"))).select(*KEY, "i", "j", "dist")
 
 
 def _smallest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

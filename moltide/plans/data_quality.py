@@ -35,6 +35,7 @@ def p3_table(spark, sf_dir):
 
 
 QUERIES = {"p1_found": p1_found, "p1_atoms": p1_atoms, "p1_headers": p1_headers, "p2_found": p2_found, "p3_found": p3_found, "p3_statistics": p3_statistics, "p3_table": p3_table}
+_names = [(n, g.split()[0]) for g in drift.HEADER_NAMES for n in g.split()] + [(f"properties.{n}", f"properties.{g.split()[0]}") for g in drift.ENTRY_NAMES for n in g.split()]
 SQL: dict[str, str] = {
     "p1_found": r"""
 WITH RECURSIVE l AS (SELECT DISTINCT line_id, file_id, line_no, coalesce(raw_line, '') AS t FROM xyz_lines WHERE file_id IS NOT NULL AND line_no IS NOT NULL),
@@ -50,4 +51,28 @@ c AS (SELECT *, CASE WHEN starts_with(raw, '[') THEN regexp_split_to_array(regex
 hr AS (SELECT line_id, CASE WHEN (length(t) - length(replace(t, '"', ''))) % 2 = 1 THEN 'quoting' WHEN has AND (len(nums) NOT IN (3, 9) OR (starts_with(raw, '[') AND NOT regexp_full_match(raw, '\[\s*(\[[^\],]+,[^\],]+,[^\],]+\]\s*,?\s*){3}\]'))
   OR len(list_filter(nums, lambda x: NOT (regexp_full_match(x, '[+-]?(\d+\.?\d*|\.\d+)([eEdD][+-]?\d+)?') AND coalesce(isfinite(TRY_CAST(translate(x, 'dD', 'ee') AS DOUBLE)), FALSE)))) > 0) THEN 'bad_lattice' END AS reason FROM c)
 SELECT line_id, reason FROM ar WHERE reason IS NOT NULL UNION SELECT line_id, reason FROM hr WHERE reason IS NOT NULL""",
+    "p3_found": r"""
+WITH q(name, quantity) AS (VALUES {names}),
+h AS (SELECT DISTINCT header_id, series_id, file_id, written_at, header_text AS t FROM file_headers WHERE header_id IS NOT NULL AND series_id IS NOT NULL AND file_id IS NOT NULL),
+m AS (SELECT header_id, series_id, file_id, written_at, unnest(regexp_extract_all(t, '([A-Za-z_][\w.\-]*)\s*[=:]\s*("[^"]*"|\[\s*\[[^=]*?\]\s*\]|\[[^\]]*\]|[^\s,;]+)')) AS pair FROM h),
+p AS (SELECT header_id, series_id, file_id, written_at, lower(regexp_extract(pair, '^[\w.\-]+')) AS k, trim(replace(regexp_replace(pair, '^[\w.\-]+\s*[=:]\s*', ''), '"', '')) AS v FROM m),
+plain AS (SELECT header_id, series_id, file_id, written_at, k AS path, CASE WHEN regexp_full_match(v, '[+-]?\d+') THEN 'whole' WHEN regexp_full_match(v, '{one}') THEN 'decimal' WHEN regexp_full_match(v, '{one}([\s,]+{one}){2}') THEN 'numbers3'
+    WHEN regexp_full_match(v, '{one}([\s,]+{one}){8}') THEN 'numbers9' WHEN regexp_full_match(v, '\[\s*\[[^\[\]]*\]\s*,?\s*\[[^\[\]]*\]\s*,?\s*\[[^\[\]]*\]\s*\]') THEN 'bracketed' ELSE 'text' END AS kind FROM p WHERE k <> 'properties'),
+lists AS (SELECT header_id, series_id, file_id, written_at, string_split(v, ':') AS s FROM p WHERE k = 'properties'),
+entries AS (SELECT header_id, series_id, file_id, written_at, 'properties.' || lower(s[3 * i + 1]) AS path, upper(s[3 * i + 2]) || ':' || s[3 * i + 3] AS kind FROM lists, unnest(range(len(s) // 3)) u(i)),
+every AS (SELECT * FROM plain UNION ALL SELECT * FROM entries),
+files AS (SELECT series_id, file_id, min(written_at) AS w, count(DISTINCT header_id) AS n FROM every GROUP BY ALL),
+pk AS (SELECT series_id, file_id, path, kind, count(*) AS c FROM every GROUP BY ALL),
+lay AS (SELECT series_id, file_id, path, arg_max(kind, (c, kind)) AS kind FROM pk JOIN files USING (series_id, file_id) GROUP BY series_id, file_id, path, n HAVING sum(c) * 2 >= n),
+o AS (SELECT series_id, file_id, lag(file_id) OVER (PARTITION BY series_id ORDER BY w, file_id) AS prev FROM files),
+cur AS (SELECT o.series_id, o.file_id, o.prev, l.path, l.kind, coalesce(q.quantity, l.path) AS qn FROM o JOIN lay l ON l.series_id = o.series_id AND l.file_id = o.file_id LEFT JOIN q ON q.name = l.path WHERE o.prev IS NOT NULL),
+old AS (SELECT o.series_id, o.file_id, l.path, l.kind, coalesce(q.quantity, l.path) AS qn FROM o JOIN lay l ON l.series_id = o.series_id AND l.file_id = o.prev LEFT JOIN q ON q.name = l.path WHERE o.prev IS NOT NULL),
+gone AS (SELECT * FROM old ANTI JOIN cur USING (series_id, file_id, path)),
+fresh AS (SELECT * FROM cur ANTI JOIN old USING (series_id, file_id, path)),
+ren AS (SELECT g.series_id, g.file_id, g.path AS was, f.path AS now, g.kind AS k0, f.kind AS k1 FROM gone g JOIN fresh f USING (series_id, file_id, qn))
+SELECT series_id, file_id, path AS field, 'removed' AS change FROM gone ANTI JOIN (SELECT series_id, file_id, was AS path FROM ren) USING (series_id, file_id, path)
+UNION ALL SELECT series_id, file_id, path, 'added' FROM fresh ANTI JOIN (SELECT series_id, file_id, now AS path FROM ren) USING (series_id, file_id, path)
+UNION ALL SELECT series_id, file_id, was, 'renamed' FROM ren
+UNION ALL SELECT series_id, file_id, was, 'retyped' FROM ren WHERE k0 <> k1
+UNION ALL SELECT series_id, file_id, path, 'retyped' FROM old JOIN cur USING (series_id, file_id, path) WHERE old.kind <> cur.kind""".replace("{names}", ", ".join(map(str, _names))).replace("{one}", drift.ONE),
 }
