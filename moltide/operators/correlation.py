@@ -141,6 +141,12 @@ def _vanhove(d: DataFrame, nbins: int, r_max: float, keys: list[str]) -> DataFra
     return h.join(n, keys).select(*keys, "bin", F.col("x").alias("r"), "count", rpd.alias("rpd"), (rpd / (4 * math.pi * F.col("x") * F.col("x"))).alias("g"))
 
 
+def at_nearest(table: DataFrame, column: str, value: float) -> DataFrame:
+    """The slice of a distribution at the axis value nearest to the given one, the smaller of two equally near."""
+    best = table.select(column).distinct().agg(F.min_by(column, F.struct(F.abs(F.col(column) - value), F.col(column))).alias(column))
+    return table.join(F.broadcast(best), column, "left_semi")
+
+
 def moments(series: DataFrame, lags: list[int], *keys: str) -> DataFrame:
     """(keys, lag, r2, r4, alpha2): non-Gaussian parameter 3 r4 / (5 r2^2) - 1, 0 where r2 is 1e-12 or less."""
     d = displacement(series, lags)

@@ -61,6 +61,12 @@ def vanhove_self(spark, d):
     return rounded(C.vanhove_self(atoms(spark, d), [1, 4, 16], R_MAX, R_BINS, "run_id"))
 
 
+def vanhove_slice(spark, d):
+    """The self part at the distance nearest to 0.33."""
+    vh = C.vanhove_self(atoms(spark, d), [1, 4, 16], R_MAX, R_BINS, "run_id")
+    return rounded(C.at_nearest(vh, "r", 0.33).select("run_id", "lag", "bin", "count", "rpd"))
+
+
 def vanhove_distinct(spark, d):
     pairs = spark.createDataFrame(PAIRS, "i int, j int")
     return rounded(C.vanhove_distinct(atoms(spark, d), cells(spark, d), pairs, [1, 4], 12.0, 24))
@@ -126,7 +132,7 @@ def kww_fit(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (msd_by_lag, msd_per_atom, msd_1d_projection, msd_fft, diffusion_coefficient, autocorr, energy_autocorr, vanhove_self, vanhove_distinct, non_gaussian, vanhove_summary, isf, vrd_series, channel_assign, channel_switch_rate, direction_sweep, projection, kww_fit)
+    for f in (msd_by_lag, msd_per_atom, msd_1d_projection, msd_fft, diffusion_coefficient, autocorr, energy_autocorr, vanhove_self, vanhove_slice, vanhove_distinct, non_gaussian, vanhove_summary, isf, vrd_series, channel_assign, channel_switch_rate, direction_sweep, projection, kww_fit)
 } | {"vrd_l1": _vrd(1), "vrd_l2": _vrd(2), "vrd_l3": _vrd(3), "vrd_per_pair": _vrd(2, False)}
 
 
@@ -176,6 +182,7 @@ SQL = {
     "energy_autocorr": f"""WITH f AS (SELECT DISTINCT frame_id, run_id, frame, energy FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL AND abs(energy) < 1e7), m AS (SELECT run_id, avg(energy) AS m FROM f GROUP BY run_id), e AS (SELECT run_id, frame, energy - m AS v FROM f JOIN m USING (run_id)),
         k AS (SELECT p.run_id, t.lag, avg(p.v * q.v) AS c FROM e p CROSS JOIN {_lags(LAGS)} JOIN e q ON q.run_id = p.run_id AND q.frame = p.frame + t.lag GROUP BY ALL) SELECT run_id, lag, round(sign(c) * ln(1 + abs(c)), 3) AS c FROM k""",
     "vanhove_self": f"WITH {SQL_ATOMS}, {_vh} SELECT run_id, lag, bin, round(r, 6) + 0.0 AS r, count, round(rpd, 6) + 0.0 AS rpd, round(rpd / ({4 * math.pi} * r * r), 6) + 0.0 AS g FROM vh",
+    "vanhove_slice": f"WITH {SQL_ATOMS}, {_vh} SELECT run_id, lag, bin, count, round(rpd, 6) + 0.0 AS rpd FROM vh WHERE bin = (SELECT arg_min(bin, (abs(r - 0.33), r)) FROM vh)",
     "isf": f"WITH {SQL_ATOMS}, {_vh} SELECT run_id, lag, round(sum(rpd * sin(r * 2.5) / (r * 2.5) * {_w}), 5) + 0.0 AS isf FROM vh GROUP BY ALL",
     "vanhove_distinct": f"""WITH {SQL_BASE}, pr(i, j) AS (VALUES {', '.join(map(str, PAIRS))}), s AS (SELECT p.run_id, t.lag, sqrt({' + '.join(f'{e} * {e}' for e in _d2)}) AS d FROM a p JOIN pr ON pr.i = p.at_idx CROSS JOIN {_lags([1, 4])} JOIN a q ON q.run_id = p.run_id AND q.at_idx = pr.j AND q.frame = p.frame + t.lag JOIN c ON c.run_id = p.run_id),
         n AS (SELECT run_id, lag, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT run_id, lag, {sql_bin('d', 0.0, 12.0, 24)} AS bin, count(*) AS count FROM s WHERE d <= 12.0 GROUP BY ALL),

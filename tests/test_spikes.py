@@ -92,3 +92,12 @@ def test_energies(spark):
     rows = [(i, "r", i, float(v), CELL) for i, v in enumerate(e)] + [(900, "q", i, None, CELL) for i in range(30)]
     got = sorted(r["record_id"] for r in SP.faulty_energies(spark.createDataFrame(rows, FRAMES)).collect())
     assert got == [100, 201, 202, 203, 204, 205, 250, 350]
+
+
+def test_cells_too_many_to_broadcast(spark, monkeypatch):
+    p = walk(7, 200, start=0.0, step=0.1) % 20.0
+    p[90] = (p[90] + 7) % 20.0
+    want = atoms(spark, rows_of(p))
+    assert want == [90]
+    monkeypatch.setattr(SP, "broadcast_if_small", lambda df, row_bytes: (df, False))
+    assert atoms(spark, rows_of(p)) == want
