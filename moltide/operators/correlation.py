@@ -87,28 +87,41 @@ def fft_autocorr(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft((f * f.conj()).sum(1)).real[:n] / (n - np.arange(n))
 
 
-def fft_msd(r: np.ndarray) -> np.ndarray:
-    """Mean square displacement at all lags in O(n log n): mean squares of both ends less twice the correlation."""
+def fft_msd(r: np.ndarray, frame: np.ndarray | None = None) -> np.ndarray:
+    """Mean square displacement at all lags of (n,) or (n, d) values in O(span log span); NaN at lags that no pair of values has.
+
+    frame: whole numbers, one to a value; without them values are one frame apart. Values are summed onto the frame axis
+    beside their count, so frames without a value add nothing, and the count's own correlation is the pairs of each lag.
+    """
     r = np.atleast_2d(np.asarray(r, float).T).T
-    n = len(r)
-    sq = np.concatenate(([0.0], np.cumsum((r * r).sum(1))))
-    m = np.arange(n)
-    ends = (sq[n] - sq[m]) + (sq[n - m] - sq[0])
-    return np.maximum(ends / (n - m) - 2 * fft_autocorr(r), 0.0)
+    t = np.arange(len(r)) if frame is None else np.asarray(frame, "int64") - np.min(frame)
+    r = r - r.mean(0)
+    n = int(t.max()) + 1
+    size = 1 << (2 * n - 1).bit_length()
+    spectrum = lambda w: np.fft.rfft(np.bincount(t, w, n), size)
+    count = spectrum(None)
+    pairs = np.rint(np.fft.irfft(count.real**2 + count.imag**2, size)[:n])
+    f = spectrum((r * r).sum(1))
+    power = count.real * f.real + count.imag * f.imag
+    for x in r.T:
+        f = spectrum(x)
+        power -= f.real**2 + f.imag**2
+    total = 2 * np.fft.irfft(power, size)[:n]
+    return np.where(pairs > 0, np.maximum(total, 0.0) / np.maximum(pairs, 1), np.nan)
 
 
 def msd_fft(series: DataFrame, *keys: str) -> DataFrame:
-    """(keys, lag, msd) at all lags of each series without missing frames, one FFT per series.
+    """(keys, lag, msd) at every lag in frames that some pair of a series' records has, as msd() gives it; one FFT per series.
 
-    A series is one atom or molecule of one run and is worked in one task: its memory is 24 bytes a frame.
+    A series is one atom or molecule of one run and is worked in one task: its memory grows with the frames from its first to its last.
     """
     keys = list(keys) or ["run_id", "at_idx"]
     types = dict(series.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("frame")
-        m = fft_msd(p[["x", "y", "z"]].to_numpy())
-        return pd.DataFrame({k: p[k].iloc[0] for k in keys} | {"lag": np.arange(len(m)), "msd": m})[[*keys, "lag", "msd"]]
+        m = fft_msd(pdf[["x", "y", "z"]].to_numpy(), pdf["frame"].to_numpy())
+        lag = np.flatnonzero(~np.isnan(m))
+        return pd.DataFrame({k: pdf[k].iloc[0] for k in keys} | {"lag": lag, "msd": m[lag]})[[*keys, "lag", "msd"]]
 
     return series.select(*keys, "frame", "x", "y", "z").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", lag long, msd double")
 

@@ -145,6 +145,18 @@ def test_fft_equals_direct_sum(spark):
     assert C.tau_axis(101, 10.0, 0.024, 0.0, 0.1) == [(i, i * 0.02, 2 * i) for i in range(6)]
 
 
+def test_fft_counts_lags_in_frames(spark):
+    rng = np.random.default_rng(5)
+    r = np.cumsum(rng.normal(0, 1, (40, 3)), axis=0) + 50.0
+    kept = [k for k in range(3, 40) if k not in (5, 6, 7, 20, 31, *range(24, 30))]
+    a = atoms(spark, [[p] for p in r]).where(F.col("frame").isin(kept)).orderBy(F.desc("frame"))
+    want = {(x["at_idx"], x["lag"]): x["msd"] for x in C.msd(a, list(range(45))).collect()}
+    got = {(x["at_idx"], x["lag"]): x["msd"] for x in C.msd_fft(a).collect()}
+    assert set(got) == set(want) and (0, 36) in got and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    ends = atoms(spark, [[p] for p in r]).where("frame IN (0, 1, 30)")
+    assert sorted(x["lag"] for x in C.msd_fft(ends).collect()) == [0, 1, 29, 30]
+
+
 def test_rotating_vector(spark):
     w = 0.05
     v = spark.createDataFrame([("r", 1, i, math.cos(w * i), math.sin(w * i), 0.0) for i in range(60)], "run_id string, series_id int, frame int, vx double, vy double, vz double")
