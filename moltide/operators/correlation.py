@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moltide.functions import geom
+from moltide.operators import pairs as P
+from moltide.operators.grouped import group_ids, whole_groups
 from moltide.operators.hist import histogram
 from moltide.operators.select import KEY
 
@@ -202,6 +204,96 @@ def vanhove_distinct(series: DataFrame, cells: DataFrame, pairs: DataFrame, lags
     return h.join(n, ["run_id", "lag"]).select("run_id", "lag", "bin", F.col("x").alias("r"), "count", (F.col("count") / (F.col("n") * w)).alias("rpd"), (F.col("count") / (F.col("n") / F.col("vol") * shell)).alias("g"))
 
 
+BLOCK = 32
+
+
+def _distances(p: pd.DataFrame, by: list[str], lags: list[int], r_max: float, nbins: int) -> pd.DataFrame:
+    """Counts by run, groups, lag and bin of whole (run, block, cell) groups: role 0 at t against role 1 at t + lag.
+
+    pairs: the same counts in runs of one grid cell, where all pairs meet and those beyond r_max (bin -1) are counted too.
+    """
+    g, run = group_ids(p, ["run_id", "block", "c1", "c2", "c3"]), group_ids(p, ["run_id"])
+    frame, at = p["frame"].to_numpy("int64"), p["at_idx"].to_numpy()
+    code = p.groupby(by, sort=False, dropna=False).ngroup().to_numpy() if by else np.zeros(len(p), "int64")
+    k, slots, alone = int(code.max()) + 1, nbins + 1, p["alone"].to_numpy(bool)
+    size = (int(run.max()) + 1) * k * k * slots
+    xyz, h, inv = [p[c].to_numpy() for c in "xyz"], {c: p[c].to_numpy() for c in geom.CELL}, {c: p[c].to_numpy() for c in geom.INVERSE}
+    low = frame.min() + min(0, *lags)
+    span = frame.max() + max(0, *lags) - low + 1
+    place = g * span + frame - low
+    first, later = (np.flatnonzero(p["role"].to_numpy() == v) for v in (0, 1))
+    out = []
+    for lag in lags:
+        lo, hi = (np.searchsorted(place[later], place[first] + lag, side) for side in ("left", "right"))
+        upto = np.cumsum(hi - lo)
+        cuts = np.unique(np.searchsorted(upto, np.arange(1 << 20, upto[-1] if len(upto) else 0, 1 << 20)))
+        for part in np.split(np.arange(len(first)), cuts):
+            n = (hi - lo)[part]
+            i = np.repeat(first[part], n)
+            j = later[np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(len(i))]
+            other = at[i] != at[j]
+            i, j = i[other], j[other]
+            d = [x[j] - x[i] for x in xyz]
+            cells = [np.rint(d[0] * inv[f"g1{c}"][i] + d[1] * inv[f"g2{c}"][i] + d[2] * inv[f"g3{c}"][i]) for c in (1, 2, 3)]
+            d = [d[c - 1] - (cells[0] * h[f"h1{c}"][i] + cells[1] * h[f"h2{c}"][i] + cells[2] * h[f"h3{c}"][i]) for c in (1, 2, 3)]
+            r = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+            slot = np.where(r <= r_max, np.minimum(np.floor(r / r_max * nbins), nbins - 1), nbins).astype("int64")
+            key = (((run[i] * k + code[i]) * k + code[j]) * slots + slot)[(slot < nbins) | alone[i]]
+            if size <= 1 << 20:
+                count = np.bincount(key, minlength=size)
+                key = np.flatnonzero(count)
+                count = count[key]
+            else:
+                key, count = np.unique(key, return_counts=True)
+            out.append(np.stack((key, np.full(len(key), lag), count)))
+    key, lag, count = np.concatenate(out, axis=1)
+    at_run, at_code = (np.unique(v, return_index=True)[1] for v in (run, code))
+    r, i, j, slot = at_run[key // (slots * k * k)], at_code[key // (slots * k) % k], at_code[key // slots % k], key % slots
+    of = lambda c, at: p[c].to_numpy()[at]
+    ids = {"run_id": of("run_id", r)} | {f"{c}_i": of(c, i) for c in by} | {f"{c}_j": of(c, j) for c in by}
+    return pd.DataFrame(ids | {"lag": lag.astype("int32"), "bin": np.where(slot < nbins, slot, -1).astype("int32"), "count": count, "pairs": np.where(alone[r], count, 0)})
+
+
+def vanhove_groups(a: DataFrame, b: DataFrame, cells: DataFrame, lags: list[int], r_max: float, nbins: int, *by: str) -> DataFrame:
+    """(run_id, by_i, by_j, lag, bin, r, count, rpd, g): distinct part between whole sets, atom i of a at t and atom j <> i of b at t + lag.
+
+    by: columns of both sets, such as the symbol, that part them into groups; every ordered pair of groups has a curve.
+    Grid cells are those of neighbours(). Atoms come together once per block of frames and cell, not once per lag, and are
+    counted there, so neither pairs nor copies for lags inside a block are shuffled. Pairs of any distance, for the norm,
+    are counted there too in runs of one grid cell; in others they come from counts by frame less an atom with itself.
+    """
+    by = list(by)
+    by_i, by_j = [f"{c}_i" for c in by], [f"{c}_j" for c in by]
+    keys, place = ["run_id", *by_i, *by_j, "lag"], ["run_id", "block", "c1", "c2", "c3"]
+    held = P._is_broadcast(cells)
+    shape = [] if held else [*geom.CELL, *geom.INVERSE]
+    row = [*place, "frame", "at_idx", "x", "y", "z", *by, *shape, F.expr("n1 * n2 * n3 = 1").alias("alone")]
+    blocks = F.array_distinct(F.array(*[F.floor((F.col("frame") + k) / BLOCK) for k in lags]))
+    first = P.around(P.gridded(a, cells, r_max, carry=tuple(by))).withColumn("block", F.explode(blocks)).select(*row, F.lit(0).alias("role"))
+    later = P.gridded(b, cells, r_max, carry=tuple(by)).withColumn("block", F.floor(F.col("frame") / BLOCK)).select(*row, F.lit(1).alias("role"))
+    both = first.unionByName(later).repartition(*place)
+    # The cell joins a row after the shuffle where it can be broadcast.
+    both = both.join(F.broadcast(cells.select("run_id", *geom.CELL, *geom.INVERSE)), "run_id") if held else both
+    types = dict(a.dtypes)
+    schema = ", ".join(["run_id string", *[f"{c}_{s} {types[c]}" for s in "ij" for c in by], "lag int, bin int, count long, pairs long"])
+    near = both.sortWithinPartitions(*place, "role", "frame").mapInPandas(lambda batches: whole_groups(batches, place, lambda p: _distances(p, by, lags, r_max, nbins), 20000), schema)
+    counted = near.groupBy(*keys, "bin").agg(F.sum("count").alias("count"), F.sum("pairs").alias("pairs"))
+    a, b = (P.gridded(s, cells, r_max, carry=tuple(by)).where("n1 * n2 * n3 > 1").select(*KEY, "at_idx", *by) for s in (a, b))
+    i = a.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("frame", (F.col("frame") + F.col("lag")).cast("int")).withColumnsRenamed(dict(zip(by, by_i)))
+    j = b.withColumn("frame", F.col("frame").cast("int")).withColumnsRenamed(dict(zip(by, by_j)))
+    every = i.groupBy(*KEY, "lag", *by_i).agg(F.count("*").alias("ni")).join(j.groupBy(*KEY, *by_j).agg(F.count("*").alias("nj")), KEY)
+    own = i.join(j, [*KEY, "at_idx"])
+    every, own = every.groupBy(*keys).agg(F.sum(F.col("ni") * F.col("nj")).alias("pairs")), own.groupBy(*keys).agg((-F.count("*")).alias("pairs"))
+    # At most nbins counts a key.
+    g = counted.unionByName(every, allowMissingColumns=True).unionByName(own, allowMissingColumns=True).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("bin") >= 0, F.struct("bin", "count")))).alias("m"), F.sum("pairs").alias("n")
+    )
+    w = r_max / nbins
+    g = g.where(F.col("n") > 0).join(cells.select("run_id", "vol"), "run_id").selectExpr("*", f"explode(sequence(0, {nbins - 1})) AS bin").withColumn("count", F.expr("coalesce(m[bin], 0L)"))
+    shell = 4.0 / 3.0 * math.pi * (F.pow((F.col("bin") + 1) * w, 3) - F.pow(F.col("bin") * w, 3))
+    return g.select(*keys, "bin", ((F.col("bin") + 0.5) * w).alias("r"), "count", (F.col("count") / (F.col("n") * w)).alias("rpd"), (F.col("count") / (F.col("n") / F.col("vol") * shell)).alias("g"))
+
+
 def legendre(c: Column, order: int) -> Column:
     if order == 1:
         return c

@@ -83,15 +83,8 @@ def vectors(placed: DataFrame, cells: DataFrame | None, i: int = 0, j: int = 1,
     return d.select(*placed.columns, "dx", "dy", "dz")
 
 
-def neighbours(a: DataFrame, b: DataFrame, cells: DataFrame, cutoff: float, same: bool, lattice: str = "rows", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(run_id, frame, i, j, dist, and the carried columns c as c_i and c_j) with dist <= cutoff by the single-rounding rule; i from a, j from b.
-
-    same: a and b are one set, and each pair comes once (i < j); else i <> j.
-
-    Grid cells are at least cutoff thick, so partners lie in neighbouring cells; an axis that would have three
-    cells or fewer has one, as then nothing could be left out. a is copied to the neighbouring cells; the join is on (run,
-    frame, cell), so even a huge frame spreads over many tasks.
-    """
+def gridded(d: DataFrame, cells: DataFrame, cutoff: float, lattice: str = "rows", carry: tuple[str, ...] = ()) -> DataFrame:
+    """d with its run's cell, the number of grid cells along each axis (n1, n2, n3) and each atom's own (c1, c2, c3)."""
     h = lambda i: tuple(F.col(f"h{i}{k}") for k in (1, 2, 3))
     thick = {k: F.col("vol") / geom.norm(geom.cross(h(i), h(j))) for k, i, j in ((1, 2, 3), (2, 3, 1), (3, 1, 2))}
     if lattice == "columns":
@@ -99,17 +92,30 @@ def neighbours(a: DataFrame, b: DataFrame, cells: DataFrame, cutoff: float, same
         thick = {k: F.col("vol") / geom.norm(geom.cross(col(i), col(j))) for k, i, j in ((1, 2, 3), (2, 3, 1), (3, 1, 2))}
     c = cells.select("*", *[F.floor(thick[k] / cutoff).cast("int").alias(f"n{k}") for k in (1, 2, 3)])
     c = c.selectExpr("run_id", *geom.CELL, *geom.INVERSE, *[f"CASE WHEN n{k} > 3 THEN n{k} ELSE 1 END AS n{k}" for k in (1, 2, 3)])
+    e = d.select(*KEY, "at_idx", "x", "y", "z", *carry).join(F.broadcast(c) if _is_broadcast(cells) else c, "run_id")
+    frac = lambda j: " + ".join(f"{a} * " + (f"g{i}{j}" if lattice == "rows" else f"g{j}{i}") for i, a in zip((1, 2, 3), "xyz", strict=True))
+    # Fractions just below a whole number may round up to it: they belong to the first cell.
+    return e.selectExpr("*", *[f"pmod(int(floor(pmod({frac(k)}, 1D) * n{k})), n{k}) AS c{k}" for k in (1, 2, 3)])
 
-    def gridded(d):
-        e = d.select(*KEY, "at_idx", "x", "y", "z", *carry).join(F.broadcast(c) if _is_broadcast(cells) else c, "run_id")
-        frac = lambda j: " + ".join(f"{a} * " + (f"g{i}{j}" if lattice == "rows" else f"g{j}{i}") for i, a in zip((1, 2, 3), "xyz", strict=True))
-        # Fractions just below a whole number may round up to it: they belong to the first cell.
-        return e.selectExpr("*", *[f"pmod(int(floor(pmod({frac(k)}, 1D) * n{k})), n{k}) AS c{k}" for k in (1, 2, 3)])
 
-    left = gridded(a).withColumnsRenamed({"at_idx": "i", "x": "ax", "y": "ay", "z": "az"} | {c: f"{c}_i" for c in carry})
+def around(d: DataFrame) -> DataFrame:
+    """Gridded rows, copied to each of the cells that may hold partners."""
     for k in (1, 2, 3):
-        left = left.withColumn(f"c{k}", F.expr(f"explode(CASE WHEN n{k} = 1 THEN array(0) ELSE array(pmod(c{k} - 1, n{k}), c{k}, pmod(c{k} + 1, n{k})) END)"))
-    right = gridded(b).select(*KEY, F.col("at_idx").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), *[F.col(c).alias(f"{c}_j") for c in carry], "c1", "c2", "c3")
+        d = d.withColumn(f"c{k}", F.expr(f"explode(CASE WHEN n{k} = 1 THEN array(0) ELSE array(pmod(c{k} - 1, n{k}), c{k}, pmod(c{k} + 1, n{k})) END)"))
+    return d
+
+
+def neighbours(a: DataFrame, b: DataFrame, cells: DataFrame, cutoff: float, same: bool, lattice: str = "rows", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(run_id, frame, i, j, dist, and the carried columns c as c_i and c_j) with dist <= cutoff by the single-rounding rule; i from a, j from b.
+
+    same: a and b are one set, and each pair comes once (i < j); else i <> j.
+
+    Grid cells are at least cutoff thick, so partners lie in neighbouring cells; an axis that would have three
+    cells or fewer has one, as then nothing could be left out. a is copied to the neighbouring cells; the join is on (run,
+    frame, cell), so even a huge frame spreads over many tasks.
+    """
+    left = around(gridded(a, cells, cutoff, lattice, carry)).withColumnsRenamed({"at_idx": "i", "x": "ax", "y": "ay", "z": "az"} | {c: f"{c}_i" for c in carry})
+    right = gridded(b, cells, cutoff, lattice, carry).select(*KEY, F.col("at_idx").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), *[F.col(c).alias(f"{c}_j") for c in carry], "c1", "c2", "c3")
     j = left.join(right, [*KEY, "c1", "c2", "c3"]).where(F.col("i") < F.col("j") if same else F.col("i") != F.col("j"))
     d = geom.with_images(j, {"d": geom.sub(geom.v("b"), geom.v("a"))}, lattice)
     return geom.keep(d.select(*KEY, "i", "j", geom.norm(geom.v("d")).alias("dist"), *[f"{c}_{s}" for c in carry for s in "ij"]), F.col("dist") <= cutoff)

@@ -12,6 +12,7 @@ from moltide.operators import correlation as C
 from moltide.operators import pairs as P
 from moltide.plans.structure import _v, placed
 from moltide.plans.tables import SQL_ATOMS, SQL_BASE, atoms, cells, frames, rounded, sql_bin, sql_diff, sql_mic
+from moltide.session import written
 
 LAGS = [0, 1, 2, 4, 8, 16]
 LINE_LAGS = [1, 2, 3, 4, 5, 6, 8, 10]
@@ -72,6 +73,12 @@ def vanhove_distinct(spark, d):
     return rounded(C.vanhove_distinct(atoms(spark, d), cells(spark, d), pairs, [1, 4], 12.0, 24))
 
 
+def vanhove_distinct_groups(spark, d):
+    """The distinct part of every ordered pair of symbols, over all their atoms."""
+    a = written(atoms(spark, d).where(F.col("symb").isNotNull()).drop("row_id"), "vanhove")
+    return rounded(C.vanhove_groups(a, a, cells(spark, d), [1, 4], 12.0, 24, "symb"))
+
+
 def non_gaussian(spark, d):
     m = C.moments(atoms(spark, d), LAGS, "run_id")
     return rounded(m.select("run_id", "lag", "r2", F.ln(1 + F.col("r4")).alias("ln_r4"), "alpha2"), 3)
@@ -132,7 +139,7 @@ def kww_fit(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (msd_by_lag, msd_per_atom, msd_1d_projection, msd_fft, diffusion_coefficient, autocorr, energy_autocorr, vanhove_self, vanhove_slice, vanhove_distinct, non_gaussian, vanhove_summary, isf, vrd_series, channel_assign, channel_switch_rate, direction_sweep, projection, kww_fit)
+    for f in (msd_by_lag, msd_per_atom, msd_1d_projection, msd_fft, diffusion_coefficient, autocorr, energy_autocorr, vanhove_self, vanhove_slice, vanhove_distinct, vanhove_distinct_groups, non_gaussian, vanhove_summary, isf, vrd_series, channel_assign, channel_switch_rate, direction_sweep, projection, kww_fit)
 } | {"vrd_l1": _vrd(1), "vrd_l2": _vrd(2), "vrd_l3": _vrd(3), "vrd_per_pair": _vrd(2, False)}
 
 
@@ -188,6 +195,10 @@ SQL = {
         n AS (SELECT run_id, lag, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT run_id, lag, {sql_bin('d', 0.0, 12.0, 24)} AS bin, count(*) AS count FROM s WHERE d <= 12.0 GROUP BY ALL),
         g AS (SELECT n.run_id, n.lag, CAST(b.bin AS INTEGER) AS bin, n.n, vol, coalesce(k.count, 0) AS count FROM n CROSS JOIN range(24) b(bin) LEFT JOIN k ON k.run_id = n.run_id AND k.lag = n.lag AND k.bin = b.bin JOIN c ON c.run_id = n.run_id)
         SELECT run_id, lag, bin, (bin + 0.5) * 0.5 AS r, count, round(count / (n * 0.5), 6) + 0.0 AS rpd, round(count / (n / vol * {_s2}), 6) + 0.0 AS g FROM g""",
+    "vanhove_distinct_groups": f"""WITH {SQL_BASE}, s AS (SELECT p.run_id, p.symb AS symb_i, q.symb AS symb_j, t.lag, sqrt({' + '.join(f'{e} * {e}' for e in _d2)}) AS d FROM a p CROSS JOIN {_lags([1, 4])} JOIN a q ON q.run_id = p.run_id AND q.frame = p.frame + t.lag AND q.at_idx <> p.at_idx JOIN c ON c.run_id = p.run_id WHERE p.symb IS NOT NULL AND q.symb IS NOT NULL),
+        n AS (SELECT run_id, symb_i, symb_j, lag, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT run_id, symb_i, symb_j, lag, {sql_bin('d', 0.0, 12.0, 24)} AS bin, count(*) AS count FROM s WHERE d <= 12.0 GROUP BY ALL),
+        g AS (SELECT n.run_id, n.symb_i, n.symb_j, n.lag, CAST(b.bin AS INTEGER) AS bin, n.n, vol, coalesce(k.count, 0) AS count FROM n CROSS JOIN range(24) b(bin) LEFT JOIN k ON k.run_id = n.run_id AND k.symb_i = n.symb_i AND k.symb_j = n.symb_j AND k.lag = n.lag AND k.bin = b.bin JOIN c ON c.run_id = n.run_id)
+        SELECT run_id, symb_i, symb_j, lag, bin, (bin + 0.5) * 0.5 AS r, count, round(count / (n * 0.5), 6) + 0.0 AS rpd, round(count / (n / vol * {_s2}), 6) + 0.0 AS g FROM g""",
     "non_gaussian": f"WITH {SQL_ATOMS}, {_mom} SELECT run_id, lag, round(r2, 3) + 0.0 AS r2, round(ln(1 + r4), 3) + 0.0 AS ln_r4, round(alpha2, 3) + 0.0 AS alpha2 FROM al",
     "vanhove_summary": f"WITH {SQL_ATOMS}, {_mom}, s AS (SELECT run_id, max(alpha2) AS m FROM al GROUP BY run_id) SELECT run_id, round(m, 3) + 0.0 AS peak_alpha2, CASE WHEN m < 0.1 THEN 'Gaussian' ELSE 'heterogeneous' END AS kind FROM s",
     "vrd_series": f"WITH {SQL_ATOMS}, v AS (SELECT run_id, at_idx AS series_id, frame, x AS vx, y AS vy, z AS vz FROM a), {_vrd_sql('v', 2, 10, 3, 5, 'run_id')}",

@@ -157,6 +157,29 @@ def test_fft_counts_lags_in_frames(spark):
     assert sorted(x["lag"] for x in C.msd_fft(ends).collect()) == [0, 1, 29, 30]
 
 
+@pytest.mark.parametrize("m,r_max", [(BOX, 2.2), (SKEW, 2.0), (BOX, 6.0)])
+def test_vanhove_of_whole_groups(spark, m, r_max):
+    rng = np.random.default_rng(6)
+    p = rng.uniform(-10, 20, (7, 20, 3))
+    symbols = "OOHHHHHCOH" * 2
+    a = atoms(spark, p, symbols).where("frame <> 3 AND NOT (frame = 2 AND at_idx = 4)")
+    seen = [(f, k) for f in range(7) for k in range(20) if f != 3 and (f, k) != (2, 4)]
+    first, second = a.where("symb IN ('O', 'H')"), a.where("symb IN ('H', 'C')")
+    got = C.vanhove_groups(first, second, cells(spark, m), [1, 2, 9], r_max, 4, "symb").collect()
+    want = {}
+    for (f, i), (h, j) in itertools.product(seen, seen):
+        if i != j and h - f in (1, 2) and symbols[i] in "OH" and symbols[j] in "HC":
+            want.setdefault((symbols[i], symbols[j], h - f), []).append(np.linalg.norm(nearest(p[h][j] - p[f][i], m)))
+    assert {(x["symb_i"], x["symb_j"], x["lag"]) for x in got} == set(want) and len(got) == 4 * len(want)
+    vol = abs(np.linalg.det(np.array(m).reshape(3, 3)))
+    for x in got:
+        d = want[x["symb_i"], x["symb_j"], x["lag"]]
+        count, edges = np.histogram(d, 4, (0, r_max))
+        k = x["bin"]
+        assert x["count"] == count[k] and x["rpd"] == pytest.approx(count[k] / len(d) * 4 / r_max)
+        assert x["g"] == pytest.approx(count[k] / (len(d) / vol * 4 / 3 * math.pi * (edges[k + 1] ** 3 - edges[k] ** 3)))
+
+
 def test_rotating_vector(spark):
     w = 0.05
     v = spark.createDataFrame([("r", 1, i, math.cos(w * i), math.sin(w * i), 0.0) for i in range(60)], "run_id string, series_id int, frame int, vx double, vy double, vz double")

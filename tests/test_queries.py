@@ -36,6 +36,11 @@ def test_equal_rows(spark, duck, name):
                 assert float(x) == pytest.approx(float(y), abs=1e-9)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_vanhove_takes_whole_groups(spark, duck):
+    test_equal_rows(spark, duck, "vanhove_distinct_groups")
+
+
 def test_contract():
     q, s = entry.queries(), entry.oracle_sql()
     assert set(s) <= set(q) and "rdf" in q
