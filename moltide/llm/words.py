@@ -45,7 +45,15 @@ def byte_kinds(b: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def unbroken(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts without soft hyphens and without hyphens at the end of a line inside a word."""
+    """The texts without soft hyphens and without hyphens at the end of a line inside a word; every line end is LF."""
+    cr = np.flatnonzero(b == 0x0D)
+    if len(cr):
+        b = b.copy()
+        after = np.append(b, 0)[cr + 1]
+        b[cr] = 0x0A
+        drop = np.zeros(len(b), bool)
+        drop[cr[(after == 0x0A) & ~np.isin(cr + 1, off)]] = True
+        b, off = b[~drop], off - np.concatenate(([0], np.cumsum(drop)))[off]
     n = len(b)
     p = np.concatenate((b, np.zeros(2, "uint8")))
     low = (b >= 0x61) & (b <= 0x7A) | (b >= 0x80)

@@ -57,3 +57,13 @@ def test_pieces():
     sentence, word = r.measures()
     assert sentence.tolist() == [4.0, 0.0, 0.0, 3.0] and r.blank_words.tolist() == [7, 0, 0, 3]
     assert abs(word[3] - 3.0) < 1e-9
+
+
+def test_line_ends():
+    lf = "The man went home.\nIt was dark and very wet.\n\nThe quali-\nfied clerk saw it! He left then.\n"
+    texts = [lf, lf.replace("\n", "\r\n"), lf.replace("\n", "\r"), "\nEnd of it all."]
+    r = RD.Reader(character_classes(), *next((x, o) for _, _, x, o in slices(pa.array(texts))))
+    sentence, word = r.measures()
+    assert len(set(sentence[:3])) == 1 and len(set(word[:3])) == 1 and sentence[0] == 6.0
+    b, off = unbroken(*next((x, o) for _, _, x, o in slices(pa.array(texts))))
+    assert [b[i:j].tobytes().decode() for i, j in zip(off, off[1:])] == [unbroken_lf := lf.replace("-\n", ""), unbroken_lf, unbroken_lf, texts[3]]
