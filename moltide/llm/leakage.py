@@ -461,7 +461,9 @@ def prepared(items: DataFrame, classes: np.ndarray, contexts: int = CONTEXTS) ->
                 rows = []
                 for t in cut:
                     w = np.concatenate([reader.of(b, off)[0] for _, _, b, off in slices(pa.array([t], pa.large_string()))] or [np.zeros(0, "uint64")])
-                    padded = np.concatenate((np.zeros(BESIDE, "uint64"), w, np.zeros(BESIDE, "uint64")))
+                    # At the ends of a text the context is its own: a formula at the end of many items has as many contexts.
+                    edge = np.full(BESIDE, xxhash.xxh64_intdigest(t), "uint64")
+                    padded = np.concatenate((edge, w, edge))
                     rows.append([{"word": a, "context": b} for a, b in zip(w.view("int64").tolist(), shingles(padded, 2 * BESIDE + 1).view("int64").tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(cut), pa.int64()), pa.array(cut), pa.array(rows, pa.list_(pa.struct([("word", pa.int64()), ("context", pa.int64())])))], ["item_id", "text", "words"])
 
