@@ -277,6 +277,10 @@ class Items:
                 i, j, skipped = x, y, 0
                 continue
             x, y = i + step, j + step
+            # Words that are blacked out or left out: on with two words of the item, perhaps with another one left out between them.
+            if gone := next((d for d in range(1, REPLACED) if self._goes_on(own, words, a, b, i + d * step, j, lo, hi, step)), 0):
+                i, skipped = i + gone * step, 0
+                continue
             if not (a <= x < b and lo <= y < hi and own[x] == words[y - lo]):
                 # Words put in between, perhaps beside replaced ones: on with REJOIN words of the item in a row.
                 best = None
@@ -288,12 +292,25 @@ class Items:
                         e = (q + ahead_of - j) * step
                         if 0 <= e <= GAP + d and (best is None or d + e < best[0]):
                             best = (d + e, i + d * step, q + ahead_of)
+                if not best:
+                    # Behind a header a word may be left out at once: the word beside it, then REJOIN words in a row.
+                    p = i + 2 * step - ahead_of
+                    for q in near.trigram(self.third[p]) if a <= p <= b - REJOIN else ():
+                        k = q + ahead_of - step
+                        for m in (k, k - step):
+                            if 0 < (m - j) * step <= GAP and lo <= m < hi and words[m - lo] == own[i] and best is None:
+                                best = (0, i, m)
                 if best:
                     _, i, j = best
                     skipped = 0
                     continue
             i, j, skipped = x, y, skipped + 1
 
+    @staticmethod
+    def _goes_on(own: list[int], words: list[int], a: int, b: int, i: int, j: int, lo: int, hi: int, step: int) -> bool:
+        y = j + step
+        return a <= i < b and lo <= y < hi and own[i] == words[j - lo] and any(a <= i + k * step < b and own[i + k * step] == words[y - lo] for k in (1, 2))
+
     @staticmethod
     def _joint(name: list[str], near: Region, a: int, b: int, i: int, j: int, step: int) -> tuple[int, int, range] | None:
         """The places behind a word of one side that stands in two or three parts on the other, and the item's places in it."""
@@ -332,19 +349,27 @@ class Items:
         before, end = np.maximum.accumulate(7 * at - 8 * n), 8 * (n + 1) - 7 * (at + 1)
         begin = np.searchsorted(before, -end)
         last = np.flatnonzero(begin <= n)
-        last = last[at[last] - at[begin[last]] >= MIN_WORDS - 1]
+        # Unmatched words at its ends make a shorter stretch MIN_WORDS long, if the item has them.
+        first, after = (int(x) for x in self.bounds[item : item + 2])
+        last = last[(8 * (last - begin[last] + 1) >= 7 * MIN_WORDS) & (after - first >= MIN_WORDS)]
         met = np.concatenate(([0], np.cumsum(self.telling[at])))
-        first = int(self.bounds[item])
         within = np.concatenate(([0], np.cumsum(self.telling[first : int(at[-1]) + 1])))
         return bool((2 * (met[last + 1] - met[begin[last]]) >= within[at[last] + 1 - first] - within[at[begin[last]] - first]).any())
 
     def hopeful(self, item: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
         """Whether matched runs (n words from i and j on) may be part of a long enough alignment.
 
-        Either enough words in the same places around the run agree, or on one side REJOIN words in a row do behind an insertion.
+        The run is long itself, or another one follows, or enough words in the same places around the run agree, or on
+        one side REJOIN words in a row do behind an insertion.
         """
         least = MIN_WORDS * 7 // 8 - 1
-        ok = n >= least
+        ok = n > MIN_WORDS // 2
+        # Two runs of one document and item that follow each other.
+        order = np.lexsort((i, item, lo))
+        x, y = order[:-1], order[1:]
+        gap_i, gap_j = i[y] - i[x] - n[x], j[y] - j[x] - n[x]
+        near = (item[x] == item[y]) & (lo[x] == lo[y]) & (gap_i <= MIN_WORDS) & (gap_j > -MIN_WORDS) & (gap_j <= GAP + MIN_WORDS)
+        ok[x[near]] = ok[y[near]] = True
         rest = np.flatnonzero(~ok)
         for r in np.array_split(rest, len(rest) // 20000 + 1):
             a, b, low, high = self.bounds[item[r]], self.bounds[item[r] + 1], lo[r], hi[r]
