@@ -9,10 +9,13 @@ shortest image; exact=True looks at the 27 around it).
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moltide.session import broadcast_if_small
+
 Vec = tuple[Column, Column, Column]
 AXES = (1, 2, 3)
 CELL = [f"h{i}{j}" for i in AXES for j in AXES]
@@ -114,12 +117,49 @@ def dihedral(n1: Vec, n2: Vec, axis: Vec | None = None, degenerate: float = 0.0)
     return F.when(norm(n1) * norm(n2) > 1e-12, F.degrees(F.atan2(-dot(m, n2), dot(n1, n2)))).otherwise(F.lit(degenerate))
 
 
-def cells(frames: DataFrame, *keys: str) -> DataFrame:
-    """Cell columns per key (default run_id) from `lattice` (9 numbers) of the first frame that has one. A cell without volume gives null inverses."""
-    keys = keys or ("run_id",)
-    m = frames.where(F.size("lattice") == 9).groupBy(*keys).agg(F.min_by("lattice", "frame").alias("m"))
-    m = m.selectExpr(*keys, *[f"get(m, {i}) AS {n}" for i, n in enumerate(CELL)])
-    return with_inverse(m)
+EVERY = [*CELL, *INVERSE, "vol"]
+#: Bytes of a row of a cell table, for the check of its size.
+ROW_BYTES = 200
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Cells of runs, and of the frames whose cell is another one (a changing cell).
+
+    run: (run_id, cell, inverse, vol) of each run's first frame that has a cell. own: the same by (run_id, frame) for
+    frames that differ from it, None if there are none. small: both have a checked size and are broadcast.
+    """
+
+    run: DataFrame
+    own: DataFrame | None = None
+    small: bool = False
+
+    def on(self, df: DataFrame, *columns: str) -> DataFrame:
+        """df with the cell of each row's frame; runs without a cell drop out. df has run_id and frame."""
+        columns = columns or tuple(EVERY)
+        hint = F.broadcast if self.small else lambda d: d
+        if self.own is None:
+            return df.join(self.run.select("run_id", *columns), "run_id")
+        # Cells come from one table by (run, frame), frame -1 for the run's own: they stay plain columns, which keeps later expressions small.
+        every = self.run.select("run_id", F.lit(-1).alias("_at"), *columns).unionByName(self.own.select("run_id", F.col("frame").alias("_at"), *columns))
+        other = self.own.select("run_id", "frame", F.col("frame").alias("_at"))
+        j = df.join(hint(other), ["run_id", "frame"], "left").withColumn("_at", F.coalesce("_at", F.lit(-1)))
+        return j.join(hint(every), ["run_id", "_at"]).select(*df.columns, *columns)
+
+    def first(self) -> Cells:
+        """Each run's first cell for all of its frames."""
+        return Cells(self.run, None, self.small)
+
+
+def cells(frames: DataFrame) -> Cells:
+    """Cells from `lattice` (9 numbers). A cell without volume gives null inverses; of repeated frames with several lattices the least counts."""
+    f = frames.where(F.col("run_id").isNotNull() & F.col("frame").isNotNull() & (F.size("lattice") == 9)).groupBy("run_id", "frame").agg(F.min("lattice").alias("m"))
+    flat = lambda m, *keys: with_inverse(m.selectExpr(*keys, *[f"get(m, {i}) AS {n}" for i, n in enumerate(CELL)]))
+    run = f.groupBy("run_id").agg(F.min_by("m", "frame").alias("m"))
+    own = f.join(run.withColumnRenamed("m", "first"), "run_id").where(F.col("m") != F.col("first"))
+    run, few = broadcast_if_small(flat(run, "run_id"), ROW_BYTES)
+    own, small = broadcast_if_small(flat(own, "run_id", "frame"), ROW_BYTES)
+    return Cells(run, None if small and own.isEmpty() else own, few and small)
 
 
 def with_inverse(m: DataFrame) -> DataFrame:

@@ -34,43 +34,34 @@ def cutoff(criterion: str | float, first: str, second: str) -> float:
     return factor * (radius(first, kind) + radius(second, kind))
 
 
-def _limit(spark, d: DataFrame, criterion: str | float, a: str, b: str) -> tuple[DataFrame, Column]:
-    """d with the limit for the symbols in columns a and b; elements without radius give no contact."""
+def _limit(criterion: str | float, a: int, b: int) -> Column:
+    """The limit for members a and b of tuples placed with radii; null, so no contact, for elements without radius."""
     if isinstance(criterion, (int, float)):
-        return d, F.lit(float(criterion))
+        return F.lit(float(criterion))
     factor, kind = parse_criterion(criterion)
-    r = elements(spark).select("symbol", F.col({"vdw": "r_vdw", "coval": "r_cov"}[kind]).alias("radius"))
-    for c in (a, b):
-        d = d.join(F.broadcast(r.select(F.col("symbol").alias(c), F.col("radius").alias(f"radius_{c}"))), c)
-    return d, factor * (F.col(f"radius_{a}") + F.col(f"radius_{b}"))
+    r = {"vdw": "r_vdw", "coval": "r_cov"}[kind]
+    return factor * (F.col(f"p{a}{r}") + F.col(f"p{b}{r}"))
 
 
-def dimers_distance(atoms: DataFrame, cells: DataFrame | None, tups: DataFrame, criterion: str | float) -> DataFrame:
+def dimers_distance(atoms: DataFrame, cells: geom.Cells | None, tups: DataFrame, criterion: str | float) -> DataFrame:
     """(run_id, frame, tuple_id, a0, a1, dist) of the listed pairs with dist <= criterion."""
-    p = P.vectors(P.positions(atoms.withColumn("s0", F.struct("at_idx", "symb")), tups) if isinstance(criterion, (int, float)) else _with_symbols(atoms, tups), cells)
+    p = P.vectors(P.positions(atoms, tups) if isinstance(criterion, (int, float)) else _with_radii(atoms, tups), cells)
     d = p.withColumn("dist", geom.norm(geom.v("d")))
-    d, limit = _limit(atoms.sparkSession, d, criterion, "symb0", "symb1")
-    return geom.keep(d, F.col("dist") <= limit).select(*KEY, "tuple_id", "a0", "a1", "dist")
+    return geom.keep(d, F.col("dist") <= _limit(criterion, 0, 1)).select(*KEY, "tuple_id", "a0", "a1", "dist")
 
 
-def _with_symbols(atoms: DataFrame, tups: DataFrame) -> DataFrame:
-    """Placed tuples with the members' symbols as symb0, symb1, ...; null where an atom's symbol is."""
-    n = P.size_of(tups)
-    members = tups.select("tuple_id", F.posexplode(F.array(*[F.col(f"a{k}") for k in range(n)])).alias("role", "at_idx"))
-    j = atoms.select(*KEY, "at_idx", "symb", "x", "y", "z").join(F.broadcast(members), "at_idx")
-    g = j.groupBy(*KEY, "tuple_id").agg(*[F.max(F.when(F.col("role") == k, F.struct("x", "y", "z", "symb"))).alias(f"p{k}") for k in range(n)])
-    for k in range(n):
-        g = g.where(F.col(f"p{k}").isNotNull())
-    flat = g.select(*KEY, "tuple_id", *[F.col(f"p{k}.{c}").alias(f"p{k}{c}") for k in range(n) for c in "xyz"], *[F.col(f"p{k}.symb").alias(f"symb{k}") for k in range(n)])
-    return flat.join(F.broadcast(tups), "tuple_id")
+def _with_radii(atoms: DataFrame, tups: DataFrame) -> DataFrame:
+    """Placed tuples with the members' radii as p0r_vdw, p0r_cov, ..; null where the symbol or its radius is unknown."""
+    r = elements(atoms.sparkSession).select(F.col("symbol").alias("symb"), "r_vdw", "r_cov")
+    return P.positions(atoms.join(F.broadcast(r), "symb", "left"), tups, "r_vdw", "r_cov")
 
 
-def contacts_within(a: DataFrame, b: DataFrame, cells: DataFrame, limit: float, same: bool) -> DataFrame:
+def contacts_within(a: DataFrame, b: DataFrame, cells: geom.Cells, limit: float, same: bool) -> DataFrame:
     """Contacts of all atoms of two sets by cell list: (run_id, frame, i, j, dist)."""
     return P.neighbours(a, b, cells, limit, same)
 
 
-def dimers_com(atoms: DataFrame, cells: DataFrame | None, members: DataFrame, mol_pairs: DataFrame, limit: float) -> DataFrame:
+def dimers_com(atoms: DataFrame, cells: geom.Cells | None, members: DataFrame, mol_pairs: DataFrame, limit: float) -> DataFrame:
     """(run_id, frame, tuple_id, a0, a1, dist): pairs of molecules whose centers of mass are within the limit.
 
     members: (mol, at_idx); mol_pairs: (tuple_id, a0, a1) of mol numbers; both are the caller's lists.
@@ -81,32 +72,29 @@ def dimers_com(atoms: DataFrame, cells: DataFrame | None, members: DataFrame, mo
     return geom.keep(d, F.col("dist") <= limit).select(*KEY, "tuple_id", "a0", "a1", "dist")
 
 
-def hbond_geometry(atoms: DataFrame, cells: DataFrame | None, triples: DataFrame) -> DataFrame:
-    """(run_id, frame, tuple_id, a0 donor, a1 hydrogen, a2 acceptor, symb0.., r_da, r_dh, angle at the hydrogen)."""
-    p = _with_symbols(atoms, triples)
-    p = p.join(cells, "run_id") if cells is not None else p
+def hbond_geometry(atoms: DataFrame, cells: geom.Cells | None, triples: DataFrame) -> DataFrame:
+    """(run_id, frame, tuple_id, a0 donor, a1 hydrogen, a2 acceptor, radii p0r_vdw.., r_da, r_dh, angle at the hydrogen)."""
+    p = _with_radii(atoms, triples)
+    p = cells.on(p, *geom.CELL, *geom.INVERSE) if cells is not None else p
     leg = lambda i, j: geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}"))
     p = geom.with_images(p, {"da": leg(0, 2), "dh": leg(0, 1), "hd": leg(1, 0), "ha": leg(1, 2)}, periodic=cells is not None)
     return p.select(
-        *KEY, "tuple_id", "a0", "a1", "a2", "symb0", "symb1", "symb2",
+        *KEY, "tuple_id", "a0", "a1", "a2", *[f"p{k}{r}" for k in range(3) for r in ("r_vdw", "r_cov")],
         geom.norm(geom.v("da")).alias("r_da"), geom.norm(geom.v("dh")).alias("r_dh"), geom.angle(geom.v("hd"), geom.v("ha")).alias("angle"),
     )
 
 
-def dimers_angle(atoms: DataFrame, cells: DataFrame | None, triples: DataFrame, criterion: str | float, angle: str | float) -> DataFrame:
+def dimers_angle(atoms: DataFrame, cells: geom.Cells | None, triples: DataFrame, criterion: str | float, angle: str | float) -> DataFrame:
     """Hydrogen-bond contacts: D-A distance <= criterion and D-H-A angle >= angle.
 
     A flexible angle such as "120f" is compared with the angle times r(D-H) over 1.05 covalent radii sums of D and H.
     """
     g = hbond_geometry(atoms, cells, triples)
-    g, limit = _limit(atoms.sparkSession, g, criterion, "symb0", "symb2")
+    limit = _limit(criterion, 0, 2)
     if isinstance(angle, str):
         if not angle.endswith("f"):
             raise ValueError(f"no angle criterion: {angle!r}")
-        r = elements(atoms.sparkSession)
-        for c in ("symb0", "symb1"):
-            g = g.join(F.broadcast(r.select(F.col("symbol").alias(c), F.col("r_cov").alias(f"cov_{c}"))), c)
-        shown = F.col("angle") * F.col("r_dh") / (1.05 * (F.col("cov_symb0") + F.col("cov_symb1")))
+        shown = F.col("angle") * F.col("r_dh") / (1.05 * (F.col("p0r_cov") + F.col("p1r_cov")))
         least = float(angle[:-1])
     else:
         shown, least = F.col("angle"), float(angle)
@@ -114,11 +102,11 @@ def dimers_angle(atoms: DataFrame, cells: DataFrame | None, triples: DataFrame,
     return geom.keep(g, (F.col("r_da") <= limit) & ~F.isnan("angle") & (shown >= least)).select(*KEY, "tuple_id", "a0", "a1", "a2", F.col("r_da").alias("dist"), "angle")
 
 
-def hbonds(atoms: DataFrame, cells: DataFrame | None, triples: DataFrame, factor: float = 1.02) -> DataFrame:
+def hbonds(atoms: DataFrame, cells: geom.Cells | None, triples: DataFrame, factor: float = 1.02) -> DataFrame:
     """Hydrogen bonds by the distance-dependent angle rule: R(D-A) <= factor * van der Waals sum, and
     angle >= (degrees(atan2(R(D-A), r(D-H))) + 180) * 3 / 8."""
     g = hbond_geometry(atoms, cells, triples)
-    g, limit = _limit(atoms.sparkSession, g, f"{factor}vdw_sum", "symb0", "symb2")
+    limit = _limit(f"{factor}vdw_sum", 0, 2)
     least = (F.degrees(F.atan2("r_da", "r_dh")) + 180) * 3 / 8
     return geom.keep(g, (F.col("r_da") <= limit) & ~F.isnan("angle") & (F.col("angle") >= least)).select(*KEY, "tuple_id", "a0", "a1", "a2", "r_da", "r_dh", "angle")
 

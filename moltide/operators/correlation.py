@@ -187,11 +187,13 @@ def isf_distinct(vh: DataFrame, k: float, r_max: float, nbins: int, density: flo
     return vh.groupBy(*keys, "lag").agg(F.sum(4 * math.pi * F.col("r") * F.col("r") * density * (F.col("g") - 1) * F.when(kr == 0, 1.0).otherwise(F.sin(kr) / kr) * (r_max / nbins)).alias("isf"))
 
 
-def vanhove_distinct(series: DataFrame, cells: DataFrame, pairs: DataFrame, lags: list[int], r_max: float, nbins: int) -> DataFrame:
+def vanhove_distinct(series: DataFrame, cells: geom.Cells, pairs: DataFrame, lags: list[int], r_max: float, nbins: int) -> DataFrame:
     """(run_id, lag, bin, r, count, rpd, g): distance of atom i at t and atom j at t + lag by the nearest image.
 
     pairs: (i, j) with i <> j, a broadcast list of the caller's; n counts the observed pairs, g has them per volume and shell.
+    Two frames are compared in one cell, the run's first.
     """
+    cells = cells.run
     a = series.select(*KEY, F.col("at_idx").alias("i"), *[F.col(c).alias(f"a{c}") for c in "xyz"]).join(F.broadcast(pairs), "i")
     a = a.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("frame", (F.col("frame") + F.col("lag")).cast("int"))
     b = series.select("run_id", F.col("frame").cast("int").alias("frame"), F.col("at_idx").alias("j"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
@@ -254,18 +256,20 @@ def _distances(p: pd.DataFrame, by: list[str], lags: list[int], r_max: float, nb
     return pd.DataFrame(ids | {"lag": lag.astype("int32"), "bin": np.where(slot < nbins, slot, -1).astype("int32"), "count": count, "pairs": np.where(alone[r], count, 0)})
 
 
-def vanhove_groups(a: DataFrame, b: DataFrame, cells: DataFrame, lags: list[int], r_max: float, nbins: int, *by: str) -> DataFrame:
+def vanhove_groups(a: DataFrame, b: DataFrame, cells: geom.Cells, lags: list[int], r_max: float, nbins: int, *by: str) -> DataFrame:
     """(run_id, by_i, by_j, lag, bin, r, count, rpd, g): distinct part between whole sets, atom i of a at t and atom j <> i of b at t + lag.
 
     by: columns of both sets, such as the symbol, that part them into groups; every ordered pair of groups has a curve.
     Grid cells are those of neighbours(). Atoms come together once per block of frames and cell, not once per lag, and are
     counted there, so neither pairs nor copies for lags inside a block are shuffled. Pairs of any distance, for the norm,
     are counted there too in runs of one grid cell; in others they come from counts by frame less an atom with itself.
+    Two frames are compared in one cell, the run's first.
     """
     by = list(by)
     by_i, by_j = [f"{c}_i" for c in by], [f"{c}_j" for c in by]
     keys, place = ["run_id", *by_i, *by_j, "lag"], ["run_id", "block", "c1", "c2", "c3"]
-    held = P._is_broadcast(cells)
+    cells = cells.first()
+    held = cells.small
     shape = [] if held else [*geom.CELL, *geom.INVERSE]
     row = [*place, "frame", "at_idx", "x", "y", "z", *by, *shape, F.expr("n1 * n2 * n3 = 1").alias("alone")]
     blocks = F.array_distinct(F.array(*[F.floor((F.col("frame") + k) / BLOCK) for k in lags]))
@@ -273,7 +277,7 @@ def vanhove_groups(a: DataFrame, b: DataFrame, cells: DataFrame, lags: list[int]
     later = P.gridded(b, cells, r_max, carry=tuple(by)).withColumn("block", F.floor(F.col("frame") / BLOCK)).select(*row, F.lit(1).alias("role"))
     both = first.unionByName(later).repartition(*place)
     # The cell joins a row after the shuffle where it can be broadcast.
-    both = both.join(F.broadcast(cells.select("run_id", *geom.CELL, *geom.INVERSE)), "run_id") if held else both
+    both = both.join(F.broadcast(cells.run.select("run_id", *geom.CELL, *geom.INVERSE)), "run_id") if held else both
     types = dict(a.dtypes)
     schema = ", ".join(["run_id string", *[f"{c}_{s} {types[c]}" for s in "ij" for c in by], "lag int, bin int, count long, pairs long"])
     near = both.sortWithinPartitions(*place, "role", "frame").mapInPandas(lambda batches: whole_groups(batches, place, lambda p: _distances(p, by, lags, r_max, nbins), 20000), schema)
@@ -289,7 +293,7 @@ def vanhove_groups(a: DataFrame, b: DataFrame, cells: DataFrame, lags: list[int]
         F.map_from_entries(F.collect_list(F.when(F.col("bin") >= 0, F.struct("bin", "count")))).alias("m"), F.sum("pairs").alias("n")
     )
     w = r_max / nbins
-    g = g.where(F.col("n") > 0).join(cells.select("run_id", "vol"), "run_id").selectExpr("*", f"explode(sequence(0, {nbins - 1})) AS bin").withColumn("count", F.expr("coalesce(m[bin], 0L)"))
+    g = g.where(F.col("n") > 0).join(cells.run.select("run_id", "vol"), "run_id").selectExpr("*", f"explode(sequence(0, {nbins - 1})) AS bin").withColumn("count", F.expr("coalesce(m[bin], 0L)"))
     shell = 4.0 / 3.0 * math.pi * (F.pow((F.col("bin") + 1) * w, 3) - F.pow(F.col("bin") * w, 3))
     return g.select(*keys, "bin", ((F.col("bin") + 0.5) * w).alias("r"), "count", (F.col("count") / (F.col("n") * w)).alias("rpd"), (F.col("count") / (F.col("n") / F.col("vol") * shell)).alias("g"))
 

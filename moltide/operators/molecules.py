@@ -14,14 +14,15 @@ from moltide.operators.grouped import group_ids, map_groups
 from moltide.operators.select import KEY
 
 
-def bonds(atoms: DataFrame, cells: DataFrame, factor: float = 1.05) -> DataFrame:
-    """(run_id, frame, i, j, dist): dist < factor * (sum of covalent radii). Atoms without a known radius have no bonds."""
+def bonds(atoms: DataFrame, cells: geom.Cells, factor: float = 1.05, symbols: list[str] | None = None) -> DataFrame:
+    """(run_id, frame, i, j, dist): dist < factor * (sum of covalent radii). Atoms without a known radius have no bonds.
+
+    symbols: those that occur; they bound the search, which else reaches as far as the widest bond of any element.
+    """
     r = elements(atoms.sparkSession).where(F.col("r_cov").isNotNull()).select(F.col("symbol").alias("symb"), "r_cov")
     a = atoms.join(F.broadcast(r), "symb")
-    # The widest bond that the elements can have bounds the search.
-    reach = factor * 2 * max(R_COV.values())
-    present = a.agg(F.max("r_cov")).first()[0]
-    near = P.neighbours(a, a, cells, factor * 2 * present if present else reach, True, carry=("r_cov",))
+    widest = max((v for s, v in R_COV.items() if symbols is None or s in symbols), default=1.0)
+    near = P.neighbours(a, a, cells, factor * 2 * widest, True, carry=("r_cov",))
     return geom.keep(near, F.col("dist") < factor * (F.col("r_cov_i") + F.col("r_cov_j"))).select(*KEY, "i", "j", "dist")
 
 

@@ -64,35 +64,37 @@ def size_of(tups: DataFrame) -> int:
 
 
 def positions(atoms: DataFrame, tups: DataFrame, *carry: str) -> DataFrame:
-    """(run_id, frame, tuple_id, a0.., p0x, p0y, p0z, ..): the members' positions; frames lacking a member have no row."""
+    """(run_id, frame, tuple_id, a0.., p0x, p0y, p0z, ..): the members' positions; frames lacking a member have no row.
+
+    Number columns to carry come as p0<c>, p1<c>, .. too. A record has one row per atom and frame, so the greatest value is the
+    only one; numbers keep the aggregation in generated code.
+    """
     n = size_of(tups)
     members = tups.select("tuple_id", F.posexplode(F.array(*[F.col(f"a{k}") for k in range(n)])).alias("role", "at_idx"))
     j = atoms.select(*KEY, "at_idx", "x", "y", "z", *carry).join(F.broadcast(members), "at_idx")
-    pick = [F.max(F.when(F.col("role") == k, F.struct("x", "y", "z"))).alias(f"p{k}") for k in range(n)]
-    g = j.groupBy(*KEY, "tuple_id").agg(*pick, *[F.first(c).alias(c) for c in carry])
+    g = j.groupBy(*KEY, "tuple_id").agg(*[F.max(F.when(F.col("role") == k, F.col(c))).alias(f"p{k}{c}") for k in range(n) for c in ("x", "y", "z", *carry)])
     for k in range(n):
-        g = g.where(F.col(f"p{k}").isNotNull())
-    flat = g.select(*KEY, "tuple_id", *carry, *[F.col(f"p{k}.{c}").alias(f"p{k}{c}") for k in range(n) for c in "xyz"])
-    return flat.join(F.broadcast(tups), "tuple_id")
+        g = g.where(F.col(f"p{k}x").isNotNull())
+    return g.join(F.broadcast(tups), "tuple_id")
 
 
-def vectors(placed: DataFrame, cells: DataFrame | None, i: int = 0, j: int = 1, lattice: str = "rows") -> DataFrame:
+def vectors(placed: DataFrame, cells: geom.Cells | None, i: int = 0, j: int = 1, lattice: str = "rows") -> DataFrame:
     """Adds dx, dy, dz from member i to member j; by the nearest image if cells are given."""
-    p = placed.join(cells, "run_id") if cells is not None else placed
+    p = cells.on(placed, *geom.CELL, *geom.INVERSE) if cells is not None else placed
     d = geom.with_images(p, {"d": geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}"))}, lattice, cells is not None)
     return d.select(*placed.columns, "dx", "dy", "dz")
 
 
-def gridded(d: DataFrame, cells: DataFrame, cutoff: float, lattice: str = "rows", carry: tuple[str, ...] = ()) -> DataFrame:
-    """d with its run's cell, the number of grid cells along each axis (n1, n2, n3) and each atom's own (c1, c2, c3)."""
+def gridded(d: DataFrame, cells: geom.Cells, cutoff: float, lattice: str = "rows", carry: tuple[str, ...] = ()) -> DataFrame:
+    """d with its frame's cell, the number of grid cells along each axis (n1, n2, n3) and each atom's own (c1, c2, c3)."""
     h = lambda i: tuple(F.col(f"h{i}{k}") for k in (1, 2, 3))
     thick = {k: F.col("vol") / geom.norm(geom.cross(h(i), h(j))) for k, i, j in ((1, 2, 3), (2, 3, 1), (3, 1, 2))}
     if lattice == "columns":
         col = lambda j: tuple(F.col(f"h{k}{j}") for k in (1, 2, 3))
         thick = {k: F.col("vol") / geom.norm(geom.cross(col(i), col(j))) for k, i, j in ((1, 2, 3), (2, 3, 1), (3, 1, 2))}
-    c = cells.select("*", *[F.floor(thick[k] / cutoff).cast("int").alias(f"n{k}") for k in (1, 2, 3)])
-    c = c.selectExpr("run_id", *geom.CELL, *geom.INVERSE, *[f"CASE WHEN n{k} > 3 THEN n{k} ELSE 1 END AS n{k}" for k in (1, 2, 3)])
-    e = d.select(*KEY, "at_idx", "x", "y", "z", *carry).join(F.broadcast(c) if _is_broadcast(cells) else c, "run_id")
+    e = cells.on(d.select(*KEY, "at_idx", "x", "y", "z", *carry))
+    e = e.select("*", *[F.floor(thick[k] / cutoff).cast("int").alias(f"n{k}") for k in (1, 2, 3)]).drop("vol")
+    e = e.selectExpr(*[c for c in e.columns if c not in ("n1", "n2", "n3")], *[f"CASE WHEN n{k} > 3 THEN n{k} ELSE 1 END AS n{k}" for k in (1, 2, 3)])
     frac = lambda j: " + ".join(f"{a} * " + (f"g{i}{j}" if lattice == "rows" else f"g{j}{i}") for i, a in zip((1, 2, 3), "xyz", strict=True))
     # Fractions just below a whole number may round up to it: they belong to the first cell.
     return e.selectExpr("*", *[f"pmod(int(floor(pmod({frac(k)}, 1D) * n{k})), n{k}) AS c{k}" for k in (1, 2, 3)])
@@ -105,7 +107,7 @@ def around(d: DataFrame) -> DataFrame:
     return d
 
 
-def neighbours(a: DataFrame, b: DataFrame, cells: DataFrame, cutoff: float, same: bool, lattice: str = "rows", carry: tuple[str, ...] = ()) -> DataFrame:
+def neighbours(a: DataFrame, b: DataFrame, cells: geom.Cells, cutoff: float, same: bool, lattice: str = "rows", carry: tuple[str, ...] = ()) -> DataFrame:
     """(run_id, frame, i, j, dist, and the carried columns c as c_i and c_j) with dist <= cutoff by the single-rounding rule; i from a, j from b.
 
     same: a and b are one set, and each pair comes once (i < j); else i <> j.
@@ -121,11 +123,6 @@ def neighbours(a: DataFrame, b: DataFrame, cells: DataFrame, cutoff: float, same
     return geom.keep(d.select(*KEY, "i", "j", geom.norm(geom.v("d")).alias("dist"), *[f"{c}_{s}" for c in carry for s in "ij"]), F.col("dist") <= cutoff)
 
 
-def _is_broadcast(df: DataFrame) -> bool:
-    """Whether a table carries the broadcast hint of a checked size."""
-    return "ResolvedHint" in df._jdf.queryExecution().analyzed().getClass().getSimpleName()
-
-
 def find_d_a(sites: list[dict[str, int]]) -> tuple[list[dict[str, int]], list[dict[str, int]]]:
     """Donors and acceptors of named sites, by the element of the first key and the number of its hydrogens.
 

@@ -15,12 +15,19 @@ from moltide.functions.elements import elements
 KEY = ["run_id", "frame"]
 
 
-def cleaned(atoms: DataFrame, limit: float = 1e4) -> DataFrame:
-    """Each record once (by row_id), with finite coordinates below the limit."""
+#: Coordinates (angstrom) and energies (eV) of this size or more are no readings of a simulation cell, whatever their source.
+FARTHEST, HIGHEST = 1e4, 1e7
+
+
+def cleaned(atoms: DataFrame, limit: float = FARTHEST) -> DataFrame:
+    """Each record once (rows equal but for ingested_at), with finite coordinates below the limit.
+
+    One shuffle, by (run_id, frame): what is later grouped by frames needs no other.
+    """
     ok = F.col("run_id").isNotNull() & F.col("frame").isNotNull() & F.col("at_idx").isNotNull()
     for c in "xyz":
         ok = ok & F.col(c).isNotNull() & (F.abs(c) < limit)
-    return atoms.where(ok).select("row_id", "run_id", "frame", "at_idx", "symb", "x", "y", "z").dropDuplicates(["row_id"])
+    return atoms.where(ok).select("row_id", "run_id", "frame", "at_idx", "symb", "x", "y", "z").repartition("run_id", "frame").distinct()
 
 
 def by_symbol(atoms: DataFrame, *symbols: str) -> DataFrame:
@@ -47,9 +54,14 @@ def take(atoms: DataFrame, ids: list[int]) -> DataFrame:
 
 
 def at_slice(atoms: DataFrame, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
-    i = F.col("at_idx")
-    out = atoms.where((i >= start) & ((i - start) % step == 0))
-    return out.where(i < stop) if stop is not None else out
+    """Atoms start, start + step, ... before stop; negative bounds count from behind a frame's last atom."""
+    i, out = F.col("at_idx"), atoms
+    if start < 0 or stop is not None and stop < 0:
+        out = out.join(atoms.groupBy(*KEY).agg((F.max("at_idx") + 1).alias("_n")), KEY)
+    at = lambda v: F.greatest(F.col("_n") + v, F.lit(0)) if v < 0 else F.lit(v)
+    low = at(start)
+    out = out.where((i >= low) & ((i - low) % step == 0))
+    return (out.where(i < at(stop)) if stop is not None else out).select(*atoms.columns)
 
 
 def at_sel(atoms: DataFrame, condition: Column, inverse: bool = False) -> DataFrame:
@@ -77,7 +89,7 @@ def frame_list(atoms: DataFrame, ids: list[int]) -> DataFrame:
 
 def run_lengths(frames: DataFrame) -> DataFrame:
     """(run_id, nframes, first_frame, last_frame, is_npt): is_npt if first and last cell differ by more than 1e-5."""
-    f = frames.where(F.col("run_id").isNotNull() & F.col("frame").isNotNull()).dropDuplicates(["frame_id"])
+    f = frames.where(F.col("run_id").isNotNull() & F.col("frame").isNotNull()).select("frame_id", "run_id", "frame", "lattice").distinct()
     ends = f.groupBy("run_id").agg(F.count("*").alias("nframes"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.min_by("lattice", "frame").alias("a"), F.max_by("lattice", "frame").alias("b"))
     differ = F.exists(F.zip_with("a", "b", lambda p, q: F.abs(p - q) > 1e-5 + 1e-5 * F.abs(q)), lambda d: d)
     return ends.select("run_id", "nframes", "first_frame", "last_frame", F.coalesce(differ, F.lit(False)).alias("is_npt"))
@@ -102,19 +114,19 @@ def calib(atoms: DataFrame) -> DataFrame:
     return atoms.join(shift, KEY).select(*[(F.col(c) + F.col(f"d{c}")).alias(c) if c in "xyz" else F.col(c) for c in atoms.columns])
 
 
-def with_cell(atoms: DataFrame, cells: DataFrame) -> DataFrame:
-    """Atoms with their run's cell; a size-checked broadcast is the caller's choice (session.broadcast_if_small)."""
-    return atoms.join(cells, "run_id")
+def with_cell(atoms: DataFrame, cells: geom.Cells) -> DataFrame:
+    """Atoms with the cell of their frame."""
+    return cells.on(atoms)
 
 
-def wrap(atoms: DataFrame, cells: DataFrame, center=(0.5, 0.5, 0.5), eps: float = 1e-7, pbc=(True, True, True), lattice: str = "rows") -> DataFrame:
+def wrap(atoms: DataFrame, cells: geom.Cells, center=(0.5, 0.5, 0.5), eps: float = 1e-7, pbc=(True, True, True), lattice: str = "rows") -> DataFrame:
     """Atoms moved into the box around the center."""
     a = with_cell(atoms, cells)
     r = geom.to_cart(geom.wrapped(geom.to_frac(geom.v(""), lattice), center, eps, pbc), lattice)
     return a.select(*[r["xyz".index(c)].alias(c) if c in "xyz" else F.col(c) for c in atoms.columns])
 
 
-def fractions(atoms: DataFrame, cells: DataFrame, lattice: str = "rows") -> DataFrame:
+def fractions(atoms: DataFrame, cells: geom.Cells, lattice: str = "rows") -> DataFrame:
     a = with_cell(atoms, cells)
     return a.select(*atoms.columns, *[s.alias(n) for s, n in zip(geom.to_frac(geom.v(""), lattice), ("sx", "sy", "sz"), strict=True)])
 

@@ -11,7 +11,7 @@ from moltide.operators import lifetime as L
 from moltide.operators import molecules as M
 from moltide.operators import pairs as P
 from moltide.plans.structure import _ang, _dot, _masses, _near, _rel, _v, placed
-from moltide.plans.tables import SQL_ATOMS, SQL_BASE, atoms, cells, frames, rounded, sql_bin, sql_diff, sql_mic, table
+from moltide.plans.tables import SQL_ATOMS, SQL_BASE, atoms, cells, frames, rounded, sql_bin, sql_diff, sql_mic, symbols, table
 from moltide.sources import records
 
 KEY = ["run_id", "frame"]
@@ -121,18 +121,22 @@ def dlddf(spark, d):
     return L.dlddf(moved, 10.0, TAU, DR).select("bin_x", "bin_y", "count")
 
 
+def _bonds(spark, d, a):
+    return M.bonds(a, cells(spark, d), BOND_FACTOR, symbols(spark, d))
+
+
 def bonds(spark, d):
-    return rounded(M.bonds(atoms(spark, d), cells(spark, d), BOND_FACTOR))
+    return rounded(_bonds(spark, d, atoms(spark, d)))
 
 
 def molecules(spark, d):
     a = atoms(spark, d)
-    return M.molecules(a, M.components(a, M.bonds(a, cells(spark, d), BOND_FACTOR))).select(*KEY, "mol", "formula", F.size("at_idx").alias("n"))
+    return M.molecules(a, M.components(a, _bonds(spark, d, a))).select(*KEY, "mol", "formula", F.size("at_idx").alias("n"))
 
 
 def molecule_formulas(spark, d):
     a = atoms(spark, d)
-    return M.formula_counts(M.molecules(a, M.components(a, M.bonds(a, cells(spark, d), BOND_FACTOR))))
+    return M.formula_counts(M.molecules(a, M.components(a, _bonds(spark, d, a))))
 
 
 def biexp_fit(spark, d):
@@ -204,7 +208,7 @@ SQL = {
     "dimers_distance": f"WITH {SQL_BASE}, {_dm} SELECT run_id, frame, tuple_id, a0, a1, round(dist, 6) + 0.0 AS dist FROM dm WHERE dist <= {LIMIT}",
     "dimers_criterion": f"WITH {SQL_BASE}, {_dm}, {_vdw} SELECT run_id, frame, tuple_id, a0, a1, round(dist, 6) + 0.0 AS dist FROM dm JOIN rv v0 ON v0.symb = s0 JOIN rv v1 ON v1.symb = s1 WHERE dist <= 2.2 * (v0.r + v1.r)",
     "dimers_com": f"""WITH {SQL_BASE}, {_masses}, mm(mol, at_idx) AS (VALUES {', '.join(map(str, MOLECULES))}), cm AS (SELECT run_id, frame, mol, {', '.join(f'sum(mass * {k}) / sum(mass) AS c{k}' for k in 'xyz')} FROM a JOIN mm USING (at_idx) JOIN e USING (symb) GROUP BY run_id, frame, mol),
-        l AS (SELECT p.run_id, p.frame, tuple_id, a0, a1, {_v('d', _cd)} FROM {_rel(MOL_PAIRS)} JOIN cm p ON p.mol = a0 JOIN cm q ON q.mol = a1 AND q.run_id = p.run_id AND q.frame = p.frame JOIN c ON c.run_id = p.run_id)
+        l AS (SELECT p.run_id, p.frame, tuple_id, a0, a1, {_v('d', _cd)} FROM {_rel(MOL_PAIRS)} JOIN cm p ON p.mol = a0 JOIN cm q ON q.mol = a1 AND q.run_id = p.run_id AND q.frame = p.frame JOIN c ON c.run_id = p.run_id AND c.frame = p.frame)
         SELECT run_id, frame, tuple_id, a0, a1, round(sqrt({_dot('d', 'd')}), 5) + 0.0 AS dist FROM l WHERE sqrt({_dot('d', 'd')}) <= {COM_LIMIT}""",
     "dimers_angle": f"WITH {SQL_BASE}, {_hb} SELECT run_id, frame, tuple_id, a0, a1, a2, round(r_da, 5) + 0.0 AS dist FROM hb WHERE r_da <= {LIMIT} AND angle >= 90.0",
     "dimers_flexible": f"WITH {SQL_BASE}, {_hb}, {_vdw}, {_cov} SELECT run_id, frame, tuple_id, a0, a1, a2, round(r_da, 5) + 0.0 AS dist FROM hb JOIN rv v0 ON v0.symb = s0 JOIN rv v2 ON v2.symb = s2 JOIN rc c0 ON c0.symb = s0 JOIN rc c1 ON c1.symb = s1 WHERE r_da <= 3.0 * (v0.r + v2.r) AND angle * r_dh / (1.05 * (c0.r + c1.r)) >= 300.0",
@@ -217,7 +221,7 @@ SQL = {
         og AS (SELECT x.run_id, x.tuple_id, x.place, t.k FROM ct x CROSS JOIN range(1, {WINDOW}) t(k) LEFT JOIN ct y ON y.run_id = x.run_id AND y.tuple_id = x.tuple_id AND y.place = x.place + t.k WHERE x.place <= x.places - {WINDOW} AND y.place IS NULL),
         de AS (SELECT run_id, tuple_id, place, min(k) AS life FROM og GROUP BY ALL),
         cp AS (SELECT cen.*, place FROM cen JOIN pl USING (run_id, frame)),
-        mv AS (SELECT de.run_id, de.life, {_v('d', _moved)} FROM de JOIN cp o ON o.run_id = de.run_id AND o.tuple_id = de.tuple_id AND o.place = de.place JOIN cp z ON z.run_id = de.run_id AND z.tuple_id = de.tuple_id AND z.place = de.place + de.life JOIN c ON c.run_id = de.run_id),
+        mv AS (SELECT de.run_id, de.life, {_v('d', _moved)} FROM de JOIN cp o ON o.run_id = de.run_id AND o.tuple_id = de.tuple_id AND o.place = de.place JOIN cp z ON z.run_id = de.run_id AND z.tuple_id = de.tuple_id AND z.place = de.place + de.life JOIN cr c ON c.run_id = de.run_id),
         v AS (SELECT life * 10.0 / 1000.0 AS tau, sqrt({_dot('d', 'd')}) AS dr FROM mv)
         SELECT {sql_bin('tau', *TAU)} AS bin_x, {sql_bin('dr', *DR)} AS bin_y, count(*) AS count FROM v WHERE tau <= {TAU[1]} AND dr <= {DR[1]} GROUP BY ALL""",
     "bonds": f"WITH {SQL_BASE}, {_bd} SELECT run_id, frame, i, j, round(dist, 6) + 0.0 AS dist FROM bd",

@@ -10,6 +10,7 @@ from moltide.functions import fits, geom
 from moltide.operators import channels as CH
 from moltide.operators import correlation as C
 from moltide.operators import pairs as P
+from moltide.operators.select import HIGHEST
 from moltide.plans.structure import _v, placed
 from moltide.plans.tables import SQL_ATOMS, SQL_BASE, atoms, cells, frames, rounded, sql_bin, sql_diff, sql_mic
 from moltide.session import written
@@ -52,7 +53,7 @@ def autocorr(spark, d):
 
 
 def energy_autocorr(spark, d):
-    e = frames(spark, d).where(F.abs("energy") < 1e7)
+    e = frames(spark, d).where(F.abs("energy") < HIGHEST)
     mean = e.groupBy("run_id").agg(F.avg("energy").alias("m"))
     v = e.join(mean, "run_id").select("run_id", "frame", (F.col("energy") - F.col("m")).alias("v"))
     return C.autocorr(v, LAGS, "v", "run_id").select("run_id", "lag", F.round(F.signum("c") * F.ln(1 + F.abs("c")), 3).alias("c"))
@@ -186,18 +187,18 @@ SQL = {
     "msd_1d_projection": f"WITH {SQL_ATOMS}, r AS (SELECT p.run_id, p.at_idx, t.lag, {_proj} AS d FROM a p CROSS JOIN {_lags(LAGS)} JOIN a q ON q.run_id = p.run_id AND q.at_idx = p.at_idx AND q.frame = p.frame + t.lag) SELECT run_id, at_idx, lag, round(avg(d * d), 4) + 0.0 AS msd FROM r GROUP BY ALL",
     "diffusion_coefficient": f"WITH {SQL_ATOMS}, {_disp(LINE_LAGS)}, {_per}, m AS (SELECT run_id, lag, avg(msd) AS msd FROM per GROUP BY ALL) SELECT run_id, round(regr_slope(msd, lag * {DT} / 1000.0), 3) AS slope, round(regr_intercept(msd, lag * {DT} / 1000.0), 3) AS intercept FROM m WHERE lag > 0 GROUP BY run_id",
     "autocorr": f"WITH {SQL_ATOMS} SELECT p.run_id, p.at_idx, t.lag, round(avg((p.x - 10.0) * (q.x - 10.0)), 3) + 0.0 AS c FROM a p CROSS JOIN {_lags(LAGS)} JOIN a q ON q.run_id = p.run_id AND q.at_idx = p.at_idx AND q.frame = p.frame + t.lag GROUP BY ALL",
-    "energy_autocorr": f"""WITH f AS (SELECT DISTINCT frame_id, run_id, frame, energy FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL AND abs(energy) < 1e7), m AS (SELECT run_id, avg(energy) AS m FROM f GROUP BY run_id), e AS (SELECT run_id, frame, energy - m AS v FROM f JOIN m USING (run_id)),
+    "energy_autocorr": f"""WITH f AS (SELECT DISTINCT frame_id, run_id, frame, energy FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL AND abs(energy) < {HIGHEST}), m AS (SELECT run_id, avg(energy) AS m FROM f GROUP BY run_id), e AS (SELECT run_id, frame, energy - m AS v FROM f JOIN m USING (run_id)),
         k AS (SELECT p.run_id, t.lag, avg(p.v * q.v) AS c FROM e p CROSS JOIN {_lags(LAGS)} JOIN e q ON q.run_id = p.run_id AND q.frame = p.frame + t.lag GROUP BY ALL) SELECT run_id, lag, round(sign(c) * ln(1 + abs(c)), 3) AS c FROM k""",
     "vanhove_self": f"WITH {SQL_ATOMS}, {_vh} SELECT run_id, lag, bin, round(r, 6) + 0.0 AS r, count, round(rpd, 6) + 0.0 AS rpd, round(rpd / ({4 * math.pi} * r * r), 6) + 0.0 AS g FROM vh",
     "vanhove_slice": f"WITH {SQL_ATOMS}, {_vh} SELECT run_id, lag, bin, count, round(rpd, 6) + 0.0 AS rpd FROM vh WHERE bin = (SELECT arg_min(bin, (abs(r - 0.33), r)) FROM vh)",
     "isf": f"WITH {SQL_ATOMS}, {_vh} SELECT run_id, lag, round(sum(rpd * sin(r * 2.5) / (r * 2.5) * {_w}), 5) + 0.0 AS isf FROM vh GROUP BY ALL",
-    "vanhove_distinct": f"""WITH {SQL_BASE}, pr(i, j) AS (VALUES {', '.join(map(str, PAIRS))}), s AS (SELECT p.run_id, t.lag, sqrt({' + '.join(f'{e} * {e}' for e in _d2)}) AS d FROM a p JOIN pr ON pr.i = p.at_idx CROSS JOIN {_lags([1, 4])} JOIN a q ON q.run_id = p.run_id AND q.at_idx = pr.j AND q.frame = p.frame + t.lag JOIN c ON c.run_id = p.run_id),
+    "vanhove_distinct": f"""WITH {SQL_BASE}, pr(i, j) AS (VALUES {', '.join(map(str, PAIRS))}), s AS (SELECT p.run_id, t.lag, sqrt({' + '.join(f'{e} * {e}' for e in _d2)}) AS d FROM a p JOIN pr ON pr.i = p.at_idx CROSS JOIN {_lags([1, 4])} JOIN a q ON q.run_id = p.run_id AND q.at_idx = pr.j AND q.frame = p.frame + t.lag JOIN cr c ON c.run_id = p.run_id),
         n AS (SELECT run_id, lag, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT run_id, lag, {sql_bin('d', 0.0, 12.0, 24)} AS bin, count(*) AS count FROM s WHERE d <= 12.0 GROUP BY ALL),
-        g AS (SELECT n.run_id, n.lag, CAST(b.bin AS INTEGER) AS bin, n.n, vol, coalesce(k.count, 0) AS count FROM n CROSS JOIN range(24) b(bin) LEFT JOIN k ON k.run_id = n.run_id AND k.lag = n.lag AND k.bin = b.bin JOIN c ON c.run_id = n.run_id)
+        g AS (SELECT n.run_id, n.lag, CAST(b.bin AS INTEGER) AS bin, n.n, vol, coalesce(k.count, 0) AS count FROM n CROSS JOIN range(24) b(bin) LEFT JOIN k ON k.run_id = n.run_id AND k.lag = n.lag AND k.bin = b.bin JOIN cr c ON c.run_id = n.run_id)
         SELECT run_id, lag, bin, (bin + 0.5) * 0.5 AS r, count, round(count / (n * 0.5), 6) + 0.0 AS rpd, round(count / (n / vol * {_s2}), 6) + 0.0 AS g FROM g""",
-    "vanhove_distinct_groups": f"""WITH {SQL_BASE}, s AS (SELECT p.run_id, p.symb AS symb_i, q.symb AS symb_j, t.lag, sqrt({' + '.join(f'{e} * {e}' for e in _d2)}) AS d FROM a p CROSS JOIN {_lags([1, 4])} JOIN a q ON q.run_id = p.run_id AND q.frame = p.frame + t.lag AND q.at_idx <> p.at_idx JOIN c ON c.run_id = p.run_id WHERE p.symb IS NOT NULL AND q.symb IS NOT NULL),
+    "vanhove_distinct_groups": f"""WITH {SQL_BASE}, s AS (SELECT p.run_id, p.symb AS symb_i, q.symb AS symb_j, t.lag, sqrt({' + '.join(f'{e} * {e}' for e in _d2)}) AS d FROM a p CROSS JOIN {_lags([1, 4])} JOIN a q ON q.run_id = p.run_id AND q.frame = p.frame + t.lag AND q.at_idx <> p.at_idx JOIN cr c ON c.run_id = p.run_id WHERE p.symb IS NOT NULL AND q.symb IS NOT NULL),
         n AS (SELECT run_id, symb_i, symb_j, lag, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT run_id, symb_i, symb_j, lag, {sql_bin('d', 0.0, 12.0, 24)} AS bin, count(*) AS count FROM s WHERE d <= 12.0 GROUP BY ALL),
-        g AS (SELECT n.run_id, n.symb_i, n.symb_j, n.lag, CAST(b.bin AS INTEGER) AS bin, n.n, vol, coalesce(k.count, 0) AS count FROM n CROSS JOIN range(24) b(bin) LEFT JOIN k ON k.run_id = n.run_id AND k.symb_i = n.symb_i AND k.symb_j = n.symb_j AND k.lag = n.lag AND k.bin = b.bin JOIN c ON c.run_id = n.run_id)
+        g AS (SELECT n.run_id, n.symb_i, n.symb_j, n.lag, CAST(b.bin AS INTEGER) AS bin, n.n, vol, coalesce(k.count, 0) AS count FROM n CROSS JOIN range(24) b(bin) LEFT JOIN k ON k.run_id = n.run_id AND k.symb_i = n.symb_i AND k.symb_j = n.symb_j AND k.lag = n.lag AND k.bin = b.bin JOIN cr c ON c.run_id = n.run_id)
         SELECT run_id, symb_i, symb_j, lag, bin, (bin + 0.5) * 0.5 AS r, count, round(count / (n * 0.5), 6) + 0.0 AS rpd, round(count / (n / vol * {_s2}), 6) + 0.0 AS g FROM g""",
     "non_gaussian": f"WITH {SQL_ATOMS}, {_mom} SELECT run_id, lag, round(r2, 3) + 0.0 AS r2, round(ln(1 + r4), 3) + 0.0 AS ln_r4, round(alpha2, 3) + 0.0 AS alpha2 FROM al",
     "vanhove_summary": f"WITH {SQL_ATOMS}, {_mom}, s AS (SELECT run_id, max(alpha2) AS m FROM al GROUP BY run_id) SELECT run_id, round(m, 3) + 0.0 AS peak_alpha2, CASE WHEN m < 0.1 THEN 'Gaussian' ELSE 'heterogeneous' END AS kind FROM s",

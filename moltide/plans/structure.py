@@ -55,7 +55,8 @@ def frac_coords(spark, d):
 
 
 def cart_roundtrip(spark, d):
-    f = S.with_cell(S.fractions(atoms(spark, d), cells(spark, d)), cells(spark, d))
+    c = cells(spark, d)
+    f = S.with_cell(S.fractions(atoms(spark, d), c), c)
     r = geom.to_cart((F.col("sx"), F.col("sy"), F.col("sz")))
     return rounded(f.select("row_id", *[c.alias(n) for c, n in zip(r, "xyz", strict=True)]))
 
@@ -73,7 +74,8 @@ def wrap_pretty(spark, d):
 
 
 def cell_volume(spark, d):
-    return rounded(cells(spark, d).select("run_id", "vol"))
+    """The volume of each frame that has atoms, by its own cell."""
+    return rounded(cells(spark, d).on(atoms(spark, d).select(*KEY).distinct(), "vol"))
 
 
 def pairs_combinations(spark, d):
@@ -185,7 +187,7 @@ def xyz_export(spark, d):
     from moltide.sources.xyz import extxyz_lines
 
     a = atoms(spark, d).where(F.col("symb").isNotNull())
-    e = F.when(F.abs("energy") < 1e7, F.col("energy"))
+    e = F.when(F.abs("energy") < S.HIGHEST, F.col("energy"))
     return extxyz_lines(a, frames(spark, d).withColumn("energy", e)).select("run_id", "frame", F.col("line").cast("int").alias("line"), "value")
 
 
@@ -211,7 +213,7 @@ def placed(rows) -> str:
     text = f"{_rel(rows)} JOIN a p0 ON p0.at_idx = t.a0"
     for k in range(1, n):
         text += f" JOIN a p{k} ON p{k}.at_idx = t.a{k} AND p{k}.run_id = p0.run_id AND p{k}.frame = p0.frame"
-    return text + " JOIN c ON c.run_id = p0.run_id"
+    return text + " JOIN c ON c.run_id = p0.run_id AND c.frame = p0.frame"
 
 
 def _v(name: str, expr) -> str:
@@ -261,7 +263,7 @@ _wrapped = [f"(({s}) + 1e-7 - floor(({s}) + 1e-7) - 1e-7)" for s in sql_frac(("a
 
 def _near(i: str, j: str, join: str, limit: float) -> str:
     d = sql_mic(sql_diff("p", "q"))
-    return f"near AS (SELECT p.run_id, p.frame, p.at_idx AS i, q.at_idx AS j, sqrt({' + '.join(f'{e} * {e}' for e in d)}) AS dist FROM {i} p JOIN {j} q ON p.run_id = q.run_id AND p.frame = q.frame AND {join} JOIN c ON c.run_id = p.run_id WHERE sqrt({' + '.join(f'{e} * {e}' for e in d)}) <= {limit})"
+    return f"near AS (SELECT p.run_id, p.frame, p.at_idx AS i, q.at_idx AS j, sqrt({' + '.join(f'{e} * {e}' for e in d)}) AS dist FROM {i} p JOIN {j} q ON p.run_id = q.run_id AND p.frame = q.frame AND {join} JOIN c ON c.run_id = p.run_id AND c.frame = p.frame WHERE sqrt({' + '.join(f'{e} * {e}' for e in d)}) <= {limit})"
 
 
 def _grid(source: str, value: str, lo: float, hi: float, n: int) -> str:
@@ -285,15 +287,15 @@ SQL = {
     "runs": """WITH f AS (SELECT DISTINCT frame_id, run_id, frame, lattice FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL),
         g AS (SELECT run_id, count(*) AS nframes, min(frame) AS first_frame, max(frame) AS last_frame, arg_min(lattice, frame) AS p, arg_max(lattice, frame) AS q FROM f GROUP BY run_id)
         SELECT run_id, nframes, first_frame, last_frame, coalesce(len(list_filter(range(1, 10), lambda i: abs(p[i] - q[i]) > 1e-5 + 1e-5 * abs(q[i]))) > 0, FALSE) AS is_npt FROM g""",
-    "frac_coords": f"WITH {SQL_BASE} SELECT row_id, {', '.join(f'round({s}, 6) + 0.0 AS s{k}' for s, k in zip(sql_frac(('a.x', 'a.y', 'a.z')), 'xyz', strict=True))} FROM a JOIN c USING (run_id)",
+    "frac_coords": f"WITH {SQL_BASE} SELECT row_id, {', '.join(f'round({s}, 6) + 0.0 AS s{k}' for s, k in zip(sql_frac(('a.x', 'a.y', 'a.z')), 'xyz', strict=True))} FROM a JOIN c USING (run_id, frame)",
     "cart_roundtrip": f"WITH {SQL_ATOMS} SELECT row_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM a WHERE run_id IN (SELECT run_id FROM frames WHERE len(lattice) = 9)",
-    "frac_coords_columns": f"WITH {SQL_BASE} SELECT row_id, {', '.join(f'round(a.x * c.g{j}1 + a.y * c.g{j}2 + a.z * c.g{j}3, 6) + 0.0 AS s{k}' for j, k in zip((1, 2, 3), 'xyz', strict=True))} FROM a JOIN c USING (run_id)",
-    "wrap_box": f"WITH {SQL_BASE} SELECT row_id, {', '.join(f'round({e}, 7) + 0.0 AS {k}' for e, k in zip(sql_cart(_wrapped), 'xyz', strict=True))} FROM a JOIN c USING (run_id)",
-    "wrap_pretty": f"""WITH {SQL_BASE}, s AS (SELECT row_id, run_id, frame, {', '.join(f'{s} AS s{k}' for s, k in zip(sql_frac(('a.x', 'a.y', 'a.z')), 'xyz', strict=True))} FROM a JOIN c USING (run_id)),
+    "frac_coords_columns": f"WITH {SQL_BASE} SELECT row_id, {', '.join(f'round(a.x * c.g{j}1 + a.y * c.g{j}2 + a.z * c.g{j}3, 6) + 0.0 AS s{k}' for j, k in zip((1, 2, 3), 'xyz', strict=True))} FROM a JOIN c USING (run_id, frame)",
+    "wrap_box": f"WITH {SQL_BASE} SELECT row_id, {', '.join(f'round({e}, 7) + 0.0 AS {k}' for e, k in zip(sql_cart(_wrapped), 'xyz', strict=True))} FROM a JOIN c USING (run_id, frame)",
+    "wrap_pretty": f"""WITH {SQL_BASE}, s AS (SELECT row_id, run_id, frame, {', '.join(f'{s} AS s{k}' for s, k in zip(sql_frac(('a.x', 'a.y', 'a.z')), 'xyz', strict=True))} FROM a JOIN c USING (run_id, frame)),
         """ + ", ".join(f"""g{k} AS (SELECT run_id, frame, s{k}, coalesce(lag(s{k}) OVER w, max(s{k}) OVER (PARTITION BY run_id, frame)) - s{k} AS raw FROM s WINDOW w AS (PARTITION BY run_id, frame ORDER BY s{k})),
         m{k} AS (SELECT run_id, frame, arg_min(s{k}, (raw - floor(raw), s{k})) AS f{k} FROM g{k} GROUP BY run_id, frame)""" for k in "xyz") + f"""
         SELECT row_id, {', '.join(f'round(s{k} - f{k} - floor(s{k} - f{k}), 6) + 0.0 AS s{k}' for k in 'xyz')} FROM s JOIN mx USING (run_id, frame) JOIN my USING (run_id, frame) JOIN mz USING (run_id, frame)""",
-    "cell_volume": f"WITH {SQL_BASE} SELECT run_id, round(vol, 6) + 0.0 AS vol FROM c",
+    "cell_volume": f"WITH {SQL_BASE} SELECT run_id, frame, round(vol, 6) + 0.0 AS vol FROM c",
     "pairs_combinations": _pairs_sql(_pair_rows),
     "pairs_zip": _pairs_sql([(0, 1), (2, 3), (4, 5)]),
     "pairs_product": _pairs_sql([(0, 1), (0, 3), (0, 5), (2, 1), (2, 3), (2, 5), (2, 0), (4, 1), (4, 3), (4, 5), (4, 0), (6, 1), (6, 3), (6, 5), (6, 0), (8, 1), (8, 3), (8, 5), (8, 0)]),
@@ -306,10 +308,10 @@ SQL = {
     "dihedrals_signed": f"WITH {SQL_BASE}, {dihedral_cte(QUADS, True)} SELECT run_id, frame, tuple_id, round(dihedral, 4) + 0.0 AS dihedral FROM dih",
     "com_by_frame": f"WITH {SQL_ATOMS}, {_com} SELECT run_id, frame, {', '.join(f'round(c{k}, 5) + 0.0 AS c{k}' for k in 'xyz')} FROM com",
     "calib_drift": f"WITH {SQL_ATOMS}, {_com}, f AS (SELECT run_id, {', '.join(f'arg_min(c{k}, frame) AS f{k}' for k in 'xyz')} FROM com GROUP BY run_id) SELECT row_id, {', '.join(f'round({k} + (f{k} - c{k}), 5) + 0.0 AS {k}' for k in 'xyz')} FROM a JOIN com USING (run_id, frame) JOIN f USING (run_id)",
-    "rdf": f"""WITH {SQL_BASE}, {_oh}, n AS (SELECT run_id, sum(na * nb) AS np FROM (SELECT run_id, frame, count(*) AS na FROM o GROUP BY ALL) JOIN (SELECT run_id, frame, count(*) AS nb FROM hy GROUP BY ALL) USING (run_id, frame) GROUP BY run_id)
-        SELECT run_id, bin, round((bin + 0.5) * {_w}, 6) + 0.0 AS r, count, round(count / (np / vol * {_shell}), 6) + 0.0 AS g FROM hist JOIN n USING (run_id) JOIN c USING (run_id)""",
-    "rdf_same": f"""WITH {SQL_BASE}, {_oo}, n AS (SELECT run_id, sum(na * (na - 1) / 2) AS np FROM (SELECT run_id, frame, count(*) AS na FROM o GROUP BY ALL) GROUP BY run_id)
-        SELECT run_id, bin, round((bin + 0.5) * {_w}, 6) + 0.0 AS r, count, round(count / (np / vol * {_shell}), 6) + 0.0 AS g FROM hist JOIN n USING (run_id) JOIN c USING (run_id)""",
+    "rdf": f"""WITH {SQL_BASE}, {_oh}, n AS (SELECT run_id, sum(na * nb / vol) AS dens FROM (SELECT run_id, frame, count(*) AS na FROM o GROUP BY ALL) JOIN (SELECT run_id, frame, count(*) AS nb FROM hy GROUP BY ALL) USING (run_id, frame) JOIN c USING (run_id, frame) GROUP BY run_id)
+        SELECT run_id, bin, round((bin + 0.5) * {_w}, 6) + 0.0 AS r, count, round(count / (dens * {_shell}), 6) + 0.0 AS g FROM hist JOIN n USING (run_id)""",
+    "rdf_same": f"""WITH {SQL_BASE}, {_oo}, n AS (SELECT run_id, sum(na * (na - 1) / 2 / vol) AS dens FROM (SELECT run_id, frame, count(*) AS na FROM o GROUP BY ALL) JOIN c USING (run_id, frame) GROUP BY run_id)
+        SELECT run_id, bin, round((bin + 0.5) * {_w}, 6) + 0.0 AS r, count, round(count / (dens * {_shell}), 6) + 0.0 AS g FROM hist JOIN n USING (run_id)""",
     "coordination_number": f"WITH {SQL_BASE}, {_oh}, n AS (SELECT run_id, count(*) AS na FROM o GROUP BY run_id) SELECT run_id, bin, round((bin + 0.5) * {_w}, 6) + 0.0 AS r, round(sum(count) OVER (PARTITION BY run_id ORDER BY bin) / na, 6) + 0.0 AS n FROM hist JOIN n USING (run_id)",
     "adf": f"""WITH {SQL_BASE}, {angles_cte(P.product([0, 1], [2, 3], [4, 5]))}, {_grid('ang', 'angle', 0.0, 180.0, 36)}, n AS (SELECT run_id, count(*) AS n FROM ang GROUP BY run_id)
         SELECT run_id, bin, (bin + 0.5) * 5.0 AS x, count, round(count / (n * greatest(sin(radians((bin + 0.5) * 5.0)), 1e-10)), 6) + 0.0 AS value FROM hist JOIN n USING (run_id)""",
@@ -321,7 +323,7 @@ SQL = {
     "atom_table": f"WITH {SQL_ATOMS} SELECT run_id, symb, atomic_no, count(*) AS n, round(sum(mass), 3) AS mass FROM a JOIN elements USING (symb) GROUP BY ALL",
 }
 SQL["xyz_export"] = f"""WITH {SQL_ATOMS}, s AS (SELECT * FROM a WHERE symb IS NOT NULL), n AS (SELECT run_id, frame, count(*) AS n FROM s GROUP BY ALL),
-    f AS (SELECT DISTINCT frame_id, run_id, frame, t_fs, CASE WHEN abs(energy) < 1e7 THEN energy END AS e, lattice FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL)
+    f AS (SELECT DISTINCT frame_id, run_id, frame, t_fs, CASE WHEN abs(energy) < {S.HIGHEST} THEN energy END AS e, lattice FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL)
     SELECT run_id, frame, CAST(at_idx + 2 AS INTEGER) AS line, rpad(symb, 3, ' ') || printf('%18.8f', x) || printf('%18.8f', y) || printf('%18.8f', z) AS value FROM s
     UNION ALL SELECT run_id, frame, 0, CAST(n AS VARCHAR) FROM f JOIN n USING (run_id, frame)
     UNION ALL SELECT run_id, frame, 1, coalesce('Lattice="' || array_to_string([printf('%.8f', v) for v in lattice], ' ') || '" ', '') || 'Properties=species:S:1:pos:R:3 frame=' || frame || coalesce(' time=' || printf('%.3f', t_fs), '') || coalesce(' energy=' || printf('%.8f', e), '') FROM f JOIN n USING (run_id, frame)"""

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moltide.functions import geom
-from moltide.operators.select import cleaned
-from moltide.session import broadcast_if_small
+from moltide.functions.elements import elements
+from moltide.operators.select import FARTHEST, cleaned
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +20,17 @@ def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "frames").where(F.col("run_id").isNotNull() & F.col("frame").isNotNull()).dropDuplicates(["frame_id"])
+    return table(spark, sf_dir, "frames").where(F.col("run_id").isNotNull() & F.col("frame").isNotNull()).drop("ingested_at").distinct()
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cell of each run; broadcast if its counted size allows."""
-    return broadcast_if_small(geom.cells(table(spark, sf_dir, "frames")), 200)[0]
+def cells(spark: SparkSession, sf_dir: str) -> geom.Cells:
+    """The cells of runs and of frames with another one; broadcast if their counted size allows."""
+    return geom.cells(table(spark, sf_dir, "frames"))
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The symbols that occur, known elements only: at most 118."""
+    return [r["symb"] for r in table(spark, sf_dir, "atoms").select("symb").distinct().join(F.broadcast(elements(spark).select(F.col("symbol").alias("symb"))), "symb").collect()]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -36,8 +41,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 AXES = (1, 2, 3)
 NEXT = {1: 2, 2: 3, 3: 1}
 
-SQL_ATOMS = """a AS (SELECT DISTINCT row_id, run_id, frame, at_idx, symb, x, y, z FROM atoms
-    WHERE run_id IS NOT NULL AND frame IS NOT NULL AND at_idx IS NOT NULL AND abs(x) < 1e4 AND abs(y) < 1e4 AND abs(z) < 1e4)"""
+SQL_ATOMS = f"""a AS (SELECT DISTINCT row_id, run_id, frame, at_idx, symb, x, y, z FROM atoms
+    WHERE run_id IS NOT NULL AND frame IS NOT NULL AND at_idx IS NOT NULL AND abs(x) < {FARTHEST} AND abs(y) < {FARTHEST} AND abs(z) < {FARTHEST})"""
 
 _h = [f"m[{3 * (i - 1) + j}] AS h{i}{j}" for i in AXES for j in AXES]
 
@@ -47,10 +52,21 @@ def _cof(i: int, j: int) -> str:
     return f"(h{i1}{j1} * h{i2}{j2} - h{i1}{j2} * h{i2}{j1})"
 
 
-SQL_CELLS = f"""c0 AS (SELECT run_id, arg_min(lattice, frame) AS m FROM frames WHERE len(lattice) = 9 GROUP BY run_id),
-    c1 AS (SELECT run_id, {", ".join(_h)} FROM c0),
-    c2 AS (SELECT *, h11 * {_cof(1, 1)} + h12 * {_cof(1, 2)} + h13 * {_cof(1, 3)} AS det FROM c1),
-    c AS (SELECT *, {", ".join(f"{_cof(j, i)} / det AS g{i}{j}" for i in AXES for j in AXES)}, abs(det) AS vol FROM c2)"""
+
+
+def _cells(name: str, source: str) -> str:
+    """CTEs that end in one of cells with their inverses and volumes."""
+    return f"""{name}1 AS (SELECT * EXCLUDE (m), {", ".join(_h)} FROM {source}),
+    {name}2 AS (SELECT *, h11 * {_cof(1, 1)} + h12 * {_cof(1, 2)} + h13 * {_cof(1, 3)} AS det FROM {name}1),
+    {name} AS (SELECT *, {", ".join(f"{_cof(j, i)} / det AS g{i}{j}" for i in AXES for j in AXES)}, abs(det) AS vol FROM {name}2)"""
+
+
+#: cr: the first cell of each run; c: the cell of each frame that has atoms, its own or else the run's first.
+SQL_CELLS = f"""lf AS (SELECT run_id, frame, min(lattice) AS m FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL AND len(lattice) = 9 GROUP BY ALL),
+    lr AS (SELECT run_id, arg_min(m, frame) AS m FROM lf GROUP BY run_id),
+    la AS (SELECT fa.run_id, fa.frame, coalesce(lf.m, lr.m) AS m FROM (SELECT DISTINCT run_id, frame FROM a) fa JOIN lr ON lr.run_id = fa.run_id LEFT JOIN lf ON lf.run_id = fa.run_id AND lf.frame = fa.frame),
+    {_cells("cr", "lr")},
+    {_cells("c", "la")}"""
 
 SQL_BASE = f"{SQL_ATOMS}, {SQL_CELLS}"
 

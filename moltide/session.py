@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,35 +25,46 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors reach: spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors reach: spark.checkpoint.dir. Only a local session may go without: it gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.moltide.shared.dir", None)
     if not found:
-        found = spark.conf.get("spark.moltide.shared.dir", None)
-        if not found:
-            found = tempfile.mkdtemp(prefix="moltide-")
-            spark.conf.set("spark.moltide.shared.dir", found)
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        found = tempfile.mkdtemp(prefix="moltide-")
+        spark.conf.set("spark.moltide.shared.dir", found)
     return found.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Whether all tasks run in the driver's own process."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
+
+
+def _path(spark: SparkSession, name: str):
+    """(file system, path) of a file for the JVM."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame, label: str, *keys: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage and survives lost executors; later stages read only the columns they need.
-    With keys, rows are clustered by them first.
+    With keys, rows are clustered by them first. The table is removed by drop_written(), else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
     (df.repartition(*keys) if keys else df).write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:
     """Remove the files behind a table made by written()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = _path(df.sparkSession, f)
+        fs.delete(p, True)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 20) -> tuple[DataFrame, bool]:

@@ -84,7 +84,7 @@ class Trajectory:
         step = index.step or 1 if isinstance(index, slice) else 1
         return replace(self, atoms=renumber(self.atoms), frames=renumber(self.frames), timestep=self.timestep * step)
 
-    def cells(self) -> DataFrame:
+    def cells(self) -> geom.Cells:
         return geom.cells(self.frames)
 
     def calib(self) -> Trajectory:
