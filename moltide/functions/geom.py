@@ -117,9 +117,11 @@ def dihedral(n1: Vec, n2: Vec, axis: Vec | None = None, degenerate: float = 0.0)
     return F.when(norm(n1) * norm(n2) > 1e-12, F.degrees(F.atan2(-dot(m, n2), dot(n1, n2)))).otherwise(F.lit(degenerate))
 
 
-EVERY = [*CELL, *INVERSE, "vol"]
+#: t1 .. t3: thickness of the cell across its lattice vectors; u1 .. u3 across the columns.
+THICK = [f"{m}{i}" for m in "tu" for i in AXES]
+EVERY = [*CELL, *INVERSE, "vol", *THICK]
 #: Bytes of a row of a cell table, for the check of its size.
-ROW_BYTES = 200
+ROW_BYTES = 250
 
 
 @dataclass(frozen=True)
@@ -170,7 +172,10 @@ def with_inverse(m: DataFrame) -> DataFrame:
         return f"(h{i1}{j1} * h{nxt[i1]}{nxt[j1]} - h{i1}{nxt[j1]} * h{nxt[i1]}{j1})"
 
     m = m.selectExpr("*", f"nullif(h11 * {cof(1, 1)} + h12 * {cof(1, 2)} + h13 * {cof(1, 3)}, 0D) AS det")
-    return m.selectExpr("*", *[f"{cof(j, i)} / det AS g{i}{j}" for i in AXES for j in AXES], "abs(det) AS vol").drop("det")
+    m = m.selectExpr("*", *[f"{cof(j, i)} / det AS g{i}{j}" for i in AXES for j in AXES], "abs(det) AS vol").drop("det")
+    # The area between two lattice vectors is the length of a row of the inverse (a column of it, for vectors as columns) times the volume.
+    root = lambda parts: f"1 / sqrt({' + '.join(f'{p} * {p}' for p in parts)})"
+    return m.selectExpr("*", *[f"{root([f'g{k}{i}' for k in AXES])} AS t{i}" for i in AXES], *[f"{root([f'g{i}{k}' for k in AXES])} AS u{i}" for i in AXES])
 
 
 def wrapped(s: Vec, center: tuple[float, float, float] = (0.5, 0.5, 0.5), eps: float = 1e-7, pbc=(True, True, True)) -> Vec:

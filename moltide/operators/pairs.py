@@ -85,19 +85,23 @@ def vectors(placed: DataFrame, cells: geom.Cells | None, i: int = 0, j: int = 1,
     return d.select(*placed.columns, "dx", "dy", "dz")
 
 
-def gridded(d: DataFrame, cells: geom.Cells, cutoff: float, lattice: str = "rows", carry: tuple[str, ...] = ()) -> DataFrame:
-    """d with its frame's cell, the number of grid cells along each axis (n1, n2, n3) and each atom's own (c1, c2, c3)."""
-    h = lambda i: tuple(F.col(f"h{i}{k}") for k in (1, 2, 3))
-    thick = {k: F.col("vol") / geom.norm(geom.cross(h(i), h(j))) for k, i, j in ((1, 2, 3), (2, 3, 1), (3, 1, 2))}
-    if lattice == "columns":
-        col = lambda j: tuple(F.col(f"h{k}{j}") for k in (1, 2, 3))
-        thick = {k: F.col("vol") / geom.norm(geom.cross(col(i), col(j))) for k, i, j in ((1, 2, 3), (2, 3, 1), (3, 1, 2))}
-    e = cells.on(d.select(*KEY, "at_idx", "x", "y", "z", *carry))
-    e = e.select("*", *[F.floor(thick[k] / cutoff).cast("int").alias(f"n{k}") for k in (1, 2, 3)]).drop("vol")
-    e = e.selectExpr(*[c for c in e.columns if c not in ("n1", "n2", "n3")], *[f"CASE WHEN n{k} > 3 THEN n{k} ELSE 1 END AS n{k}" for k in (1, 2, 3)])
+#: Frames with up to this number of partners have one grid cell: fewer pairs to look at than copies for 27 neighbouring cells.
+FEW = 64
+
+
+def gridded(d: DataFrame, cells: geom.Cells, cutoff: float, lattice: str = "rows", carry: tuple[str, ...] = (), partners: DataFrame | None = None) -> DataFrame:
+    """d with its frame's cell, the number of grid cells along each axis (n1, n2, n3) and each atom's own (c1, c2, c3).
+
+    partners: (run_id, frame, partners), the atoms that may be met in each frame; frames without any drop out.
+    """
+    d = d.select(*KEY, "at_idx", "x", "y", "z", *carry)
+    d = d.join(partners, KEY) if partners is not None else d.withColumn("partners", F.lit(FEW + 1))
+    t = "t" if lattice == "rows" else "u"
+    e = cells.on(d, *geom.CELL, *geom.INVERSE, *[f"{t}{k}" for k in (1, 2, 3)])
+    e = e.selectExpr(*[c for c in e.columns if c not in ("partners", f"{t}1", f"{t}2", f"{t}3")], *[f"CASE WHEN partners > {FEW} AND {t}{k} / {cutoff}D >= 4 THEN int({t}{k} / {cutoff}D) ELSE 1 END AS n{k}" for k in (1, 2, 3)])
     frac = lambda j: " + ".join(f"{a} * " + (f"g{i}{j}" if lattice == "rows" else f"g{j}{i}") for i, a in zip((1, 2, 3), "xyz", strict=True))
     # Fractions just below a whole number may round up to it: they belong to the first cell.
-    return e.selectExpr("*", *[f"pmod(int(floor(pmod({frac(k)}, 1D) * n{k})), n{k}) AS c{k}" for k in (1, 2, 3)])
+    return e.selectExpr("*", *[f"CASE WHEN n{k} = 1 THEN 0 ELSE pmod(int(floor(pmod({frac(k)}, 1D) * n{k})), n{k}) END AS c{k}" for k in (1, 2, 3)])
 
 
 def around(d: DataFrame) -> DataFrame:
@@ -113,11 +117,14 @@ def neighbours(a: DataFrame, b: DataFrame, cells: geom.Cells, cutoff: float, sam
     same: a and b are one set, and each pair comes once (i < j); else i <> j.
 
     Grid cells are at least cutoff thick, so partners lie in neighbouring cells; an axis that would have three
-    cells or fewer has one, as then nothing could be left out. a is copied to the neighbouring cells; the join is on (run,
+    cells or fewer has one, as then nothing could be left out, and so have frames with few partners. a is copied to the neighbouring cells; the join is on (run,
     frame, cell), so even a huge frame spreads over many tasks.
     """
-    left = around(gridded(a, cells, cutoff, lattice, carry)).withColumnsRenamed({"at_idx": "i", "x": "ax", "y": "ay", "z": "az"} | {c: f"{c}_i" for c in carry})
-    right = gridded(b, cells, cutoff, lattice, carry).select(*KEY, F.col("at_idx").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), *[F.col(c).alias(f"{c}_j") for c in carry], "c1", "c2", "c3")
+    # Counts by frame come without a shuffle where b is partitioned by frames, as cleaned() leaves it.
+    partners = b.groupBy(*KEY).agg(F.count("*").alias("partners"))
+    # The copied side is narrow; the other one brings the cell.
+    left = around(gridded(a, cells, cutoff, lattice, carry, partners).select(*KEY, F.col("at_idx").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"), *[F.col(c).alias(f"{c}_i") for c in carry], "n1", "n2", "n3", "c1", "c2", "c3")).drop("n1", "n2", "n3")
+    right = gridded(b, cells, cutoff, lattice, carry, partners).select(*KEY, F.col("at_idx").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"), *[F.col(c).alias(f"{c}_j") for c in carry], *geom.CELL, *geom.INVERSE, "c1", "c2", "c3")
     j = left.join(right, [*KEY, "c1", "c2", "c3"]).where(F.col("i") < F.col("j") if same else F.col("i") != F.col("j"))
     d = geom.with_images(j, {"d": geom.sub(geom.v("b"), geom.v("a"))}, lattice)
     return geom.keep(d.select(*KEY, "i", "j", geom.norm(geom.v("d")).alias("dist"), *[f"{c}_{s}" for c in carry for s in "ij"]), F.col("dist") <= cutoff)
