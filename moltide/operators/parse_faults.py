@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from moltide.operators.grouped import group_ids, map_groups
+from moltide.session import broadcast_if_small, written
 
 STRETCH = 65536
 
@@ -166,7 +167,7 @@ def block_starts(lines: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
 def placed(lines: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Each distinct line with its block start, the block's atom count and layout, and its role (0 count, 1 header, 2.. atom)."""
-    starts = block_starts(lines, stretch)
+    starts = written(block_starts(lines, stretch), "block-starts")
     own = lines.where(F.col("file_id").isNotNull() & F.col("line_no").isNotNull()).select(
         "line_id", "file_id", F.floor(F.col("line_no") / stretch).cast("long").alias("k"), F.col("line_no").cast("long").alias("line_no"), F.coalesce("raw_line", F.lit("")).alias("raw_line")
     )
@@ -196,9 +197,18 @@ def placed(lines: DataFrame, stretch: int = STRETCH) -> DataFrame:
     )
 
 
+#: Copies of the dictionary of invalid values where it is too large to be broadcast: a value of a third of all lines meets as many tasks.
+SALTS = 32
+
+
 def judged(lines: DataFrame, elements: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(line_id, reason): one row per faulty header or atom line, with the first reason that applies."""
-    at = placed(lines, stretch).where(F.col("role") >= 1)
+    return judged_placed(written(placed(lines, stretch), "placed-lines"), elements)
+
+
+def judged_placed(lines: DataFrame, elements: DataFrame) -> DataFrame:
+    """As judged(), of lines that placed() has given their place."""
+    at = lines.where(F.col("role") >= 1)
     f = fields(F.col("raw_line"))
     atom = F.col("role") >= 2
     quotes = F.length("raw_line") - F.length(F.replace("raw_line", F.lit('"'), F.lit("")))
@@ -215,10 +225,16 @@ def judged(lines: DataFrame, elements: DataFrame, stretch: int = STRETCH) -> Dat
     long = at.select("line_id", "broken", F.explode(values).alias("e")).select("line_id", "broken", "e.col", "e.v")
     # Every distinct value of a column is cast once; what fails is the dictionary.
     distinct = long.where(F.col("broken").isNull() & F.col("v").isNotNull()).groupBy("col", "v").agg(F.min("line_id").alias("example"))
-    known = elements.where(F.col("symb").isNotNull()).select(F.col("symb").alias("v"), F.lit(2).alias("col"), F.lit(True).alias("known")).distinct()
+    known = elements.where(F.col("symb").isNotNull()).select(F.col("symb").alias("v"), F.lit(2).alias("col"), F.lit(True).alias("known")).distinct()  # at most the known elements
     fine = F.when(F.col("col") == 2, F.col("known").isNotNull()).when(F.col("col") == 3, number(F.col("v")).isNotNull()).otherwise(cell_numbers(F.col("v")).isNotNull())
-    invalid = distinct.join(known, ["col", "v"], "left").where(~fine).select("col", "v")
-    by_value = long.where(F.col("broken").isNull()).join(invalid, ["col", "v"]).select("line_id", F.col("col").alias("rank"))
+    invalid, small = broadcast_if_small(distinct.join(F.broadcast(known), ["col", "v"], "left").where(~fine).select("col", "v"), 200)
+    looked = long.where(F.col("broken").isNull())
+    if small:
+        by_value = looked.join(invalid, ["col", "v"])
+    else:
+        salts = invalid.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        by_value = looked.withColumn("salt", F.pmod(F.hash("line_id"), F.lit(SALTS))).join(salts, ["col", "v", "salt"])
+    by_value = by_value.select("line_id", F.col("col").alias("rank"))
     by_shape = long.where(F.col("broken").isNotNull()).select("line_id", F.col("broken").alias("rank"))
     return (
         by_value.unionByName(by_shape).groupBy("line_id").agg(F.min("rank").alias("rank"))
@@ -228,19 +244,21 @@ def judged(lines: DataFrame, elements: DataFrame, stretch: int = STRETCH) -> Dat
 
 def sound_atoms(lines: DataFrame, elements: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Atom lines without fault as (line_id, file_id, block, at_idx, symb, x, y, z)."""
-    at = placed(lines, stretch).where(F.col("role") >= 2)
+    every = written(placed(lines, stretch), "placed-lines")
+    at = every.where(F.col("role") >= 2)
     f = fields(F.col("raw_line"))
     get = lambda i: F.get(f, i)
-    return at.join(judged(lines, elements, stretch), "line_id", "left_anti").select(
+    return at.join(judged_placed(every, elements), "line_id", "left_anti").select(
         "line_id", "file_id", "block", (F.col("role") - 2).cast("int").alias("at_idx"), get(F.col("s") - 1).alias("symb"), *[number(get(F.col("p") - 1 + i)).alias(c) for i, c in enumerate("xyz")]
     )
 
 
 def sound_headers(lines: DataFrame, elements: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Header lines without fault as (line_id, file_id, block, has_cell, a1x .. a3z)."""
-    at = placed(lines, stretch).where(F.col("role") == 1)
+    every = written(placed(lines, stretch), "placed-lines")
+    at = every.where(F.col("role") == 1)
     cell = cell_numbers(cell_text(F.col("raw_line")))
     names = [f"a{i}{c}" for i in (1, 2, 3) for c in "xyz"]
-    return at.join(judged(lines, elements, stretch), "line_id", "left_anti").withColumn("cell", cell).select(
+    return at.join(judged_placed(every, elements), "line_id", "left_anti").withColumn("cell", cell).select(
         "line_id", "file_id", "block", F.col("cell").isNotNull().alias("has_cell"), *[F.get("cell", i).alias(n) for i, n in enumerate(names)]
     )
