@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moltide.operators.grouped import group_ids, map_groups
+from moltide.operators.select import FARTHEST, HIGHEST
 from moltide.session import broadcast_if_small, written
 
 STRETCH, MARGIN = 2048, 64
@@ -35,8 +36,9 @@ LIMIT, LIMIT_AT_END = 12.0, 24.0
 SPIKE_RECORDS = 3
 #: Records in a row from which an unchanged reading is stuck.
 STUCK_RECORDS = 5
-#: Values of this size or more can't be readings.
-IMPOSSIBLE = 1e9
+#: How far a reading can be from the middle of its source's stretch: in cell lengths, or in angstrom without a cell; for
+#: energies in shares of the middle. To each comes FREE times the median deviation of the stretch, which is its own travel.
+CELLS_FAR, ANGSTROM_FAR, SHARES_FAR, FREE = 1.5, 200.0, 2.0, 40.0
 
 
 def _rolling_median(v: np.ndarray, gid: np.ndarray) -> np.ndarray:
@@ -88,10 +90,10 @@ def _fold(d: np.ndarray, h: np.ndarray, inv: np.ndarray) -> np.ndarray:
     return d - np.einsum("ni,nij->nj", np.rint(s), h)
 
 
-def hampel(pdf: pd.DataFrame, values: list[str], cell: list[str], relative: float) -> pd.DataFrame:
+def hampel(pdf: pd.DataFrame, values: list[str], cell: list[str], relative: float, limit: float) -> pd.DataFrame:
     """Judge sorted whole groups of (source, stretch): columns id, kind for the flagged rows, and a summary row per group.
 
-    kind: 'sure' flagged; 'unless_held' stuck in a stretch without any movement; 'span' the summary, with the
+    Values of the size of limit or more can't be readings of any source. kind: 'sure' flagged; 'unless_held' stuck in a stretch without any movement; 'span' the summary, with the
     values' least and greatest usual reading as lo and hi.
     """
     p = pdf[~pdf.duplicated(["source", "part", "stretch", "id"])].reset_index(drop=True)
@@ -100,7 +102,7 @@ def hampel(pdf: pd.DataFrame, values: list[str], cell: list[str], relative: floa
     raw = p[values].to_numpy("float64")
     null = p[[f"{v}_null" for v in values]].to_numpy(bool)
     core = p["core"].to_numpy(bool)
-    impossible = ((~np.isfinite(raw) | (np.abs(raw) >= IMPOSSIBLE)) & ~null).any(1)
+    impossible = ((~np.isfinite(raw) | (np.abs(raw) >= limit)) & ~null).any(1)
     flagged = impossible.copy()
 
     full = np.flatnonzero(~impossible & ~null.any(1))
@@ -164,6 +166,12 @@ def hampel(pdf: pd.DataFrame, values: list[str], cell: list[str], relative: floa
                     off = _fold(off, h[k], inv[k])
                 apart &= (n_ok == 0) | (np.abs(off).max(1) > np.where(first, LIMIT_AT_END, LIMIT / 2) * scale[g[k]])
             out[k] = apart
+        # Out of the source's own bounds: a block of such readings, however long, is still far from the middle of the stretch.
+        # Stored positions count here: taking out lattice vectors would bring any value back into the cell.
+        middle = np.stack([_group_median(v[:, c], g, groups) for c in range(v.shape[1])], 1)[g]
+        travel = np.stack([_group_median(np.abs(v[:, c] - middle[:, c]), g, groups) for c in range(v.shape[1])], 1)[g]
+        bound = np.where(known[:, None], np.abs(h).sum(1) * CELLS_FAR, ANGSTROM_FAR) if has_cell else SHARES_FAR * np.maximum(np.abs(middle), 1.0)
+        beyond = (np.abs(v - middle) > bound + FREE * travel).any(1)
         # Farther from the usual place than any image can be.
         near = _rolling_median(v, g)
         reach = np.abs(h).sum(1) * 1.5 if has_cell else np.full(v.shape, np.inf)
@@ -171,6 +179,7 @@ def hampel(pdf: pd.DataFrame, values: list[str], cell: list[str], relative: floa
         if relative:
             base = _group_median(v[:, 0], g, groups)[g]
             far |= (np.abs(v[:, 0] - base) > relative * np.abs(base)) & (z > 4 * LIMIT)
+        far |= beyond
         # Runs of outliers that don't come back in time are lasting moves. A false row parts the groups.
         gap = g + np.arange(len(g))
         spread = np.zeros(len(g) + groups + 1, bool)
@@ -254,7 +263,7 @@ def faulty_atoms(atoms: DataFrame, frames: DataFrame) -> DataFrame:
         salts = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
         joined = a.withColumn("salt", F.pmod(F.hash("part", "stretch"), F.lit(64))).join(salts, ["source", "salt"], "left").drop("salt")
     ready = joined.select("id", "source", "part", "stretch", "frame", "core", *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in xyz], *[F.col(c).isNull().alias(f"{c}_null") for c in xyz], *cell)
-    judged = written(map_groups(ready, ["source", "part", "stretch"], ["frame", "id"], lambda p: hampel(p, xyz, cell, 0.0), SCHEMA), "spikes")
+    judged = written(map_groups(ready, ["source", "part", "stretch"], ["frame", "id"], lambda p: hampel(p, xyz, cell, 0.0, FARTHEST), SCHEMA), "spikes")
     spans = judged.where(F.col("kind") == "span").groupBy("source", "part").agg(
         *[F.min(F.get("lo", i)).alias(f"lo{i}") for i in range(3)], *[F.max(F.get("hi", i)).alias(f"hi{i}") for i in range(3)]
     )
@@ -267,7 +276,7 @@ def faulty_energies(frames: DataFrame) -> DataFrame:
     """(record_id): the frame records whose energy can't be true."""
     f = frames.where(F.col("run_id").isNotNull() & F.col("frame").isNotNull() & F.col("frame_id").isNotNull() & F.col("energy").isNotNull())
     f = _stretched(f.select(F.col("frame_id").alias("id"), F.col("run_id").alias("source"), F.lit(0).alias("part"), F.col("frame").cast("long").alias("frame"), "energy", F.lit(False).alias("energy_null")), "frame")
-    judged = map_groups(f, ["source", "part", "stretch"], ["frame", "id"], lambda p: hampel(p, ["energy"], [], 0.2), SCHEMA)
+    judged = map_groups(f, ["source", "part", "stretch"], ["frame", "id"], lambda p: hampel(p, ["energy"], [], 0.2, HIGHEST), SCHEMA)
     return judged.where(F.col("kind") == "sure").select(F.col("id").alias("record_id"))
 
 

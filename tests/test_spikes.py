@@ -101,3 +101,17 @@ def test_cells_too_many_to_broadcast(spark, monkeypatch):
     assert want == [90]
     monkeypatch.setattr(SP, "broadcast_if_small", lambda df, row_bytes: (df, False))
     assert atoms(spark, rows_of(p)) == want
+
+
+def test_long_blocks_of_impossible_values(spark):
+    """Twenty and more readings in a row that the system cannot have, with and without a cell."""
+    p = walk(5, 400)
+    p[100:120] += 5e3 + np.random.default_rng(6).normal(0, 0.03, (20, 3))
+    want = list(range(100, 120))
+    assert atoms(spark, rows_of(p)) == want
+    assert atoms(spark, rows_of(p), [(1, "r", 0, 1.0, None)]) == want
+    p[200:260] = 5e5 + np.random.default_rng(7).normal(0, 0.03, (60, 3))
+    assert atoms(spark, rows_of(p)) == [*want, *range(200, 260)]
+    e = [(i, "r", i, -1500.0 + 0.1 * math.sin(i) + (9e4 + i if 60 <= i < 90 else 0.0), None) for i in range(300)]
+    f = spark.createDataFrame(e, FRAMES)
+    assert sorted(r["record_id"] for r in SP.faulty_energies(f).collect()) == list(range(60, 90))
