@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 
@@ -64,5 +65,29 @@ def test_near_runs(spark):
 def test_most_similar_first():
     s = [frozenset("abc"), frozenset("abcd"), frozenset("abcde"), None, frozenset("x")]
     at = np.arange(5)
-    runs = RU.agglomerate(s, at, at, np.zeros(5, int), 0.76, None)
+    runs, _ = RU.agglomerate(s, at, at, np.zeros(5, int), 0.76, None)
     assert runs == [[0], [1, 2], [3], [4]]
+
+
+def test_stretches_change_no_near_run(spark):
+    """Runs of near-identical records don't depend on where a stream is cut."""
+    rng = random.Random(7)
+    rows, state = [], set(range(6))
+    for f in range(500):
+        if rng.random() < 0.6:
+            state = state ^ {rng.randint(0, 11)}
+        rows.append((f, f // 400, "distance", f + 2 * (f % 7 == 0), json.dumps([[k, 100 + k] for k in sorted(state)]), None, "x"))
+    for limit in (0.5, 0.8):
+        whole = found(spark, rows, min_similarity=limit, stretch=1 << 20)
+        assert found(spark, rows, min_similarity=limit, stretch=16) == whole and 10 < len(whole) < 400
+
+
+def test_long_stream_of_similar_records_is_quick():
+    """100,000 records that are all alike but for one contact of twenty: one run's sets stay bounded, and so does the time."""
+    began = time.time()
+    base = frozenset(range(20))
+    sets = [base ^ {k % 17} for k in range(100_000)]
+    at = np.arange(len(sets))
+    runs, kinds = RU.agglomerate(sets, at, at, np.zeros(len(sets), int), 0.15, None)
+    assert len(runs) == 1 and len(kinds[0][0]) == 3 and time.time() - began < 30
+    assert len(RU.agglomerate(sets, at, at, np.zeros(len(sets), int), 0.8, None)[0]) > 10_000
