@@ -7,10 +7,11 @@ documents: SQL gives the spread of each measure within a language's levels, and
 its nearest labelled neighbours.
 
 Two passes over the texts, neither with a shuffle of text: the first gives word counts, combined per partition
-before the shuffle; the second gives one short row per document.
+before the shuffle; the second gives one short row per document. The VOCABULARY most frequent words of each language are
+broadcast; they cover nearly every text. The words of the other texts are counted and joined with the ranks of all words,
+so every coverage rank is exact, whatever the vocabulary.
 
-Parameters with bounds: VOCABULARY words per language are broadcast (a text that they do not cover gets the
-rank VOCABULARY + 1; every count is over all documents), and SAMPLE labels are used.
+The one parameter that bounds what is used: SAMPLE labels fit the levels.
 
 Defined results: null, empty and short texts (fewer than MIN_WORDS blank-separated words) are left out;
 a text without any letters gets the measures 0; without labels the level is null; a language with fewer than
@@ -84,7 +85,7 @@ class Reader:
                 hi[k] = end
         start, end = word_spans(kind, off[:-1])
         doc = np.searchsorted(off, start, "right") - 1
-        keep = (start >= lo[doc]) & (start < hi[doc]) & ~asides(b)[start] if len(start) else np.zeros(0, bool)
+        keep = (start >= lo[doc]) & (start < hi[doc]) & ~asides(b, off)[start] if len(start) else np.zeros(0, bool)
         self.start, self.end, self.doc = start[keep], end[keep], doc[keep]
         self.code, spelt = coded(b, self.start, self.end)
         self.words = [fold(w) for w in spelt]
@@ -155,21 +156,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """(lang, word, rank): words of a rank up to size; equally frequent words share the rank of the last of them."""
+def vocabulary(counts: DataFrame) -> DataFrame:
+    """(lang, word, rank): equally frequent words share the rank of the last of them."""
     per_count = counts.groupBy("lang", "n").agg(F.count("*").alias("words"))
     # One row per distinct count: their number grows as the root of the corpus.
-    ranks = per_count.withColumn("rank", F.sum("words").over(Window.partitionBy("lang").orderBy(F.desc("n")))).where(F.col("rank") <= size)
+    ranks = per_count.withColumn("rank", F.sum("words").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
     return counts.join(ranks.select("lang", "n", "rank"), ["lang", "n"]).select("lang", "word", "rank")
 
 
 def measured(docs: DataFrame, size: int = VOCABULARY) -> DataFrame:
     """(doc_id, lang, n_words, sentence, word, cover_low, cover_high) of each document, as logarithms but for the word length."""
-    rows = vocabulary(word_counts(docs), size).collect()  # at most size rows per language
+    every = written(vocabulary(word_counts(docs)), "vocabulary")
+    rows = every.where(F.col("rank") <= size).collect()  # at most size rows per language
     ranks = [{} for _ in LANGUAGES]
     for r in rows:
         ranks[LANGUAGES.index(r["lang"])][r["word"]] = r["rank"]
     shared = docs.sparkSession.sparkContext.broadcast((character_classes(), ranks))
+    word = pa.struct([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches):
         classes, ranks = shared.value
@@ -177,15 +180,28 @@ def measured(docs: DataFrame, size: int = VOCABULARY) -> DataFrame:
             ids = batch.column(0)
             for i, j, b, off in slices(batch.column(1)):
                 r = Reader(classes, b, off)
-                sentence, word = r.measures()
+                sentence, length = r.measures()
                 rank = np.array([[v.get(w, size + 1) for v in ranks] for w in r.words], "float64").reshape(-1, len(LANGUAGES))
-                low, high = (np.log1p(r.cover(rank, s)) for s in SHARES)
+                low, high = (r.cover(rank, s) for s in SHARES)
+                # The words of texts that the ranks at hand don't cover go along.
+                rest = [[] for _ in range(j - i)]
+                for k in np.flatnonzero(high > size):
+                    code, n = np.unique(r.code[r.doc == k], return_counts=True)
+                    rest[k] = [{"word": r.words[c], "n": m} for c, m in zip(code.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(np.array(LANGUAGES, object)[r.language], pa.string()), pa.array(r.blank_words.astype("int64")), *map(pa.array, (np.log(np.maximum(sentence, 1.0)), word, low, high))],
-                    ["doc_id", "lang", "n_words", *MEASURES],
+                    [ids.slice(i, j - i), pa.array(np.array(LANGUAGES, object)[r.language], pa.string()), pa.array(r.blank_words.astype("int64")), *map(pa.array, (np.log(np.maximum(sentence, 1.0)), length, np.log1p(low), np.log1p(high))), pa.array(rest, pa.list_(word))],
+                    ["doc_id", "lang", "n_words", *MEASURES, "rest"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang string, n_words long, " + ", ".join(f"{m} double" for m in MEASURES))
+    m = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang string, n_words long, " + ", ".join(f"{c} double" for c in MEASURES) + ", rest array<struct<word string, n long>>").withColumn("key", F.monotonically_increasing_id()), "measures")
+    # Running sums of a text's words over the ranks of all words: one row per distinct word of these texts.
+    rest = m.where(F.size("rest") > 0).select("key", "lang", F.explode("rest").alias("w")).select("key", "lang", "w.word", "w.n")
+    rest = rest.join(every, ["lang", "word"]).groupBy("key", "rank").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy("key")
+    rest = rest.withColumn("upto", F.sum("n").over(own.orderBy("rank"))).withColumn("all", F.sum("n").over(own))
+    exact = rest.groupBy("key").agg(*[F.log1p(F.min(F.when(F.col("upto") >= F.ceil(F.lit(s) * F.col("all")), F.col("rank"))).cast("double")).alias(f"exact_{k}") for k, s in enumerate(SHARES)])
+    m = m.join(exact, "key", "left")
+    return m.select("doc_id", "lang", "n_words", "sentence", "word", *[F.coalesce(f"exact_{k}", c).alias(c) for k, c in enumerate(("cover_low", "cover_high"))])
 
 
 def levels(docs: DataFrame, labels: DataFrame, min_words: int = MIN_WORDS, sample: int = SAMPLE) -> DataFrame:

@@ -12,7 +12,6 @@ from moltide.llm.tokens import DIGIT, LETTER, OTHER, SPACE
 
 #: Bytes of text that are worked at once.
 SLICE_BYTES = 4 << 20
-MAX_PAREN = 160
 
 
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -70,13 +69,13 @@ def unbroken(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b[~drop], off - gone[off]
 
 
-def asides(b: np.ndarray) -> np.ndarray:
-    """Mask of bytes in round brackets that close within MAX_PAREN bytes."""
+def asides(b: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Mask of bytes in round brackets, each up to the next closing one of the same text; brackets that don't close hold nothing."""
     left, right = np.flatnonzero(b == 0x28), np.flatnonzero(b == 0x29)
     edge = np.zeros(len(b) + 1, "int32")
     if len(left) and len(right):
         to = right[np.minimum(np.searchsorted(right, left), len(right) - 1)]
-        ok = (to > left) & (to - left <= MAX_PAREN)
+        ok = (to > left) & (np.searchsorted(off, to, "right") == np.searchsorted(off, left, "right"))
         np.add.at(edge, left[ok], 1)
         np.add.at(edge, to[ok] + 1, -1)
     return np.cumsum(edge[:-1]) > 0

@@ -43,15 +43,15 @@ def test_without_labels_or_documents(spark):
 
 def test_coverage_rank(spark):
     rows = [("en", "the", 10), ("en", "of", 6), ("en", "a", 6), ("en", "rare", 1)]
-    v = RD.vocabulary(spark.createDataFrame(rows, "lang string, word string, n long"), 3)
-    assert sorted((r["word"], r["rank"]) for r in v.collect()) == [("a", 3), ("of", 3), ("the", 1)]
+    v = RD.vocabulary(spark.createDataFrame(rows, "lang string, word string, n long"))
+    assert sorted((r["word"], r["rank"]) for r in v.collect()) == [("a", 3), ("of", 3), ("rare", 4), ("the", 1)]
 
 
 def test_pieces():
     raw = np.frombuffer("inadm-\nissible so\xadft (see [1] there) x-\nY".encode(), "uint8")
     b, off = unbroken(raw, np.array([0, len(raw)]))
     assert b.tobytes().decode() == "inadmissible soft (see [1] there) x-\nY" and off[-1] == len(b)
-    assert b[~asides(b)].tobytes().decode() == "inadmissible soft  x-\nY"
+    assert b[~asides(b, off)].tobytes().decode() == "inadmissible soft  x-\nY"
     texts = pa.array(["One two three. Four five six seven.", "", None, "été déjà vu."])
     r = RD.Reader(character_classes(), *next((x, o) for _, _, x, o in slices(texts)))
     sentence, word = r.measures()
@@ -67,3 +67,13 @@ def test_line_ends():
     assert len(set(sentence[:3])) == 1 and len(set(word[:3])) == 1 and sentence[0] == 6.0
     b, off = unbroken(*next((x, o) for _, _, x, o in slices(pa.array(texts))))
     assert [b[i:j].tobytes().decode() for i, j in zip(off, off[1:])] == [unbroken_lf := lf.replace("-\n", ""), unbroken_lf, unbroken_lf, texts[3]]
+
+
+def test_cover_is_the_same_for_any_broadcast_vocabulary(spark):
+    """Texts whose words the broadcast ranks don't cover get their exact ranks by the join."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice(["the", "of", "and", "court"]) if rng.random() < 0.3 else f"{chr(97 + i % 5)}{'xyzuv'[rng.randint(0, 4)]}{'abcde'[rng.randint(0, 4)]}" for _ in range(150)) + ".") for i in range(30)] + [(77, None), (78, "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = sorted(map(tuple, RD.measured(d).collect()))
+    for size in (1, 10, 60):
+        assert [(r[0], *(round(x, 9) for x in r[3:])) for r in sorted(map(tuple, RD.measured(d, size).collect()))] == [(r[0], *(round(x, 9) for x in r[3:])) for r in whole]
