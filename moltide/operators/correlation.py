@@ -57,6 +57,12 @@ def diffusion(mean: DataFrame, dt_fs: float, *keys: str, skip: int = 0, dim: int
     return mean.where(F.col("lag") > skip).groupBy(*keys).agg(F.regr_slope("msd", t).alias("slope"), F.regr_intercept("msd", t).alias("intercept")).withColumn("d_cm2_s", F.col("slope") / (2 * dim) * 1e-4)
 
 
+def diffusion_curve(mean: DataFrame, dt_fs: float, dim: int = 3) -> DataFrame:
+    """mean (run_id, lag, msd) as (run_id, lag, t_ps, d_cm2_s): D(t) = MSD / (2 dim t) at each lag but 0."""
+    t = F.col("lag") * dt_fs
+    return mean.where(F.col("lag") > 0).select("run_id", "lag", (t / 1000.0).alias("t_ps"), (F.col("msd") * 1e-16 / (2 * dim * t * 1e-15)).alias("d_cm2_s"))
+
+
 def msd_projected(series: DataFrame, vector: tuple[float, float, float], lags: list[int], *keys: str) -> DataFrame:
     """(keys, lag, msd): mean square of the displacement along a direction."""
     keys = list(keys) or ["run_id", "at_idx"]

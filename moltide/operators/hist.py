@@ -30,6 +30,14 @@ def histogram(df: DataFrame, value: Column, lo: float, hi: float, n: int, *keys:
     return filled.selectExpr(*keys, f"explode(sequence(0, {n - 1})) AS bin", "m").selectExpr(*keys, "bin", f"{lo}D + bin * {w!r}D AS lo", f"{lo}D + (bin + 1) * {w!r}D AS hi", f"{lo}D + (bin + 0.5D) * {w!r}D AS x", "coalesce(m[bin], 0L) AS count")
 
 
+def heatmap(df: DataFrame, x: Column, y: Column, nx: int, ny: int) -> DataFrame:
+    """histogram2d() over the range of the data, found in a first pass; nulls and NaN count nowhere."""
+    v = df.select(x.alias("x"), y.alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    s = v.agg(*[f(c).alias(f"{c}{k}") for c in "xy" for k, f in enumerate((F.min, F.max))]).first()
+    span = lambda lo, hi, n: (0.0, 1.0, n) if lo is None else (lo, hi, n) if hi > lo else (lo - 0.5, lo + 0.5, n)
+    return histogram2d(v, F.col("x"), F.col("y"), span(s["x0"], s["x1"], nx), span(s["y0"], s["y1"], ny))
+
+
 def histogram2d(df: DataFrame, x: Column, y: Column, rx: tuple[float, float, int], ry: tuple[float, float, int]) -> DataFrame:
     """(bin_x, bin_y, x, y, count) of the cells that hold values."""
     mid = lambda b, r: r[0] + (F.col(b) + 0.5) * ((r[1] - r[0]) / r[2])

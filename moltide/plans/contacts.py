@@ -12,6 +12,7 @@ from moltide.operators import molecules as M
 from moltide.operators import pairs as P
 from moltide.plans.structure import _ang, _dot, _masses, _near, _rel, _v, placed
 from moltide.plans.tables import SQL_ATOMS, SQL_BASE, atoms, cells, frames, rounded, sql_bin, sql_diff, sql_mic, symbols, table
+from moltide.session import written
 from moltide.sources import records
 
 KEY = ["run_id", "frame"]
@@ -46,7 +47,7 @@ def _hbonds(spark, d):
 
 
 def hbonds(spark, d):
-    return rounded(_hbonds(spark, d).select(*KEY, "tuple_id", "a0", "a1", "a2", "r_da", "r_dh"), 5)
+    return rounded(_hbonds(spark, d).select(*KEY, "tuple_id", "a0", "a1", "a2", "r_da", "r_dh", "angle"), 4)
 
 
 def hbond_counts(spark, d):
@@ -58,9 +59,18 @@ def hbond_filter(spark, d):
 
 
 def hbond_records(spark, d):
-    """One record per frame as the JSON sink writes them; lists shown by their donors and acceptors."""
+    """One record per frame as the JSON sink writes them; lists shown by their atoms, with the sum of their distances."""
     r = records.hbond_records(_hbonds(spark, d), frames(spark, d))
-    return r.select(*KEY, "n_hbonds", F.array_join(F.transform("hbonds", lambda b: F.concat_ws(">", b.donor, b.hydrogen, b.acceptor)), " ").alias("bonds"))
+    shown = F.array_join(F.transform("hbonds", lambda b: F.concat_ws(">", b.donor, b.hydrogen, b.acceptor)), " ").alias("bonds")
+    return rounded(r.select(*KEY, "n_hbonds", shown, F.aggregate("hbonds", F.lit(0.0), lambda s, b: s + b["R(D-A)"]).alias("sum_da")), 4)
+
+
+def dimer_json(spark, d):
+    """Contact records of both modes as the JSON sink writes them: frames without contacts have empty lists."""
+    f = frames(spark, d)
+    a = records.dimer_records(K.dimers_distance(atoms(spark, d), cells(spark, d), P.tuples(spark, PAIRS), LIMIT), f).select(*KEY, F.lit("distance").alias("criterion"), F.array_join(F.transform("pairs", lambda p: F.concat_ws("-", p)), " ").alias("listed"))
+    b = records.hbond_dimer_records(_hbonds(spark, d), f).select(*KEY, F.lit("hbond").alias("criterion"), F.array_join(F.transform("d_h_a_pairs", lambda p: F.concat_ws(">", p)), " ").alias("listed"))
+    return a.unionByName(b)
 
 
 def hbond_heatmap(spark, d):
@@ -68,7 +78,15 @@ def hbond_heatmap(spark, d):
 
     g = K.hbond_geometry(atoms(spark, d), cells(spark, d), P.tuples(spark, TRIPLES))
     # NaN is out of every range.
-    return histogram2d(g, F.col("r_da"), F.col("angle"), (0.0, 15.0, 30), (0.0, 180.0, 30)).select("bin_x", "bin_y", "count")
+    return histogram2d(g, F.col("r_da"), F.col("angle"), (0.0, 15.0, 30), (0.0, 180.0, 30))
+
+
+def hbond_heatmap_range(spark, d):
+    """The heat map over the range of the data."""
+    from moltide.operators.hist import heatmap
+
+    g = written(K.hbond_geometry(atoms(spark, d), cells(spark, d), P.tuples(spark, TRIPLES)).select(F.round("r_da", 4).alias("r_da"), F.round("angle", 4).alias("angle")), "heatmap")
+    return rounded(heatmap(g.where(~F.isnan("angle")), F.col("r_da"), F.col("angle"), 20, 20), 4)
 
 
 def dimers_distance(spark, d):
@@ -85,11 +103,11 @@ def dimers_com(spark, d):
 
 
 def dimers_angle(spark, d):
-    return rounded(K.dimers_angle(atoms(spark, d), cells(spark, d), P.tuples(spark, TRIPLES), LIMIT, 90.0).drop("angle"), 5)
+    return rounded(K.dimers_angle(atoms(spark, d), cells(spark, d), P.tuples(spark, TRIPLES), LIMIT, 90.0), 4)
 
 
 def dimers_flexible(spark, d):
-    return rounded(K.dimers_angle(atoms(spark, d), cells(spark, d), P.tuples(spark, TRIPLES), "3.0vdw_sum", "300f").drop("angle"), 5)
+    return rounded(K.dimers_angle(atoms(spark, d), cells(spark, d), P.tuples(spark, TRIPLES), "3.0vdw_sum", "300f"), 4)
 
 
 def survival(spark, d):
@@ -118,7 +136,7 @@ def _centers(spark, d):
 def dlddf(spark, d):
     c = K.dimers_distance(atoms(spark, d), cells(spark, d), P.tuples(spark, PAIRS), LIMIT)
     moved = L.lifetime_displacement(c, _centers(spark, d), cells(spark, d), "run_id", ["tuple_id"], WINDOW)
-    return L.dlddf(moved, 10.0, TAU, DR).select("bin_x", "bin_y", "count")
+    return rounded(L.dlddf(moved, 10.0, TAU, DR))
 
 
 def _bonds(spark, d, a):
@@ -131,7 +149,7 @@ def bonds(spark, d):
 
 def molecules(spark, d):
     a = atoms(spark, d)
-    return M.molecules(a, M.components(a, _bonds(spark, d, a))).select(*KEY, "mol", "formula", F.size("at_idx").alias("n"))
+    return M.molecules(a, M.components(a, _bonds(spark, d, a))).select(*KEY, "mol", "formula", F.array_join(F.col("at_idx").cast("array<string>"), " ").alias("members"))
 
 
 def molecule_formulas(spark, d):
@@ -152,7 +170,7 @@ def effective_lifetime(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (hbond_sites, hbond_candidates, hbonds, hbond_counts, hbond_filter, hbond_records, hbond_heatmap, dimers_distance, dimers_criterion, dimers_com, dimers_angle, dimers_flexible, survival, survival_sampled, survival_records, dlddf, bonds, molecules, molecule_formulas, biexp_fit, effective_lifetime)
+    for f in (hbond_sites, hbond_candidates, hbonds, hbond_counts, hbond_filter, hbond_records, dimer_json, hbond_heatmap, hbond_heatmap_range, dimers_distance, dimers_criterion, dimers_com, dimers_angle, dimers_flexible, survival, survival_sampled, survival_records, dlddf, bonds, molecules, molecule_formulas, biexp_fit, effective_lifetime)
 }
 
 # ---- SQL ----
@@ -195,23 +213,29 @@ _mol = f"""e AS (SELECT run_id, frame, i AS u, j AS v FROM bd UNION ALL SELECT r
     cc(run_id, frame, at_idx, g) AS (SELECT run_id, frame, at_idx, at_idx FROM a UNION SELECT e.run_id, e.frame, e.v, cc.g FROM cc JOIN e ON e.run_id = cc.run_id AND e.frame = cc.frame AND e.u = cc.at_idx WHERE cc.g < e.v),
     mb AS (SELECT run_id, frame, at_idx, min(g) AS mol FROM cc GROUP BY ALL),
     ns AS (SELECT run_id, frame, mol, symb, count(*) AS n FROM mb JOIN a USING (run_id, frame, at_idx) GROUP BY ALL),
-    ml AS (SELECT run_id, frame, mol, string_agg(coalesce(symb, '?') || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END, '' ORDER BY symb NULLS FIRST) AS formula, CAST(sum(n) AS INTEGER) AS n FROM ns GROUP BY ALL)"""
+    ml AS (SELECT run_id, frame, mol, string_agg(coalesce(symb, '?') || CASE WHEN n > 1 THEN CAST(n AS VARCHAR) ELSE '' END, '' ORDER BY symb NULLS FIRST) AS formula, CAST(sum(n) AS INTEGER) AS n FROM ns GROUP BY ALL),
+    mm AS (SELECT run_id, frame, mol, string_agg(CAST(at_idx AS VARCHAR), ' ' ORDER BY at_idx) AS members FROM mb GROUP BY ALL)"""
 
 SQL = {
     "hbond_sites": f"WITH {SQL_ATOMS}, s(role, site, at_idx) AS (VALUES {', '.join(map(str, _sites))}) SELECT run_id, role, site, count(*) AS n FROM a JOIN s USING (at_idx) GROUP BY ALL",
     "hbond_candidates": f"WITH {SQL_BASE}, {_hb} SELECT run_id, frame, tuple_id, a0, a1, a2, round(r_da, 5) + 0.0 AS r_da, round(r_dh, 5) + 0.0 AS r_dh, coalesce(round(angle, 3), -1.0) + 0.0 AS angle FROM hb",
-    "hbonds": f"WITH {SQL_BASE}, {_bond} SELECT run_id, frame, tuple_id, a0, a1, a2, round(r_da, 5) + 0.0 AS r_da, round(r_dh, 5) + 0.0 AS r_dh FROM bd",
+    "hbonds": f"WITH {SQL_BASE}, {_bond} SELECT run_id, frame, tuple_id, a0, a1, a2, round(r_da, 4) + 0.0 AS r_da, round(r_dh, 4) + 0.0 AS r_dh, round(angle, 4) + 0.0 AS angle FROM bd",
     "hbond_counts": f"WITH {SQL_BASE}, {_bond}, {_count.format(src='bd')}",
     "hbond_filter": f"WITH {SQL_BASE}, {_bond}, {_count.format(src='(SELECT * FROM bd WHERE a0 IN (0, 1, 2) OR a1 IN (0, 1, 2) OR a2 IN (0, 1, 2))')}",
-    "hbond_records": f"WITH {SQL_BASE}, {_bond}, f AS (SELECT DISTINCT run_id, frame FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL), n AS (SELECT run_id, frame, count(*) AS n, string_agg(a0 || '>' || a1 || '>' || a2, ' ' ORDER BY a0, a1, a2) AS b FROM bd GROUP BY ALL) SELECT run_id, frame, CAST(coalesce(n, 0) AS INTEGER) AS n_hbonds, coalesce(b, '') AS bonds FROM f LEFT JOIN n USING (run_id, frame)",
-    "hbond_heatmap": f"WITH {SQL_BASE}, {_hb} SELECT {sql_bin('r_da', 0.0, 15.0, 30)} AS bin_x, {sql_bin('angle', 0.0, 180.0, 30)} AS bin_y, count(*) AS count FROM hb WHERE r_da <= 15.0 AND angle BETWEEN 0 AND 180 GROUP BY ALL",
+    "hbond_records": f"WITH {SQL_BASE}, {_bond}, f AS (SELECT DISTINCT run_id, frame FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL), n AS (SELECT run_id, frame, count(*) AS n, string_agg(a0 || '>' || a1 || '>' || a2, ' ' ORDER BY a0, a1, a2) AS b, sum(r_da) AS s FROM bd GROUP BY ALL) SELECT run_id, frame, CAST(coalesce(n, 0) AS INTEGER) AS n_hbonds, coalesce(b, '') AS bonds, round(coalesce(s, 0.0), 4) + 0.0 AS sum_da FROM f LEFT JOIN n USING (run_id, frame)",
+    "dimer_json": f"""WITH {SQL_BASE}, {_bond}, pq AS (SELECT p0.run_id, p0.frame, a0, a1, {_v('d', sql_mic(sql_diff('p0', 'p1')))} FROM {placed(PAIRS)}), f AS (SELECT DISTINCT run_id, frame FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL),
+        x AS (SELECT run_id, frame, string_agg(a0 || '-' || a1, ' ' ORDER BY a0, a1) AS s FROM pq WHERE sqrt({_dot('d', 'd')}) <= {LIMIT} GROUP BY ALL), y AS (SELECT run_id, frame, string_agg(a0 || '>' || a1 || '>' || a2, ' ' ORDER BY a0, a1, a2) AS s FROM bd GROUP BY ALL)
+        SELECT run_id, frame, 'distance' AS criterion, coalesce(s, '') AS listed FROM f LEFT JOIN x USING (run_id, frame) UNION ALL SELECT run_id, frame, 'hbond', coalesce(s, '') FROM f LEFT JOIN y USING (run_id, frame)""",
+    "hbond_heatmap": f"WITH {SQL_BASE}, {_hb} SELECT {sql_bin('r_da', 0.0, 15.0, 30)} AS bin_x, {sql_bin('angle', 0.0, 180.0, 30)} AS bin_y, (bin_x + 0.5) * 0.5 AS x, (bin_y + 0.5) * 6.0 AS y, count(*) AS count FROM hb WHERE r_da <= 15.0 AND angle BETWEEN 0 AND 180 GROUP BY ALL",
+    "hbond_heatmap_range": f"""WITH {SQL_BASE}, {_hb}, v AS (SELECT round(r_da, 4) AS p, round(angle, 4) AS q FROM hb WHERE angle IS NOT NULL), s AS (SELECT min(p) AS p0, max(p) AS p1, min(q) AS q0, max(q) AS q1 FROM v)
+        SELECT CAST(least(floor((p - p0) / (p1 - p0) * 20), 19) AS INTEGER) AS bin_x, CAST(least(floor((q - q0) / (q1 - q0) * 20), 19) AS INTEGER) AS bin_y, round(any_value(p0) + (bin_x + 0.5) * (any_value(p1 - p0) / 20), 4) + 0.0 AS x, round(any_value(q0) + (bin_y + 0.5) * (any_value(q1 - q0) / 20), 4) + 0.0 AS y, count(*) AS count FROM v, s GROUP BY bin_x, bin_y""",
     "dimers_distance": f"WITH {SQL_BASE}, {_dm} SELECT run_id, frame, tuple_id, a0, a1, round(dist, 6) + 0.0 AS dist FROM dm WHERE dist <= {LIMIT}",
     "dimers_criterion": f"WITH {SQL_BASE}, {_dm}, {_vdw} SELECT run_id, frame, tuple_id, a0, a1, round(dist, 6) + 0.0 AS dist FROM dm JOIN rv v0 ON v0.symb = s0 JOIN rv v1 ON v1.symb = s1 WHERE dist <= 2.2 * (v0.r + v1.r)",
     "dimers_com": f"""WITH {SQL_BASE}, {_masses}, mm(mol, at_idx) AS (VALUES {', '.join(map(str, MOLECULES))}), cm AS (SELECT run_id, frame, mol, {', '.join(f'sum(mass * {k}) / sum(mass) AS c{k}' for k in 'xyz')} FROM a JOIN mm USING (at_idx) JOIN e USING (symb) GROUP BY run_id, frame, mol),
         l AS (SELECT p.run_id, p.frame, tuple_id, a0, a1, {_v('d', _cd)} FROM {_rel(MOL_PAIRS)} JOIN cm p ON p.mol = a0 JOIN cm q ON q.mol = a1 AND q.run_id = p.run_id AND q.frame = p.frame JOIN c ON c.run_id = p.run_id AND c.frame = p.frame)
         SELECT run_id, frame, tuple_id, a0, a1, round(sqrt({_dot('d', 'd')}), 5) + 0.0 AS dist FROM l WHERE sqrt({_dot('d', 'd')}) <= {COM_LIMIT}""",
-    "dimers_angle": f"WITH {SQL_BASE}, {_hb} SELECT run_id, frame, tuple_id, a0, a1, a2, round(r_da, 5) + 0.0 AS dist FROM hb WHERE r_da <= {LIMIT} AND angle >= 90.0",
-    "dimers_flexible": f"WITH {SQL_BASE}, {_hb}, {_vdw}, {_cov} SELECT run_id, frame, tuple_id, a0, a1, a2, round(r_da, 5) + 0.0 AS dist FROM hb JOIN rv v0 ON v0.symb = s0 JOIN rv v2 ON v2.symb = s2 JOIN rc c0 ON c0.symb = s0 JOIN rc c1 ON c1.symb = s1 WHERE r_da <= 3.0 * (v0.r + v2.r) AND angle * r_dh / (1.05 * (c0.r + c1.r)) >= 300.0",
+    "dimers_angle": f"WITH {SQL_BASE}, {_hb} SELECT run_id, frame, tuple_id, a0, a1, a2, round(r_da, 4) + 0.0 AS dist, round(angle, 4) + 0.0 AS angle FROM hb WHERE r_da <= {LIMIT} AND angle >= 90.0",
+    "dimers_flexible": f"WITH {SQL_BASE}, {_hb}, {_vdw}, {_cov} SELECT run_id, frame, tuple_id, a0, a1, a2, round(r_da, 4) + 0.0 AS dist, round(angle, 4) + 0.0 AS angle FROM hb JOIN rv v0 ON v0.symb = s0 JOIN rv v2 ON v2.symb = s2 JOIN rc c0 ON c0.symb = s0 JOIN rc c1 ON c1.symb = s1 WHERE r_da <= 3.0 * (v0.r + v2.r) AND angle * r_dh / (1.05 * (c0.r + c1.r)) >= 300.0",
     "survival": f"WITH {SQL_BASE}, {_ct}, {_survival('co', 'a', 'run_id', 'tuple_id', WINDOW, 1, 1)}",
     "survival_sampled": f"WITH {SQL_BASE}, {_ct}, {_survival('co', 'a', 'run_id', 'tuple_id', WINDOW, 3, 2)}",
     "survival_records": f"WITH {_json}, {_survival('co', 'tx', 'stream_id', 'a0, a2', 5, 1, 1)}",
@@ -223,9 +247,9 @@ SQL = {
         cp AS (SELECT cen.*, place FROM cen JOIN pl USING (run_id, frame)),
         mv AS (SELECT de.run_id, de.life, {_v('d', _moved)} FROM de JOIN cp o ON o.run_id = de.run_id AND o.tuple_id = de.tuple_id AND o.place = de.place JOIN cp z ON z.run_id = de.run_id AND z.tuple_id = de.tuple_id AND z.place = de.place + de.life JOIN cr c ON c.run_id = de.run_id),
         v AS (SELECT life * 10.0 / 1000.0 AS tau, sqrt({_dot('d', 'd')}) AS dr FROM mv)
-        SELECT {sql_bin('tau', *TAU)} AS bin_x, {sql_bin('dr', *DR)} AS bin_y, count(*) AS count FROM v WHERE tau <= {TAU[1]} AND dr <= {DR[1]} GROUP BY ALL""",
+        SELECT {sql_bin('tau', *TAU)} AS bin_x, {sql_bin('dr', *DR)} AS bin_y, round({TAU[0]} + (bin_x + 0.5) * {(TAU[1] - TAU[0]) / TAU[2]}, 6) AS x, round({DR[0]} + (bin_y + 0.5) * {(DR[1] - DR[0]) / DR[2]}, 6) AS y, count(*) AS count FROM v WHERE tau <= {TAU[1]} AND dr <= {DR[1]} GROUP BY ALL""",
     "bonds": f"WITH {SQL_BASE}, {_bd} SELECT run_id, frame, i, j, round(dist, 6) + 0.0 AS dist FROM bd",
-    "molecules": f"WITH RECURSIVE {SQL_BASE}, {_bd}, {_mol} SELECT run_id, frame, mol, formula, n FROM ml",
+    "molecules": f"WITH RECURSIVE {SQL_BASE}, {_bd}, {_mol} SELECT run_id, frame, mol, formula, members FROM ml JOIN mm USING (run_id, frame, mol)",
     "molecule_formulas": f"WITH RECURSIVE {SQL_BASE}, {_bd}, {_mol} SELECT run_id, formula, count(*) AS n FROM ml GROUP BY ALL",
 }
 

@@ -63,6 +63,8 @@ c AS (SELECT *, CASE WHEN starts_with(raw, '[') THEN regexp_split_to_array(regex
 hr AS (SELECT line_id, CASE WHEN (length(t) - length(replace(t, '"', ''))) % 2 = 1 THEN 'quoting' WHEN has AND (len(nums) NOT IN (3, 9) OR (starts_with(raw, '[') AND NOT regexp_full_match(raw, '\[\s*(\[[^\],]+,[^\],]+,[^\],]+\]\s*,?\s*){3}\]'))
   OR len(list_filter(nums, lambda x: NOT (regexp_full_match(x, '[+-]?(\d+\.?\d*|\.\d+)([eEdD][+-]?\d+)?') AND coalesce(isfinite(TRY_CAST(translate(x, 'dD', 'ee') AS DOUBLE)), FALSE)))) > 0) THEN 'bad_lattice' END AS reason FROM c)
 SELECT line_id, reason FROM ar WHERE reason IS NOT NULL UNION SELECT line_id, reason FROM hr WHERE reason IS NOT NULL""",
+    "p1_atoms": "{p1}, f1 AS (SELECT line_id FROM ar WHERE reason IS NOT NULL), g AS (SELECT l.line_id, w.file_id, w.at0 AS block, CAST(l.line_no - w.at0 - 2 AS INTEGER) AS at_idx, list_filter(regexp_split_to_array(l.t, '[ \\t\\r\\n]+'), lambda x: x <> '') AS f FROM w JOIN l ON l.file_id = w.file_id AND l.line_no BETWEEN w.at0 + 2 AND w.at0 + 1 + w.n WHERE l.line_id NOT IN (SELECT line_id FROM f1)) SELECT line_id, file_id, block, at_idx, f[1] AS symb, CAST(translate(f[2], 'dD', 'ee') AS DOUBLE) AS x, CAST(translate(f[3], 'dD', 'ee') AS DOUBLE) AS y, CAST(translate(f[4], 'dD', 'ee') AS DOUBLE) AS z FROM g",
+    "p1_headers": "{p1}, k AS (SELECT c.*, w.file_id, w.at0 AS block, [CAST(translate(trim(x), 'dD', 'ee') AS DOUBLE) for x in nums] AS u FROM c JOIN w USING (line_id) WHERE line_id NOT IN (SELECT line_id FROM hr WHERE reason IS NOT NULL)), d AS (SELECT line_id, file_id, block, has, CASE WHEN NOT has THEN NULL WHEN len(u) = 3 THEN [u[1], 0, 0, 0, u[2], 0, 0, 0, u[3]] ELSE u END AS m FROM k) SELECT line_id, file_id, block, has AS has_cell, m[1] AS a1x, m[2] AS a1y, m[3] AS a1z, m[4] AS a2x, m[5] AS a2y, m[6] AS a2z, m[7] AS a3x, m[8] AS a3y, m[9] AS a3z FROM d",
     "p3_found": r"""
 WITH RECURSIVE q(name, quantity) AS (VALUES {names}),
 {every},
@@ -98,6 +100,8 @@ pk AS (SELECT series_id, file_id, path, kind, count(*) AS n_headers FROM every G
 files AS (SELECT series_id, file_id, count(DISTINCT header_id) AS n_readable FROM every GROUP BY ALL)
 SELECT series_id, file_id, path, kind, n_headers, n_readable FROM pk JOIN files USING (series_id, file_id)""",
 }
+for _k in ("p1_atoms", "p1_headers"):
+    SQL[_k] = SQL[_k].replace("{p1}", SQL["p1_found"].rsplit("SELECT line_id, reason FROM ar", 1)[0].rstrip())
 _fixed = {"{names}": ", ".join(map(str, _names)), "{every}": _every, "{numbers}": _numbers, "{near}": str(drift.NEAR), "{part}": str(drift.PART), "{name}": str(drift.NAME), "{least}": str(drift.LEAST)}
 for _k in ("p3_found", "p3_statistics"):
     for _a, _b in _fixed.items():

@@ -23,6 +23,7 @@ PAIRS = [(0, 1), (1, 0), (2, 3), (0, 4)]
 VECTORS = [(0, 1), (2, 3)]
 SEEDS = [(5.0, 5.0), (15.0, 5.0), (5.0, 15.0), (15.0, 15.0), (25.0, 10.0)]
 N_THETA, N_PHI = 5, 7
+TIE = 0.0000173
 
 
 def msd_by_lag(spark, d):
@@ -38,13 +39,31 @@ def msd_1d_projection(spark, d):
 
 
 def msd_fft(spark, d):
-    """All lags of every series by FFT: no SQL, tested against the direct sum."""
-    return rounded(C.msd_fft(atoms(spark, d)), 4)
+    """All lags of every series by FFT."""
+    # Positions have few digits, so means are often ties of rounding: both sides are moved off them.
+    return C.msd_fft(atoms(spark, d)).select("run_id", "at_idx", "lag", (F.round(F.col("msd") + TIE, 3) + 0.0).alias("msd"))
 
 
 def diffusion_coefficient(spark, d):
     m = C.msd_mean(C.msd(atoms(spark, d), LINE_LAGS), "run_id")
-    return C.diffusion(m, DT, "run_id").select("run_id", F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"))
+    return C.diffusion(m, DT, "run_id").select("run_id", F.round("slope", 3).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("d_cm2_s", 9).alias("d_cm2_s"))
+
+
+def diffusion_curve(spark, d):
+    """D(t) at each lag of the mean square displacement."""
+    return rounded(C.diffusion_curve(C.msd_mean(C.msd(atoms(spark, d), LINE_LAGS), "run_id"), DT), 6)
+
+
+def tau_axis(spark, d):
+    """The lags of a time axis in steps of 25 fs, which are 2 time steps, up to 0.2 ps."""
+    return spark.createDataFrame(C.tau_axis(101, DT, 0.025, 0.0, 0.2), "number int, tau double, lag int").select("number", F.round("tau", 9).alias("tau"), "lag")
+
+
+def isf_distinct(spark, d):
+    """Distinct intermediate scattering at 2.5 of the listed pairs, at the density of one atom in 100 cubic angstrom."""
+    pairs = spark.createDataFrame(PAIRS, "i int, j int")
+    vh = C.vanhove_distinct(atoms(spark, d), cells(spark, d), pairs, [1, 4], 12.0, 24)
+    return rounded(C.isf_distinct(vh, 2.5, 12.0, 24, 0.01, "run_id"), 4)
 
 
 def autocorr(spark, d):
@@ -56,7 +75,7 @@ def energy_autocorr(spark, d):
     e = frames(spark, d).where(F.abs("energy") < HIGHEST)
     mean = e.groupBy("run_id").agg(F.avg("energy").alias("m"))
     v = e.join(mean, "run_id").select("run_id", "frame", (F.col("energy") - F.col("m")).alias("v"))
-    return C.autocorr(v, LAGS, "v", "run_id").select("run_id", "lag", F.round(F.signum("c") * F.ln(1 + F.abs("c")), 3).alias("c"))
+    return rounded(C.autocorr(v, LAGS, "v", "run_id"), 2)
 
 
 def vanhove_self(spark, d):
@@ -82,12 +101,12 @@ def vanhove_distinct_groups(spark, d):
 
 def non_gaussian(spark, d):
     m = C.moments(atoms(spark, d), LAGS, "run_id")
-    return rounded(m.select("run_id", "lag", "r2", F.ln(1 + F.col("r4")).alias("ln_r4"), "alpha2"), 3)
+    return rounded(m.select("run_id", "lag", "r2", "r4", "alpha2"), 2)
 
 
 def vanhove_summary(spark, d):
     s = C.vanhove_summary(C.moments(atoms(spark, d), LAGS, "run_id"), "run_id")
-    return rounded(s.drop("peak_lag"), 3)
+    return rounded(s.withColumn("peak_lag", F.col("peak_lag").cast("int")), 3)
 
 
 def isf(spark, d):
@@ -123,7 +142,7 @@ def channel_switch_rate(spark, d):
 
 def direction_sweep(spark, d):
     s = CH.direction_sweep(atoms(spark, d), LINE_LAGS, DT, N_THETA, N_PHI)
-    return s.select("run_id", F.col("dir_id").cast("int").alias("dir_id"), F.round(F.col("d_cm2_s") * 20000.0, 2).alias("slope"))
+    return s.select("run_id", F.col("dir_id").cast("int").alias("dir_id"), *[(F.round(F.col(c), 9) + 0.0).alias(c) for c in ("nx", "ny", "nz")], F.round(F.col("d_cm2_s") * 20000.0, 2).alias("slope"))
 
 
 def projection(spark, d):
@@ -140,7 +159,7 @@ def kww_fit(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (msd_by_lag, msd_per_atom, msd_1d_projection, msd_fft, diffusion_coefficient, autocorr, energy_autocorr, vanhove_self, vanhove_slice, vanhove_distinct, vanhove_distinct_groups, non_gaussian, vanhove_summary, isf, vrd_series, channel_assign, channel_switch_rate, direction_sweep, projection, kww_fit)
+    for f in (msd_by_lag, msd_per_atom, msd_1d_projection, msd_fft, diffusion_coefficient, diffusion_curve, tau_axis, isf_distinct, autocorr, energy_autocorr, vanhove_self, vanhove_slice, vanhove_distinct, vanhove_distinct_groups, non_gaussian, vanhove_summary, isf, vrd_series, channel_assign, channel_switch_rate, direction_sweep, projection, kww_fit)
 } | {"vrd_l1": _vrd(1), "vrd_l2": _vrd(2), "vrd_l3": _vrd(3), "vrd_per_pair": _vrd(2, False)}
 
 
@@ -185,10 +204,14 @@ SQL = {
     "msd_by_lag": f"WITH {SQL_ATOMS}, {_disp(LAGS)}, {_per} SELECT run_id, lag, round(avg(msd), 4) + 0.0 AS msd, round(stddev_samp(msd) / sqrt(count(*)), 4) + 0.0 AS error FROM per GROUP BY ALL",
     "msd_per_atom": f"WITH {SQL_ATOMS}, {_disp(LAGS)}, {_per} SELECT run_id, at_idx, lag, round(msd, 4) + 0.0 AS msd, n FROM per",
     "msd_1d_projection": f"WITH {SQL_ATOMS}, r AS (SELECT p.run_id, p.at_idx, t.lag, {_proj} AS d FROM a p CROSS JOIN {_lags(LAGS)} JOIN a q ON q.run_id = p.run_id AND q.at_idx = p.at_idx AND q.frame = p.frame + t.lag) SELECT run_id, at_idx, lag, round(avg(d * d), 4) + 0.0 AS msd FROM r GROUP BY ALL",
-    "diffusion_coefficient": f"WITH {SQL_ATOMS}, {_disp(LINE_LAGS)}, {_per}, m AS (SELECT run_id, lag, avg(msd) AS msd FROM per GROUP BY ALL) SELECT run_id, round(regr_slope(msd, lag * {DT} / 1000.0), 3) AS slope, round(regr_intercept(msd, lag * {DT} / 1000.0), 3) AS intercept FROM m WHERE lag > 0 GROUP BY run_id",
+    "diffusion_coefficient": f"WITH {SQL_ATOMS}, {_disp(LINE_LAGS)}, {_per}, m AS (SELECT run_id, lag, avg(msd) AS msd FROM per GROUP BY ALL) SELECT run_id, round(regr_slope(msd, lag * {DT} / 1000.0), 3) AS slope, round(regr_intercept(msd, lag * {DT} / 1000.0), 3) AS intercept, round(regr_slope(msd, lag * {DT} / 1000.0) / 60000.0, 9) AS d_cm2_s FROM m WHERE lag > 0 GROUP BY run_id",
+    "diffusion_curve": f"WITH {SQL_ATOMS}, {_disp(LINE_LAGS)}, {_per}, m AS (SELECT run_id, lag, avg(msd) AS msd FROM per GROUP BY ALL) SELECT run_id, lag, round(lag * {DT} / 1000.0, 6) AS t_ps, round(msd * 1e-16 / (6 * lag * {DT} * 1e-15), 6) + 0.0 AS d_cm2_s FROM m WHERE lag > 0",
+    "tau_axis": "SELECT CAST(k AS INTEGER) AS number, round(k * 0.02, 9) AS tau, CAST(2 * k AS INTEGER) AS lag FROM range(11) t(k)",
+    "msd_fft": f"""WITH {SQL_ATOMS} SELECT p.run_id, p.at_idx, CAST(q.frame - p.frame AS BIGINT) AS lag, round(avg((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)) + {TIE}, 3) + 0.0 AS msd
+        FROM a p JOIN a q ON q.run_id = p.run_id AND q.at_idx = p.at_idx AND q.frame >= p.frame GROUP BY ALL""",
     "autocorr": f"WITH {SQL_ATOMS} SELECT p.run_id, p.at_idx, t.lag, round(avg((p.x - 10.0) * (q.x - 10.0)), 3) + 0.0 AS c FROM a p CROSS JOIN {_lags(LAGS)} JOIN a q ON q.run_id = p.run_id AND q.at_idx = p.at_idx AND q.frame = p.frame + t.lag GROUP BY ALL",
     "energy_autocorr": f"""WITH f AS (SELECT DISTINCT frame_id, run_id, frame, energy FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL AND abs(energy) < {HIGHEST}), m AS (SELECT run_id, avg(energy) AS m FROM f GROUP BY run_id), e AS (SELECT run_id, frame, energy - m AS v FROM f JOIN m USING (run_id)),
-        k AS (SELECT p.run_id, t.lag, avg(p.v * q.v) AS c FROM e p CROSS JOIN {_lags(LAGS)} JOIN e q ON q.run_id = p.run_id AND q.frame = p.frame + t.lag GROUP BY ALL) SELECT run_id, lag, round(sign(c) * ln(1 + abs(c)), 3) AS c FROM k""",
+        k AS (SELECT p.run_id, t.lag, avg(p.v * q.v) AS c FROM e p CROSS JOIN {_lags(LAGS)} JOIN e q ON q.run_id = p.run_id AND q.frame = p.frame + t.lag GROUP BY ALL) SELECT run_id, lag, round(c, 2) + 0.0 AS c FROM k""",
     "vanhove_self": f"WITH {SQL_ATOMS}, {_vh} SELECT run_id, lag, bin, round(r, 6) + 0.0 AS r, count, round(rpd, 6) + 0.0 AS rpd, round(rpd / ({4 * math.pi} * r * r), 6) + 0.0 AS g FROM vh",
     "vanhove_slice": f"WITH {SQL_ATOMS}, {_vh} SELECT run_id, lag, bin, count, round(rpd, 6) + 0.0 AS rpd FROM vh WHERE bin = (SELECT arg_min(bin, (abs(r - 0.33), r)) FROM vh)",
     "isf": f"WITH {SQL_ATOMS}, {_vh} SELECT run_id, lag, round(sum(rpd * sin(r * 2.5) / (r * 2.5) * {_w}), 5) + 0.0 AS isf FROM vh GROUP BY ALL",
@@ -200,8 +223,8 @@ SQL = {
         n AS (SELECT run_id, symb_i, symb_j, lag, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT run_id, symb_i, symb_j, lag, {sql_bin('d', 0.0, 12.0, 24)} AS bin, count(*) AS count FROM s WHERE d <= 12.0 GROUP BY ALL),
         g AS (SELECT n.run_id, n.symb_i, n.symb_j, n.lag, CAST(b.bin AS INTEGER) AS bin, n.n, vol, coalesce(k.count, 0) AS count FROM n CROSS JOIN range(24) b(bin) LEFT JOIN k ON k.run_id = n.run_id AND k.symb_i = n.symb_i AND k.symb_j = n.symb_j AND k.lag = n.lag AND k.bin = b.bin JOIN cr c ON c.run_id = n.run_id)
         SELECT run_id, symb_i, symb_j, lag, bin, (bin + 0.5) * 0.5 AS r, count, round(count / (n * 0.5), 6) + 0.0 AS rpd, round(count / (n / vol * {_s2}), 6) + 0.0 AS g FROM g""",
-    "non_gaussian": f"WITH {SQL_ATOMS}, {_mom} SELECT run_id, lag, round(r2, 3) + 0.0 AS r2, round(ln(1 + r4), 3) + 0.0 AS ln_r4, round(alpha2, 3) + 0.0 AS alpha2 FROM al",
-    "vanhove_summary": f"WITH {SQL_ATOMS}, {_mom}, s AS (SELECT run_id, max(alpha2) AS m FROM al GROUP BY run_id) SELECT run_id, round(m, 3) + 0.0 AS peak_alpha2, CASE WHEN m < 0.1 THEN 'Gaussian' ELSE 'heterogeneous' END AS kind FROM s",
+    "non_gaussian": f"WITH {SQL_ATOMS}, {_mom} SELECT run_id, lag, round(r2, 2) + 0.0 AS r2, round(r4, 2) + 0.0 AS r4, round(alpha2, 2) + 0.0 AS alpha2 FROM al",
+    "vanhove_summary": f"WITH {SQL_ATOMS}, {_mom}, s AS (SELECT run_id, max(alpha2) AS m, CAST(arg_max(lag, (alpha2, -lag)) AS INTEGER) AS peak_lag FROM al GROUP BY run_id) SELECT run_id, peak_lag, round(m, 3) + 0.0 AS peak_alpha2, CASE WHEN m < 0.1 THEN 'Gaussian' ELSE 'heterogeneous' END AS kind FROM s",
     "vrd_series": f"WITH {SQL_ATOMS}, v AS (SELECT run_id, at_idx AS series_id, frame, x AS vx, y AS vy, z AS vz FROM a), {_vrd_sql('v', 2, 10, 3, 5, 'run_id')}",
     "vrd_per_pair": f"WITH {SQL_BASE}, {_vec}, {_vrd_sql('l', 2, 20, 2, 5, 'run_id, series_id')}",
     "channel_assign": f"WITH {SQL_ATOMS}, {_chan} SELECT run_id, at_idx, region, count(*) AS n FROM ch GROUP BY ALL",
@@ -211,7 +234,10 @@ SQL = {
         nd AS (SELECT dir_id, sin(ph) * sin(th) AS nx, sin(ph) * cos(th) AS ny, cos(ph) AS nz FROM dir),
         r AS (SELECT p.run_id, t.lag, q.x - p.x AS dx, q.y - p.y AS dy, q.z - p.z AS dz FROM a p CROSS JOIN {_lags(LINE_LAGS)} JOIN a q ON q.run_id = p.run_id AND q.at_idx = p.at_idx AND q.frame = p.frame + t.lag),
         m AS (SELECT run_id, lag, dir_id, avg((dx * nx + dy * ny + dz * nz) * (dx * nx + dy * ny + dz * nz)) AS msd FROM r CROSS JOIN nd GROUP BY ALL)
-        SELECT run_id, dir_id, round(regr_slope(msd, lag * {DT} / 1000.0), 2) AS slope FROM m GROUP BY ALL""",
+        SELECT run_id, dir_id, round(any_value(nx), 9) + 0.0 AS nx, round(any_value(ny), 9) + 0.0 AS ny, round(any_value(nz), 9) + 0.0 AS nz, round(regr_slope(msd, lag * {DT} / 1000.0), 2) AS slope FROM m JOIN nd USING (dir_id) GROUP BY run_id, dir_id""",
 } | {f"vrd_l{o}": f"WITH {SQL_BASE}, {_vec}, {_vrd_sql('l', o, 20, 2, 5, 'run_id')}" for o in (1, 2, 3)}
 
+_g = SQL["vanhove_distinct"].rsplit("SELECT run_id, lag, bin", 1)[0]
+SQL["isf_distinct"] = _g + f"SELECT run_id, lag, round(sum({4 * math.pi!r}::DOUBLE * ((bin + 0.5) * 0.5) * ((bin + 0.5) * 0.5) * 0.01 * (count / (n / vol * {_s2}) - 1) * sin((bin + 0.5) * 0.5 * 2.5) / ((bin + 0.5) * 0.5 * 2.5) * 0.5), 4) + 0.0 AS isf FROM g GROUP BY ALL"
+
 __all__ = ["QUERIES", "SQL"]

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from moltide.functions import geom
+from moltide.functions import geom, lattice
 from moltide.functions.elements import MASS
 from moltide.operators import distributions as D
 from moltide.operators import pairs as P
 from moltide.operators import select as S
 from moltide.plans.tables import SQL_ATOMS, SQL_BASE, atoms, cells, frames, rounded, sql_bin, sql_cart, sql_diff, sql_frac, sql_mic, table
+from moltide.session import shared_dir
+from moltide.sources.xyz import extxyz_lines, read_extxyz
 
 KEY = ["run_id", "frame"]
 #: Index groups of the queries.
@@ -19,6 +23,8 @@ GROUP_A, GROUP_B = [0, 2, 4, 6, 8], [1, 3, 5]
 TRIPLES = [(0, 1, 2), (1, 2, 3), (2, 3, 4), (5, 0, 6)]
 QUADS = [(0, 1, 2, 3), (2, 3, 4, 5)]
 SIXES = [(0, 1, 2, 3, 4, 5)]
+DIHEDRAL_GROUPS = ([0, 1], [2, 3], [4], [5, 6])
+SITE_NAMES = ["O1", "H12", "N", "Cl3", "C60"]
 R_MAX, R_BINS = 6.0, 60
 
 
@@ -184,19 +190,71 @@ def atom_table(spark, d):
 
 def xyz_export(spark, d):
     """The lines of the extended XYZ form of every record."""
-    from moltide.sources.xyz import extxyz_lines
-
     a = atoms(spark, d).where(F.col("symb").isNotNull())
     e = F.when(F.abs("energy") < S.HIGHEST, F.col("energy"))
     return extxyz_lines(a, frames(spark, d).withColumn("energy", e)).select("run_id", "frame", F.col("line").cast("int").alias("line"), "value")
 
 
+def pairs_scalar_list(spark, d):
+    """One atom with each of a list."""
+    t = P.tuples(spark, P.make_comb(0, GROUP_B))
+    return P.positions(atoms(spark, d), t).groupBy("run_id", "a0", "a1").agg(F.count("*").alias("n"))
+
+
+def pairs_scalars(spark, d):
+    t = P.tuples(spark, P.make_comb(2, 5))
+    return P.positions(atoms(spark, d), t).groupBy("run_id", "a0", "a1").agg(F.count("*").alias("n"))
+
+
+def pairs_sublists(spark, d):
+    """Lists of lists, sublist by sublist."""
+    t = P.tuples(spark, P.make_comb([[0, 1], [4]], [[2, 3], [5, 6]]))
+    return P.positions(atoms(spark, d), t).groupBy("run_id", "a0", "a1").agg(F.count("*").alias("n"))
+
+
+def hbond_triples(spark, d):
+    """Triples of donors with their hydrogens and acceptors."""
+    t = P.tuples(spark, P.hbond_triples([(0, [1, 2]), (3, [4])], [0, 3, 5]))
+    return P.positions(atoms(spark, d), t).groupBy("run_id", "a0", "a1", "a2").agg(F.count("*").alias("n"))
+
+
+def dihedral_groups(spark, d):
+    """Dihedral distribution over the product of four groups."""
+    return rounded(D.ddf(atoms(spark, d), cells(spark, d), P.tuples(spark, P.product(*DIHEDRAL_GROUPS)), 36))
+
+
+def site_elements(spark, d):
+    """The elements of site names with their masses."""
+    return spark.createDataFrame([(s, lattice.element_of(s), MASS[lattice.element_of(s)]) for s in SITE_NAMES], "site string, symb string, mass double")
+
+
+def miller_vectors(spark, d):
+    """The direction (1, 2, -1) of each run's first cell as a unit vector, and back as fractions over the greatest one."""
+    c = cells(spark, d).run
+    r = geom.to_cart((F.lit(1.0), F.lit(2.0), F.lit(-1.0)))
+    u = geom.with_images(c, {"u": geom.unit(r)}, periodic=False)
+    s = geom.with_images(u, {"s": geom.to_frac(geom.v("u"))}, periodic=False)
+    top = F.greatest(*[F.abs(f"s{k}") for k in "xyz"])
+    return rounded(s.select("run_id", "ux", "uy", "uz", *[(2 * F.col(f"s{k}") / top).alias(f"m{k}") for k in "xyz"]))
+
+
+def xyz_files(spark, d):
+    """All records written as one extended XYZ file per run and read again: dense frames and atoms."""
+    a = atoms(spark, d).where(F.col("symb").isNotNull())
+    a = a.withColumn("at_idx", F.row_number().over(Window.partitionBy(*KEY).orderBy("at_idx", "row_id")) - 1)
+    path = f"{shared_dir(spark)}/xyz-{uuid.uuid4().hex}"
+    lines = extxyz_lines(a, frames(spark, d).withColumn("energy", F.lit(None).cast("double")))
+    lines.repartition("run_id").sortWithinPartitions("run_id", "frame", "line").select("run_id", "value").write.partitionBy("run_id").text(path)
+    back, _ = read_extxyz(spark, path)
+    return rounded(back.select(F.regexp_extract("run_id", r"run_id=([^/]+)/", 1).alias("run_id"), "frame", "at_idx", "symb", "x", "y", "z"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         atoms_by_symbol, atoms_by_index, atoms_take_order, atoms_slice, atoms_inverse, frames_slice_stride, runs, frac_coords, cart_roundtrip, frac_coords_columns, wrap_box, wrap_pretty, cell_volume,
         pairs_combinations, pairs_zip, pairs_product, pair_distances_mic, pair_vectors_unit, distance_cutoff, bond_angles, dihedrals4, dihedrals6, dihedrals_signed,
-        com_by_frame, calib_drift, rdf, rdf_same, coordination_number, adf, ddf, sdf, sdf_summary, cdf, atom_table, xyz_export,
+        com_by_frame, calib_drift, rdf, rdf_same, coordination_number, adf, ddf, sdf, sdf_summary, cdf, atom_table, xyz_export, xyz_files, pairs_scalar_list, pairs_scalars, pairs_sublists, hbond_triples, dihedral_groups, site_elements, miller_vectors,
     )
 }
 
@@ -327,6 +385,18 @@ SQL["xyz_export"] = f"""WITH {SQL_ATOMS}, s AS (SELECT * FROM a WHERE symb IS NO
     SELECT run_id, frame, CAST(at_idx + 2 AS INTEGER) AS line, rpad(symb, 3, ' ') || printf('%18.8f', x) || printf('%18.8f', y) || printf('%18.8f', z) AS value FROM s
     UNION ALL SELECT run_id, frame, 0, CAST(n AS VARCHAR) FROM f JOIN n USING (run_id, frame)
     UNION ALL SELECT run_id, frame, 1, coalesce('Lattice="' || array_to_string([printf('%.8f', v) for v in lattice], ' ') || '" ', '') || 'Properties=species:S:1:pos:R:3 frame=' || frame || coalesce(' time=' || printf('%.3f', t_fs), '') || coalesce(' energy=' || printf('%.8f', e), '') FROM f JOIN n USING (run_id, frame)"""
+SQL |= {
+    "xyz_files": f"""WITH {SQL_ATOMS}, f AS (SELECT DISTINCT run_id, frame FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL), s AS (SELECT a.* FROM a JOIN f USING (run_id, frame) WHERE symb IS NOT NULL)
+        SELECT run_id, CAST(dense_rank() OVER (PARTITION BY run_id ORDER BY frame) - 1 AS INTEGER) AS frame, CAST(row_number() OVER (PARTITION BY run_id, frame ORDER BY at_idx, row_id) - 1 AS INTEGER) AS at_idx, symb, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM s""",
+    "pairs_scalar_list": _pairs_sql([(0, 1), (0, 3), (0, 5)]),
+    "pairs_scalars": _pairs_sql([(2, 5)]),
+    "pairs_sublists": _pairs_sql([(0, 2), (1, 3), (4, 5)]),
+    "hbond_triples": f"WITH {SQL_ATOMS} SELECT p0.run_id, a0, a1, a2, count(*) AS n FROM {_rel([(0, 1, 3), (0, 1, 5), (0, 2, 3), (0, 2, 5), (3, 4, 0), (3, 4, 5)])} JOIN a p0 ON p0.at_idx = a0 JOIN a p1 ON p1.at_idx = a1 AND p1.run_id = p0.run_id AND p1.frame = p0.frame JOIN a p2 ON p2.at_idx = a2 AND p2.run_id = p0.run_id AND p2.frame = p0.frame GROUP BY ALL",
+    "dihedral_groups": SQL["ddf"].replace(_rel(QUADS), _rel([(i, j, 4, k) for i in (0, 1) for j in (2, 3) for k in (5, 6)])),
+    "site_elements": "SELECT site, regexp_replace(site, '[0-9]', '', 'g') AS symb, mass FROM (VALUES ('O1', 15.9994), ('H12', 1.00794), ('N', 14.0067), ('Cl3', 35.453), ('C60', 12.0107)) t(site, mass)",
+    "miller_vectors": f"""WITH {SQL_BASE}, v AS (SELECT run_id, {', '.join(f'h1{j} + 2 * h2{j} - h3{j} AS v{j}' for j in (1, 2, 3))} FROM cr), n AS (SELECT *, sqrt(v1 * v1 + v2 * v2 + v3 * v3) AS l FROM v)
+        SELECT run_id, round(v1 / l, 6) + 0.0 AS ux, round(v2 / l, 6) + 0.0 AS uy, round(v3 / l, 6) + 0.0 AS uz, 1.0 AS mx, 2.0 AS my, -1.0 AS mz FROM n""",
+}
 _f = "f AS (SELECT DISTINCT frame_id, temperature_k AS v FROM frames WHERE run_id IS NOT NULL AND frame IS NOT NULL AND temperature_k IS NOT NULL AND NOT isnan(temperature_k)), s AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n FROM f)"
 _sdf = f"""{_f}, k AS (SELECT CAST(least(floor((v - lo) / (hi - lo) * 20), 19) AS INTEGER) AS bin, count(*) AS count FROM f, s GROUP BY ALL),
         g AS (SELECT CAST(b.bin AS INTEGER) AS bin, lo + (b.bin + 0.5) * ((hi - lo) / 20) AS x, coalesce(count, 0) AS count, coalesce(count, 0) / (n * ((hi - lo) / 20)) AS value FROM range(20) b(bin) CROSS JOIN s LEFT JOIN k ON k.bin = b.bin)"""

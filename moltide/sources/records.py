@@ -17,12 +17,27 @@ def hbond_records(bonds: DataFrame, frames: DataFrame) -> DataFrame:
     return frames.select("run_id", "frame").distinct().join(g, ["run_id", "frame"], "left").select("run_id", "frame", F.coalesce(F.size("hbonds"), F.lit(0)).alias("n_hbonds"), F.coalesce("hbonds", F.array().cast(f"array<struct<{BOND}>>")).alias("hbonds"))
 
 
-def dimer_records(contacts: DataFrame) -> DataFrame:
-    """(run_id, frame, pairs, dists): one record per frame with contacts; always lists of pairs."""
-    g = contacts.groupBy("run_id", "frame").agg(F.array_sort(F.collect_list(F.struct("a0", "a1", "dist"))).alias("c"))
+def _per_frame(contacts: DataFrame, frames: DataFrame | None, *columns: str) -> DataFrame:
+    """(run_id, frame, c): each frame's sorted contacts; with frames, those without any have an empty list."""
+    g = contacts.groupBy("run_id", "frame").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("c"))
+    if frames is None:
+        return g
+    none = F.array().cast(dict(g.dtypes)["c"])
+    return frames.select("run_id", "frame").distinct().join(g, ["run_id", "frame"], "left").withColumn("c", F.coalesce("c", none))
+
+
+def dimer_records(contacts: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """(run_id, frame, pairs, dists): one record per frame; always lists of pairs."""
+    g = _per_frame(contacts, frames, "a0", "a1", "dist")
     return g.select("run_id", "frame", F.transform("c", lambda c: F.array(c.a0, c.a1)).alias("pairs"), F.transform("c", lambda c: c.dist).alias("dists"))
 
 
+def hbond_dimer_records(bonds: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """(run_id, frame, d_h_a_pairs, d_a_dists, d_h_a_angles): one record per frame; always lists of triples."""
+    g = _per_frame(bonds.withColumnsRenamed({"dist": "r_da"}), frames, "a0", "a1", "a2", "r_da", "angle")
+    return g.select("run_id", "frame", F.transform("c", lambda c: F.array(c.a0, c.a1, c.a2)).alias("d_h_a_pairs"), F.transform("c", lambda c: c.r_da).alias("d_a_dists"), F.transform("c", lambda c: c.angle).alias("d_h_a_angles"))
+
+
 def write_json(records: DataFrame, path: str) -> None:
     records.write.json(path)
 
