@@ -153,8 +153,19 @@ class Cells:
         return Cells(self.run, None, self.small)
 
 
-def cells(frames: DataFrame) -> Cells:
-    """Cells from `lattice` (9 numbers). A cell without volume gives null inverses; of repeated frames with several lattices the least counts."""
+def as_cells(cells: Cells | DataFrame) -> Cells:
+    """A table of one cell per run, as cells() gives it, counts for all frames of the run."""
+    return cells if isinstance(cells, Cells) else Cells(cells)
+
+
+def cells(frames: DataFrame) -> DataFrame:
+    """(run_id, cell, inverse, vol, thickness) from `lattice` (9 numbers) of each run's first frame that has one. A cell without volume gives null inverses."""
+    m = frames.where(F.size("lattice") == 9).groupBy("run_id").agg(F.min_by("lattice", "frame").alias("m"))
+    return with_inverse(m.selectExpr("run_id", *[f"get(m, {i}) AS {n}" for i, n in enumerate(CELL)]))
+
+
+def frame_cells(frames: DataFrame) -> Cells:
+    """Cells of runs and of frames with another one, from `lattice` (9 numbers). A cell without volume gives null inverses; of repeated frames with several lattices the least counts."""
     f = frames.where(F.col("run_id").isNotNull() & F.col("frame").isNotNull() & (F.size("lattice") == 9)).groupBy("run_id", "frame").agg(F.min("lattice").alias("m"))
     flat = lambda m, *keys: with_inverse(m.selectExpr(*keys, *[f"get(m, {i}) AS {n}" for i, n in enumerate(CELL)]))
     run = f.groupBy("run_id").agg(F.min_by("m", "frame").alias("m"))

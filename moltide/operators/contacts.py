@@ -43,7 +43,7 @@ def _limit(criterion: str | float, a: int, b: int) -> Column:
     return factor * (F.col(f"p{a}{r}") + F.col(f"p{b}{r}"))
 
 
-def dimers_distance(atoms: DataFrame, cells: geom.Cells | None, tups: DataFrame, criterion: str | float) -> DataFrame:
+def dimers_distance(atoms: DataFrame, cells: geom.Cells | DataFrame | None, tups: DataFrame, criterion: str | float) -> DataFrame:
     """(run_id, frame, tuple_id, a0, a1, dist) of the listed pairs with dist <= criterion."""
     p = P.vectors(P.positions(atoms, tups) if isinstance(criterion, (int, float)) else _with_radii(atoms, tups), cells)
     d = p.withColumn("dist", geom.norm(geom.v("d")))
@@ -56,12 +56,12 @@ def _with_radii(atoms: DataFrame, tups: DataFrame) -> DataFrame:
     return P.positions(atoms.join(F.broadcast(r), "symb", "left"), tups, "r_vdw", "r_cov")
 
 
-def contacts_within(a: DataFrame, b: DataFrame, cells: geom.Cells, limit: float, same: bool) -> DataFrame:
+def contacts_within(a: DataFrame, b: DataFrame, cells: geom.Cells | DataFrame, limit: float, same: bool) -> DataFrame:
     """Contacts of all atoms of two sets by cell list: (run_id, frame, i, j, dist)."""
     return P.neighbours(a, b, cells, limit, same)
 
 
-def dimers_com(atoms: DataFrame, cells: geom.Cells | None, members: DataFrame, mol_pairs: DataFrame, limit: float) -> DataFrame:
+def dimers_com(atoms: DataFrame, cells: geom.Cells | DataFrame | None, members: DataFrame, mol_pairs: DataFrame, limit: float) -> DataFrame:
     """(run_id, frame, tuple_id, a0, a1, dist): pairs of molecules whose centers of mass are within the limit.
 
     members: (mol, at_idx); mol_pairs: (tuple_id, a0, a1) of mol numbers; both are the caller's lists.
@@ -72,10 +72,10 @@ def dimers_com(atoms: DataFrame, cells: geom.Cells | None, members: DataFrame, m
     return geom.keep(d, F.col("dist") <= limit).select(*KEY, "tuple_id", "a0", "a1", "dist")
 
 
-def hbond_geometry(atoms: DataFrame, cells: geom.Cells | None, triples: DataFrame) -> DataFrame:
+def hbond_geometry(atoms: DataFrame, cells: geom.Cells | DataFrame | None, triples: DataFrame) -> DataFrame:
     """(run_id, frame, tuple_id, a0 donor, a1 hydrogen, a2 acceptor, radii p0r_vdw.., r_da, r_dh, angle at the hydrogen)."""
     p = _with_radii(atoms, triples)
-    p = cells.on(p, *geom.CELL, *geom.INVERSE) if cells is not None else p
+    p = geom.as_cells(cells).on(p, *geom.CELL, *geom.INVERSE) if cells is not None else p
     leg = lambda i, j: geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}"))
     p = geom.with_images(p, {"da": leg(0, 2), "dh": leg(0, 1), "hd": leg(1, 0), "ha": leg(1, 2)}, periodic=cells is not None)
     return p.select(
@@ -84,7 +84,7 @@ def hbond_geometry(atoms: DataFrame, cells: geom.Cells | None, triples: DataFram
     )
 
 
-def dimers_angle(atoms: DataFrame, cells: geom.Cells | None, triples: DataFrame, criterion: str | float, angle: str | float) -> DataFrame:
+def dimers_angle(atoms: DataFrame, cells: geom.Cells | DataFrame | None, triples: DataFrame, criterion: str | float, angle: str | float) -> DataFrame:
     """Hydrogen-bond contacts: D-A distance <= criterion and D-H-A angle >= angle.
 
     A flexible angle such as "120f" is compared with the angle times r(D-H) over 1.05 covalent radii sums of D and H.
@@ -102,7 +102,7 @@ def dimers_angle(atoms: DataFrame, cells: geom.Cells | None, triples: DataFrame,
     return geom.keep(g, (F.col("r_da") <= limit) & ~F.isnan("angle") & (shown >= least)).select(*KEY, "tuple_id", "a0", "a1", "a2", F.col("r_da").alias("dist"), "angle")
 
 
-def hbonds(atoms: DataFrame, cells: geom.Cells | None, triples: DataFrame, factor: float = 1.02) -> DataFrame:
+def hbonds(atoms: DataFrame, cells: geom.Cells | DataFrame | None, triples: DataFrame, factor: float = 1.02) -> DataFrame:
     """Hydrogen bonds by the distance-dependent angle rule: R(D-A) <= factor * van der Waals sum, and
     angle >= (degrees(atan2(R(D-A), r(D-H))) + 180) * 3 / 8."""
     g = hbond_geometry(atoms, cells, triples)

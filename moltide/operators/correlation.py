@@ -193,13 +193,13 @@ def isf_distinct(vh: DataFrame, k: float, r_max: float, nbins: int, density: flo
     return vh.groupBy(*keys, "lag").agg(F.sum(4 * math.pi * F.col("r") * F.col("r") * density * (F.col("g") - 1) * F.when(kr == 0, 1.0).otherwise(F.sin(kr) / kr) * (r_max / nbins)).alias("isf"))
 
 
-def vanhove_distinct(series: DataFrame, cells: geom.Cells, pairs: DataFrame, lags: list[int], r_max: float, nbins: int) -> DataFrame:
+def vanhove_distinct(series: DataFrame, cells: geom.Cells | DataFrame, pairs: DataFrame, lags: list[int], r_max: float, nbins: int) -> DataFrame:
     """(run_id, lag, bin, r, count, rpd, g): distance of atom i at t and atom j at t + lag by the nearest image.
 
     pairs: (i, j) with i <> j, a broadcast list of the caller's; n counts the observed pairs, g has them per volume and shell.
     Two frames are compared in one cell, the run's first.
     """
-    cells = cells.run
+    cells = geom.as_cells(cells).run
     a = series.select(*KEY, F.col("at_idx").alias("i"), *[F.col(c).alias(f"a{c}") for c in "xyz"]).join(F.broadcast(pairs), "i")
     a = a.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("frame", (F.col("frame") + F.col("lag")).cast("int"))
     b = series.select("run_id", F.col("frame").cast("int").alias("frame"), F.col("at_idx").alias("j"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
@@ -262,7 +262,7 @@ def _distances(p: pd.DataFrame, by: list[str], lags: list[int], r_max: float, nb
     return pd.DataFrame(ids | {"lag": lag.astype("int32"), "bin": np.where(slot < nbins, slot, -1).astype("int32"), "count": count, "pairs": np.where(alone[r], count, 0)})
 
 
-def vanhove_groups(a: DataFrame, b: DataFrame, cells: geom.Cells, lags: list[int], r_max: float, nbins: int, *by: str) -> DataFrame:
+def vanhove_groups(a: DataFrame, b: DataFrame, cells: geom.Cells | DataFrame, lags: list[int], r_max: float, nbins: int, *by: str) -> DataFrame:
     """(run_id, by_i, by_j, lag, bin, r, count, rpd, g): distinct part between whole sets, atom i of a at t and atom j <> i of b at t + lag.
 
     by: columns of both sets, such as the symbol, that part them into groups; every ordered pair of groups has a curve.
@@ -274,7 +274,7 @@ def vanhove_groups(a: DataFrame, b: DataFrame, cells: geom.Cells, lags: list[int
     by = list(by)
     by_i, by_j = [f"{c}_i" for c in by], [f"{c}_j" for c in by]
     keys, place = ["run_id", *by_i, *by_j, "lag"], ["run_id", "block", "c1", "c2", "c3"]
-    cells = cells.first()
+    cells = geom.as_cells(cells).first()
     held = cells.small
     shape = [] if held else [*geom.CELL, *geom.INVERSE]
     row = [*place, "frame", "at_idx", "x", "y", "z", *by, *shape, F.expr("n1 * n2 * n3 = 1").alias("alone")]

@@ -13,7 +13,7 @@ from moltide.operators.hist import bin_of, histogram, histogram2d
 from moltide.operators.select import KEY
 
 
-def rdf(a: DataFrame, b: DataFrame, cells: geom.Cells, same: bool, nbins: int = 200, r_max: float = 15.0, norm: str = "pairs") -> DataFrame:
+def rdf(a: DataFrame, b: DataFrame, cells: geom.Cells | DataFrame, same: bool, nbins: int = 200, r_max: float = 15.0, norm: str = "pairs") -> DataFrame:
     """(run_id, bin, r, count, g): radial distribution of each run between the atoms of a and of b.
 
     count has unordered pairs for one set (same), all pairs of different atoms for two. g is the count over the pairs
@@ -30,7 +30,7 @@ def rdf(a: DataFrame, b: DataFrame, cells: geom.Cells, same: bool, nbins: int =
         both = per(a.join(b.select(*KEY, "at_idx"), [*KEY, "at_idx"], "left_semi"), "nab")
         n = per(a, "na").join(per(b, "nb"), KEY).join(both, KEY, "left")
         pairs = F.col("na") * F.col("nb") - F.coalesce("nab", F.lit(0))
-    total = cells.on(n.withColumn("np", pairs), "vol").groupBy("run_id").agg(F.sum(F.col("np") / F.col("vol")).alias("density"))
+    total = geom.as_cells(cells).on(n.withColumn("np", pairs), "vol").groupBy("run_id").agg(F.sum(F.col("np") / F.col("vol")).alias("density"))
     w = r_max / nbins
     shell = 4.0 / 3.0 * math.pi * (F.pow(F.col("hi"), 3) - F.pow(F.col("lo"), 3))
     return h.join(total, "run_id").select("run_id", "bin", ((F.col("bin") + 0.5) * w).alias("r"), "count", (F.col("count") / (F.col("density") * shell)).alias("g"))
@@ -46,22 +46,22 @@ def coordination(g: DataFrame, a: DataFrame, b: DataFrame, same: bool) -> DataFr
     return g.join(na, "run_id").select("run_id", "bin", "r", (F.sum("count").over(w) * (2 if same else 1) / F.col("na")).alias("n"))
 
 
-def tuple_angles(atoms: DataFrame, cells: geom.Cells | None, tups: DataFrame, lattice: str = "rows", degenerate: float = 90.0) -> DataFrame:
+def tuple_angles(atoms: DataFrame, cells: geom.Cells | DataFrame | None, tups: DataFrame, lattice: str = "rows", degenerate: float = 90.0) -> DataFrame:
     """(run_id, frame, tuple_id, angle): angle at the second atom of triples; degenerate (a leg without length) as given."""
     p = P.positions(atoms, tups)
-    p = cells.on(p, *geom.CELL, *geom.INVERSE) if cells is not None else p
+    p = geom.as_cells(cells).on(p, *geom.CELL, *geom.INVERSE) if cells is not None else p
     legs = {f"leg{k}": geom.sub(geom.v(f"p{k}"), geom.v("p1")) for k in (0, 2)}
     p = geom.with_images(p, legs, lattice, cells is not None)
     return p.select(*KEY, "tuple_id", geom.angle(geom.v("leg0"), geom.v("leg2"), degenerate).alias("angle"))
 
 
-def tuple_dihedrals(atoms: DataFrame, cells: geom.Cells | None, tups: DataFrame, signed: bool = False, lattice: str = "rows", degenerate: float = 90.0) -> DataFrame:
+def tuple_dihedrals(atoms: DataFrame, cells: geom.Cells | DataFrame | None, tups: DataFrame, signed: bool = False, lattice: str = "rows", degenerate: float = 90.0) -> DataFrame:
     """(run_id, frame, tuple_id, dihedral): planes (0,1,2) and (1,2,3) of four atoms, (0,1,2) and (3,4,5) of six."""
     n = P.size_of(tups)
     if n not in (4, 6):
         raise ValueError("dihedrals need tuples of four or six atoms")
     p = P.positions(atoms, tups)
-    p = cells.on(p, *geom.CELL, *geom.INVERSE) if cells is not None else p
+    p = geom.as_cells(cells).on(p, *geom.CELL, *geom.INVERSE) if cells is not None else p
     steps = [(0, 1), (1, 2), (2, 3)] if n == 4 else [(0, 1), (1, 2), (3, 4), (4, 5)]
     p = geom.with_images(p, {f"step{i}": geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}")) for i, j in steps}, lattice, cells is not None)
     second = ("step1", "step2") if n == 4 else ("step3", "step4")
@@ -70,7 +70,7 @@ def tuple_dihedrals(atoms: DataFrame, cells: geom.Cells | None, tups: DataFrame,
     return p.select(*KEY, "tuple_id", geom.dihedral(geom.v("na"), geom.v("nb"), geom.v("step1") if signed else None, degenerate).alias("dihedral"))
 
 
-def adf(atoms: DataFrame, cells: geom.Cells | None, tups: DataFrame, nbins: int = 200, lo: float = 0.0, hi: float = 180.0, cone: bool = True) -> DataFrame:
+def adf(atoms: DataFrame, cells: geom.Cells | DataFrame | None, tups: DataFrame, nbins: int = 200, lo: float = 0.0, hi: float = 180.0, cone: bool = True) -> DataFrame:
     """(run_id, bin, x, count, value): count over observed tuples, over sin x with the cone correction."""
     a = tuple_angles(atoms, cells, tups)
     h = histogram(a, F.col("angle"), lo, hi, nbins, "run_id")
@@ -79,7 +79,7 @@ def adf(atoms: DataFrame, cells: geom.Cells | None, tups: DataFrame, nbins: int
     return h.join(n, "run_id").select("run_id", "bin", "x", "count", (F.col("count") / (F.col("n") * weight)).alias("value"))
 
 
-def ddf(atoms: DataFrame, cells: geom.Cells | None, tups: DataFrame, nbins: int = 200, lo: float = 0.0, hi: float = 180.0, signed: bool = False) -> DataFrame:
+def ddf(atoms: DataFrame, cells: geom.Cells | DataFrame | None, tups: DataFrame, nbins: int = 200, lo: float = 0.0, hi: float = 180.0, signed: bool = False) -> DataFrame:
     """(run_id, bin, x, count, value): dihedral distribution, count over observed tuples."""
     a = tuple_dihedrals(atoms, cells, tups, signed)
     h = histogram(a, F.col("dihedral"), lo, hi, nbins, "run_id")

@@ -64,7 +64,7 @@ def survival(contacts: DataFrame, frames: DataFrame, key: str, ids: list[str], n
     return j.select(key, (F.col("k") * sampling).alias("k"), mean.alias("c"), (F.sqrt(var) / F.sqrt(F.floor(F.col("places") / nframes))).alias("error"))
 
 
-def lifetime_displacement(contacts: DataFrame, centers: DataFrame, cells: geom.Cells | None, key: str, ids: list[str], nframes: int, origin_stride: int = 1) -> DataFrame:
+def lifetime_displacement(contacts: DataFrame, centers: DataFrame, cells: geom.Cells | DataFrame | None, key: str, ids: list[str], nframes: int, origin_stride: int = 1) -> DataFrame:
     """(key, ids, place, life, dr): for each contact at each origin that is missed within the window, its lifetime in places and
     the displacement of its center from the origin to the first place it is missed, in the run's first cell. centers: (key, ids, frame, x, y, z)."""
     at = places(centers, key)
@@ -74,7 +74,7 @@ def lifetime_displacement(contacts: DataFrame, centers: DataFrame, cells: geom.C
     first = c.select(key, *ids, "place", *[F.col(a).alias(f"a{a}") for a in "xyz"])
     dead = c.select(key, *ids, F.col("place").alias("gone"), *[F.col(a).alias(f"b{a}") for a in "xyz"])
     j = o.withColumn("gone", F.col("place") + F.col("life")).join(first, [key, *ids, "place"]).join(dead, [key, *ids, "gone"])
-    j = j.join(cells.run, key) if cells is not None else j
+    j = j.join(geom.as_cells(cells).run, key) if cells is not None else j
     j = geom.with_images(j, {"d": geom.sub(geom.v("b"), geom.v("a"))}, periodic=cells is not None)
     return j.select(key, *ids, "place", "life", geom.norm(geom.v("d")).alias("dr"))
 

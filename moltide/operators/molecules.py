@@ -14,7 +14,7 @@ from moltide.operators.grouped import group_ids, map_groups
 from moltide.operators.select import KEY
 
 
-def bonds(atoms: DataFrame, cells: geom.Cells, factor: float = 1.05, symbols: list[str] | None = None) -> DataFrame:
+def bonds(atoms: DataFrame, cells: geom.Cells | DataFrame, factor: float = 1.05, symbols: list[str] | None = None) -> DataFrame:
     """(run_id, frame, i, j, dist): dist < factor * (sum of covalent radii). Atoms without a known radius have no bonds.
 
     symbols: those that occur; they bound the search, which else reaches as far as the widest bond of any element.

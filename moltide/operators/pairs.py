@@ -78,9 +78,9 @@ def positions(atoms: DataFrame, tups: DataFrame, *carry: str) -> DataFrame:
     return g.join(F.broadcast(tups), "tuple_id")
 
 
-def vectors(placed: DataFrame, cells: geom.Cells | None, i: int = 0, j: int = 1, lattice: str = "rows") -> DataFrame:
+def vectors(placed: DataFrame, cells: geom.Cells | DataFrame | None, i: int = 0, j: int = 1, lattice: str = "rows") -> DataFrame:
     """Adds dx, dy, dz from member i to member j; by the nearest image if cells are given."""
-    p = cells.on(placed, *geom.CELL, *geom.INVERSE) if cells is not None else placed
+    p = geom.as_cells(cells).on(placed, *geom.CELL, *geom.INVERSE) if cells is not None else placed
     d = geom.with_images(p, {"d": geom.sub(geom.v(f"p{j}"), geom.v(f"p{i}"))}, lattice, cells is not None)
     return d.select(*placed.columns, "dx", "dy", "dz")
 
@@ -89,7 +89,7 @@ def vectors(placed: DataFrame, cells: geom.Cells | None, i: int = 0, j: int = 1,
 FEW = 64
 
 
-def gridded(d: DataFrame, cells: geom.Cells, cutoff: float, lattice: str = "rows", carry: tuple[str, ...] = (), partners: DataFrame | None = None) -> DataFrame:
+def gridded(d: DataFrame, cells: geom.Cells | DataFrame, cutoff: float, lattice: str = "rows", carry: tuple[str, ...] = (), partners: DataFrame | None = None) -> DataFrame:
     """d with its frame's cell, the number of grid cells along each axis (n1, n2, n3) and each atom's own (c1, c2, c3).
 
     partners: (run_id, frame, partners), the atoms that may be met in each frame; frames without any drop out.
@@ -97,7 +97,7 @@ def gridded(d: DataFrame, cells: geom.Cells, cutoff: float, lattice: str = "rows
     d = d.select(*KEY, "at_idx", "x", "y", "z", *carry)
     d = d.join(partners, KEY) if partners is not None else d.withColumn("partners", F.lit(FEW + 1))
     t = "t" if lattice == "rows" else "u"
-    e = cells.on(d, *geom.CELL, *geom.INVERSE, *[f"{t}{k}" for k in (1, 2, 3)])
+    e = geom.as_cells(cells).on(d, *geom.CELL, *geom.INVERSE, *[f"{t}{k}" for k in (1, 2, 3)])
     e = e.selectExpr(*[c for c in e.columns if c not in ("partners", f"{t}1", f"{t}2", f"{t}3")], *[f"CASE WHEN partners > {FEW} AND {t}{k} / {cutoff}D >= 4 THEN int({t}{k} / {cutoff}D) ELSE 1 END AS n{k}" for k in (1, 2, 3)])
     frac = lambda j: " + ".join(f"{a} * " + (f"g{i}{j}" if lattice == "rows" else f"g{j}{i}") for i, a in zip((1, 2, 3), "xyz", strict=True))
     # Fractions just below a whole number may round up to it: they belong to the first cell.
@@ -111,7 +111,7 @@ def around(d: DataFrame) -> DataFrame:
     return d
 
 
-def neighbours(a: DataFrame, b: DataFrame, cells: geom.Cells, cutoff: float, same: bool, lattice: str = "rows", carry: tuple[str, ...] = ()) -> DataFrame:
+def neighbours(a: DataFrame, b: DataFrame, cells: geom.Cells | DataFrame, cutoff: float, same: bool, lattice: str = "rows", carry: tuple[str, ...] = ()) -> DataFrame:
     """(run_id, frame, i, j, dist, and the carried columns c as c_i and c_j) with dist <= cutoff by the single-rounding rule; i from a, j from b.
 
     same: a and b are one set, and each pair comes once (i < j); else i <> j.

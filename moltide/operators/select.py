@@ -114,19 +114,19 @@ def calib(atoms: DataFrame) -> DataFrame:
     return atoms.join(shift, KEY).select(*[(F.col(c) + F.col(f"d{c}")).alias(c) if c in "xyz" else F.col(c) for c in atoms.columns])
 
 
-def with_cell(atoms: DataFrame, cells: geom.Cells) -> DataFrame:
+def with_cell(atoms: DataFrame, cells: geom.Cells | DataFrame) -> DataFrame:
     """Atoms with the cell of their frame."""
-    return cells.on(atoms)
+    return geom.as_cells(cells).on(atoms)
 
 
-def wrap(atoms: DataFrame, cells: geom.Cells, center=(0.5, 0.5, 0.5), eps: float = 1e-7, pbc=(True, True, True), lattice: str = "rows") -> DataFrame:
+def wrap(atoms: DataFrame, cells: geom.Cells | DataFrame, center=(0.5, 0.5, 0.5), eps: float = 1e-7, pbc=(True, True, True), lattice: str = "rows") -> DataFrame:
     """Atoms moved into the box around the center."""
     a = with_cell(atoms, cells)
     r = geom.to_cart(geom.wrapped(geom.to_frac(geom.v(""), lattice), center, eps, pbc), lattice)
     return a.select(*[r["xyz".index(c)].alias(c) if c in "xyz" else F.col(c) for c in atoms.columns])
 
 
-def fractions(atoms: DataFrame, cells: geom.Cells, lattice: str = "rows") -> DataFrame:
+def fractions(atoms: DataFrame, cells: geom.Cells | DataFrame, lattice: str = "rows") -> DataFrame:
     a = with_cell(atoms, cells)
     return a.select(*atoms.columns, *[s.alias(n) for s, n in zip(geom.to_frac(geom.v(""), lattice), ("sx", "sy", "sz"), strict=True)])
 

@@ -25,7 +25,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> geom.Cells:
     """The cells of runs and of frames with another one; broadcast if their counted size allows."""
-    return geom.cells(table(spark, sf_dir, "frames"))
+    return geom.frame_cells(table(spark, sf_dir, "frames"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> list[str]:

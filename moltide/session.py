@@ -46,6 +46,26 @@ def _path(spark: SparkSession, name: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    fs, p = _path(spark, name)
+    return fs.exists(p)
+
+
+def listed(spark: SparkSession, name: str) -> list[str] | None:
+    """The sorted paths in a folder of any storage that Spark reaches; None if it is none."""
+    fs, p = _path(spark, name)
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        return None
+    return sorted(f"{name.rstrip('/')}/{s.getPath().getName()}" for s in fs.listStatus(p))
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table kept as Parquet at a path; made by make() and written if it is not there yet."""
+    if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path, compression="zstd")
+    return spark.read.parquet(path)
+
+
 def written(df: DataFrame, label: str, *keys: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 

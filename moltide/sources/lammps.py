@@ -12,6 +12,10 @@ from moltide.operators.parse_faults import fields, number
 from moltide.sources.text_lines import numbered, selected
 
 
+#: Section names and lines of a whole number and a number (with a comment): one per atom type, wherever the section stands.
+MASS_LINES = r"^\s*(?:[A-Za-z][A-Za-z ]*(?:#.*)?|\d+\s+[\d.eE+-]+\s*(?:#.*)?)$"
+
+
 def type_symbols(text: str) -> dict[int, str]:
     """Element of each atom type from the Masses section of a data file: the comment if it names an element, else the nearest mass within 1."""
     out: dict[int, str] = {}
@@ -39,7 +43,7 @@ def read_lammps(spark: SparkSession, path: str, data_path: str | None = None, in
     """
     kinds = {}
     if data_path:
-        kinds = type_symbols("\n".join(r["value"] for r in spark.read.text(data_path).where(~F.col("value").rlike(r"^\s*\d+\s+\d+\s+\d+")).limit(10_000).collect()))
+        kinds = type_symbols("\n".join(r["value"] for r in spark.read.text(data_path).where(F.col("value").rlike(MASS_LINES)).collect()))
     rec = numbered(spark, path, "ITEM: TIMESTEP\n").where(F.trim("value") != "")
     rec = rec.withColumn("lines", F.split("value", r"\r?\n")).drop("value")
     # Text before the first frame makes no record of its own in a dump, so numbers are dense but for a first empty one.

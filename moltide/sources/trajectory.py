@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import os
 from dataclasses import dataclass, replace
 
@@ -12,14 +11,15 @@ from pyspark.sql import functions as F
 from moltide.functions import geom
 from moltide.functions.lattice import formula_atoms
 from moltide.operators import select as S
+from moltide.session import exists, listed
 from moltide.sources import lammps, text_lines, xyz
 
 
-def resolve(path: str) -> dict[str, str | None]:
+def resolve(spark: SparkSession, path: str) -> dict[str, str | None]:
     """The files of a path: a dump with its data file, or an XYZ file with its cell, force and velocity side files. Names decide in sorted order."""
     found: dict[str, str | None] = dict.fromkeys(("dump", "data", "xyz", "cell", "frc", "vel"))
-    if os.path.isdir(path) and not glob.glob(os.path.join(path, "part-*")):
-        names = sorted(glob.glob(os.path.join(path, "*")))
+    names = listed(spark, path)
+    if names is not None and not any(os.path.basename(n).startswith("part-") for n in names):
         first = lambda *ends: next((n for n in names if n.endswith(ends)), None)
         found |= {"dump": first(".lammpstrj", ".dump", ".lammps"), "data": first(".data"), "cell": first(".cell"), "frc": first("frc-1.xyz"), "vel": first("vel-1.xyz"), "xyz": next((n for n in names if n.endswith(".xyz") and not n.endswith(("frc-1.xyz", "vel-1.xyz"))), None)}
         if not (found["dump"] and found["data"]) and found["xyz"]:
@@ -28,7 +28,7 @@ def resolve(path: str) -> dict[str, str | None]:
             raise FileNotFoundError(f"no trajectory in {path}")
     elif path.endswith((".lammpstrj", ".dump", ".lammps")):
         sibling = os.path.splitext(path)[0] + ".data"
-        found |= {"dump": path, "data": sibling if os.path.exists(sibling) else None}
+        found |= {"dump": path, "data": sibling if exists(spark, sibling) else None}
     else:
         found["xyz"] = path
     return found
@@ -45,7 +45,7 @@ class Trajectory:
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str, index=":", timestep: float = 5.0, cell=None, cell_path: str | None = None, frc_path: str | None = None, vel_path: str | None = None) -> Trajectory:
-        f = resolve(path)
+        f = resolve(spark, path)
         if f["dump"]:
             atoms, frames = lammps.read_lammps(spark, f["dump"], f["data"], index, timestep)
         else:
@@ -54,23 +54,40 @@ class Trajectory:
         return cls(atoms, frames, timestep)
 
     @classmethod
-    def from_dataframe(cls, atoms: DataFrame, frames: DataFrame, timestep: float = 1.0, columns: dict[str, str] | None = None) -> Trajectory:
-        return cls(atoms.withColumnsRenamed(columns or {}), frames, timestep)
+    def from_dataframe(cls, atoms: DataFrame, frames: DataFrame, timestep: float = 1.0, columns: dict[str, str] | None = None, cell=None, basis: str = "Cartesian") -> Trajectory:
+        """Atoms under other column names; a cell (3 rows) overrides those of the frames, and then forces, velocities and energy are left out.
+
+        basis "Fractional": positions are fractions of the cell.
+        """
+        a = atoms.withColumnsRenamed(columns or {})
+        if cell is not None:
+            frames = frames.withColumn("lattice", F.array(*[F.lit(float(v)) for row in cell for v in row])).withColumn("energy", F.lit(None).cast("double"))
+            a = a.drop(*[v + c for v in "fv" for c in "xyz"])
+        if basis not in ("Cartesian", "Fractional"):
+            raise ValueError(f"basis is Cartesian or Fractional, not {basis!r}")
+        if basis == "Fractional":
+            r = geom.to_cart(geom.v(""))
+            on = geom.frame_cells(frames).on(a, *geom.CELL)
+            a = on.select(*[r["xyz".index(c)].alias(c) if c in ("x", "y", "z") else F.col(c) for c in a.columns])
+        return cls(a, frames, timestep)
 
     @classmethod
-    def from_memory(cls, spark: SparkSession, symbols: str | list[str], positions, cell=None, timestep: float = 1.0) -> Trajectory:
-        """One frame, or several of the same atoms, of Cartesian positions; symbols may be a formula."""
+    def from_memory(cls, spark: SparkSession, symbols: str | list[str], positions, cell=None, timestep: float = 1.0, forces=None, velocities=None, energy: float | None = None) -> Trajectory:
+        """One frame, or several of the same atoms, of Cartesian positions; symbols may be a formula. forces, velocities (columns
+        fx.., vx..) are shaped as the positions; energy is that of every frame."""
         names = formula_atoms(symbols) if isinstance(symbols, str) else list(symbols)
         if positions and not hasattr(positions[0][0], "__len__"):
             positions = [positions]
         for p in positions:
             if len(p) != len(names):
                 raise ValueError("as many positions as symbols are needed")
-        rows = [("memory", f, i, s, *map(float, r)) for f, p in enumerate(positions) for i, (s, r) in enumerate(zip(names, p, strict=True))]
+        extra = {k: v if not v or hasattr(v[0][0], "__len__") else [v] for k, v in (("f", forces), ("v", velocities)) if v is not None}
+        more = lambda f, i: [float(x) for v in extra.values() for x in v[f][i]]
+        rows = [("memory", f, i, s, *map(float, r), *more(f, i)) for f, p in enumerate(positions) for i, (s, r) in enumerate(zip(names, p, strict=True))]
         flat = None if cell is None else [float(v) for row in cell for v in row]
         return cls(
-            spark.createDataFrame(rows, "run_id string, frame int, at_idx int, symb string, x double, y double, z double"),
-            spark.createDataFrame([("memory", f, f * timestep, None, len(names), flat) for f in range(len(positions))], "run_id string, frame int, t_fs double, energy double, natoms int, lattice array<double>"),
+            spark.createDataFrame(rows, "run_id string, frame int, at_idx int, symb string, x double, y double, z double" + "".join(f", {k}{c} double" for k in extra for c in "xyz")),
+            spark.createDataFrame([("memory", f, f * timestep, energy, len(names), flat) for f in range(len(positions))], "run_id string, frame int, t_fs double, energy double, natoms int, lattice array<double>"),
             timestep,
         )
 
@@ -85,7 +102,7 @@ class Trajectory:
         return replace(self, atoms=renumber(self.atoms), frames=renumber(self.frames), timestep=self.timestep * step)
 
     def cells(self) -> geom.Cells:
-        return geom.cells(self.frames)
+        return geom.frame_cells(self.frames)
 
     def calib(self) -> Trajectory:
         return replace(self, atoms=S.calib(self.atoms))

@@ -7,7 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moltide.operators.parse_faults import block_starts, cell_numbers, cell_text, fields, judged, number, placed
+from moltide.operators.parse_faults import STRETCH, block_starts, cell_numbers, cell_text, fields, judged, number, placed
+from moltide.session import exists
 from moltide.sources.text_lines import numbered, selected
 
 
@@ -67,13 +68,13 @@ def read_extxyz(spark: SparkSession, path: str | list[str], index=":", timestep:
     return atoms, frames
 
 
-def free_path(path: str) -> str:
-    """The path itself, or with -1, -2, ... before its ending: nothing is overwritten."""
-    if not os.path.exists(path):
+def free_path(spark: SparkSession, path: str) -> str:
+    """The path itself, or with -1, -2, ... before its ending: nothing is overwritten. Any storage that Spark reaches."""
+    if not exists(spark, path):
         return path
     base, end = os.path.splitext(path)
     i = 1
-    while os.path.exists(f"{base}-{i}{end}"):
+    while exists(spark, f"{base}-{i}{end}"):
         i += 1
     return f"{base}-{i}{end}"
 
@@ -96,7 +97,7 @@ def extxyz_lines(atoms: DataFrame, frames: DataFrame) -> DataFrame:
 
 def write_extxyz(atoms: DataFrame, frames: DataFrame, path: str) -> str:
     """Write a directory of text parts whose names sort in frame order; returns the path used. Atoms must be numbered densely."""
-    path = free_path(path)
+    path = free_path(atoms.sparkSession, path)
     extxyz_lines(atoms, frames).repartitionByRange("run_id", "frame").sortWithinPartitions("run_id", "frame", "line").select("value").write.text(path)
     return path
 
@@ -108,8 +109,9 @@ def read_cell_file(spark: SparkSession, path: str) -> DataFrame:
     v = lambda i: number(F.get("f", i))
     zero = F.lit(0.0)
     cell = F.when(F.size("f") >= 11, F.array(*[v(i) for i in range(2, 11)])).when(F.size("f") == 3, F.array(v(0), zero, zero, zero, v(1), zero, zero, zero, v(2)))
-    # Comments may stand between rows: rows are numbered among themselves; a side file has one short row per frame.
-    rows = t.where(cell.isNotNull()).select(cell.alias("lattice"), (F.row_number().over(Window.orderBy("no")) - 1).cast("int").alias("frame"))
+    # Comments may stand between rows: rows are numbered among themselves, inside stretches first.
+    rows = t.where(cell.isNotNull()).select(F.lit(0).alias("file_id"), F.floor(F.col("no") / STRETCH).alias("k"), F.col("no").alias("line_no"), cell.alias("lattice"))
+    rows = rows.join(frame_numbers(rows).select(F.col("block").alias("line_no"), "frame"), "line_no").select("lattice", "frame")
     one = rows.limit(2).count() == 1
     return rows.select(F.lit(None).cast("int").alias("frame") if one else F.col("frame"), "lattice")
 

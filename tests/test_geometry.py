@@ -236,3 +236,26 @@ def test_fits_and_lattice():
     assert np.allclose(b @ b.T, np.eye(3)) and np.allclose(lattice.change_basis([[1, 1, 0]], cell, b)[0][1:], 0)
     assert lattice.formula_atoms("C2H5OH") == ["C", "C", "H", "H", "H", "H", "H", "O", "H"] and lattice.element_of("O12") == "O"
     assert lattice.windows([1, 2, 3]) == [[1, 2], [2, 3]] and lattice.windows([1], 2) == [] and lattice.gcd_of([4, 6]) == 2
+
+
+def test_cells_that_change_from_frame_to_frame(spark):
+    """A run whose cell grows: nearest images, wrapping and densities go by each frame's own cell; frames without one take the run's first."""
+    from moltide.functions import geom
+    from moltide.operators import distributions as D
+    from moltide.operators import pairs as P
+    from moltide.operators import select as S
+
+    cube = lambda a: [a, 0.0, 0.0, 0.0, a, 0.0, 0.0, 0.0, a]
+    frames = spark.createDataFrame([("r", 0, cube(10.0)), ("r", 1, cube(12.0)), ("r", 2, None), ("s", 0, cube(10.0))], "run_id string, frame int, lattice array<double>")
+    rows = [(r, f, i, "H", x, 0.0, 0.0) for r, f in (("r", 0), ("r", 1), ("r", 2), ("s", 0)) for i, x in ((0, 0.5), (1, 9.5))]
+    a = spark.createDataFrame(rows, "run_id string, frame int, at_idx int, symb string, x double, y double, z double")
+    c = geom.frame_cells(frames)
+    near = {(r["run_id"], r["frame"]): round(r["dist"], 9) for r in P.neighbours(a, a, c, 4.0, True).collect()}
+    assert near == {("r", 0): 1.0, ("r", 1): 3.0, ("r", 2): 1.0, ("s", 0): 1.0}
+    v = P.vectors(P.positions(a, P.tuples(spark, [(0, 1)])), c)
+    assert {(r["run_id"], r["frame"]): round(r["dx"], 9) for r in v.collect()} == {("r", 0): -1.0, ("r", 1): -3.0, ("r", 2): -1.0, ("s", 0): -1.0}
+    w = S.wrap(a.withColumn("x", a.x + 10.0), c).where("at_idx = 0")
+    assert {(r["run_id"], r["frame"]): round(r["x"], 6) for r in w.collect()} == {("r", 0): 0.5, ("r", 1): 10.5, ("r", 2): 0.5, ("s", 0): 0.5}
+    g = D.rdf(a, a, c, True, 4, 4.0).where("run_id = 'r' AND bin = 1").first()
+    assert g["count"] == 2 and abs(g["g"] - 2 / ((2 / 1000 + 1 / 1728) * 4 / 3 * math.pi * 7)) < 1e-9
+    assert c.first().own is None and c.own is not None and geom.frame_cells(frames.where("run_id = 's'")).own is None
