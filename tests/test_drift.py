@@ -80,3 +80,31 @@ def test_rate_over_frames_tells_a_clock(spark):
         rows.append((i, 1, frame // 3, frame, text, "H 1 2 3", t, t))
     got = sorted((r["field"], r["change"]) for r in DR.changes(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [("clock", "renamed"), ("heat", "renamed")]
+
+
+def test_table_follows_renames_by_values(spark):
+    files = [
+        (1, 1, 0, "e_sys=-812.25 frame=1 gauge=0.5"),  # not known yet
+        (1, 2, 30, "energy=-812.5 frame=2 flux=0.5"),
+        (1, 3, 31, "h_total=-811.75 frame=3 flux=0.5"),
+        (1, 4, 60, "h_sum=-812.0 frame=4 flux=0.5"),
+        (1, 6, 61, "h_sum=-812.0 h_total=7.5 frame=5 flux=0.5"),  # the name given up stands for something else
+        (2, 5, 0, "h_total=3.0"),
+    ]
+    rows = {r["file_id"]: r for r in DR.consistent_table(table(spark, files)).collect()}
+    assert [rows[i]["energy"] for i in (1, 2, 3, 4, 6, 5)] == [-812.25, -812.5, -811.75, -812.0, -812.0, None]
+    assert [[tuple(v) for v in rows[i]["other_values"]] for i in (1, 2, 3, 4, 6, 5)] == [
+        [("gauge", "gauge", "0.5")], [("gauge", "flux", "0.5")], [("gauge", "flux", "0.5")], [("gauge", "flux", "0.5")], [("h_total", "h_total", "7.5"), ("gauge", "flux", "0.5")], [("h_total", "h_total", "3.0")],
+    ]
+
+
+def test_table_keeps_every_value(spark):
+    files = [(1, 1, 0, 'energy="-2.5 eV" e=-3.0 time="1.5 ps" frame=12.0 temp=3.0D2 odd=1 odd=2 Properties=species:I:1:pos:R:3:tag:S:1'), (None, 2, 0, "energy=1.0"), (1, None, 0, "energy=2.0")]
+    rows = {r["file_id"]: r for r in DR.consistent_table(table(spark, files, "8 1.0 x 3.0 A7")).collect()}
+    r = rows[1]
+    assert (r["energy"], r["time_fs"], r["frame_no"], r["temperature_k"], r["species"], r["position"], r["tag"]) == (-2.5, None, 12, 300.0, "O", None, None)
+    assert r["failed_casts"] == ["time", "properties.pos", "properties.tag"] and r["other_fields"] == ["odd"]
+    assert [tuple(v) for v in r["other_values"]] == [
+        ("energy", "energy", "-2.5 eV"), ("energy", "e", "-3.0"), ("time", "time", "1.5 ps"), ("odd", "odd", "1"), ("odd", "odd", "2"), ("properties.pos", "properties.pos", "1.0 x 3.0"), ("properties.tag", "properties.tag", "A7"),
+    ]
+    assert rows[2]["energy"] == 1.0 and rows[None]["energy"] == 2.0
