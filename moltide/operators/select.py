@@ -19,15 +19,22 @@ KEY = ["run_id", "frame"]
 FARTHEST, HIGHEST = 1e4, 1e7
 
 
-def cleaned(atoms: DataFrame, limit: float = FARTHEST) -> DataFrame:
-    """Each record once (rows equal but for ingested_at), with finite coordinates below the limit.
+def distinct_signed(df: DataFrame, *numbers: str) -> DataFrame:
+    """distinct(), which turns -0.0 into 0.0, but for the numbers (or lists of them) named, which stay as they are."""
+    g = df.groupBy(*df.columns).agg(*[F.first(c).alias(f"_{c}") for c in numbers])
+    return g.select(*[F.col(f"_{c}").alias(c) if c in numbers else F.col(c) for c in df.columns])
+
+
+def cleaned(atoms: DataFrame, limit: float = FARTHEST, signed: bool = False) -> DataFrame:
+    """Each record once (rows equal but for ingested_at), with finite coordinates below the limit; signed keeps -0.0.
 
     One shuffle, by (run_id, frame): what is later grouped by frames needs no other.
     """
     ok = F.col("run_id").isNotNull() & F.col("frame").isNotNull() & F.col("at_idx").isNotNull()
     for c in "xyz":
         ok = ok & F.col(c).isNotNull() & (F.abs(c) < limit)
-    return atoms.where(ok).select("row_id", "run_id", "frame", "at_idx", "symb", "x", "y", "z").repartition("run_id", "frame").distinct()
+    a = atoms.where(ok).select("row_id", "run_id", "frame", "at_idx", "symb", "x", "y", "z").repartition("run_id", "frame")
+    return distinct_signed(a, "x", "y", "z") if signed else a.distinct()
 
 
 def by_symbol(atoms: DataFrame, *symbols: str) -> DataFrame:

@@ -190,9 +190,10 @@ def atom_table(spark, d):
 
 def xyz_export(spark, d):
     """The lines of the extended XYZ form of every record."""
-    a = atoms(spark, d).where(F.col("symb").isNotNull())
-    e = F.when(F.abs("energy") < S.HIGHEST, F.col("energy"))
-    return extxyz_lines(a, frames(spark, d).withColumn("energy", e)).select("run_id", "frame", F.col("line").cast("int").alias("line"), "value")
+    a = S.cleaned(table(spark, d, "atoms"), signed=True).where(F.col("symb").isNotNull())
+    e = F.when(F.abs("energy") < S.HIGHEST, F.col("energy")).alias("energy")
+    f = table(spark, d, "frames").where(F.col("run_id").isNotNull() & F.col("frame").isNotNull()).select("frame_id", "run_id", "frame", "t_fs", e, "lattice")
+    return extxyz_lines(a, S.distinct_signed(f, "t_fs", "energy", "lattice")).select("run_id", "frame", F.col("line").cast("int").alias("line"), "value")
 
 
 def pairs_scalar_list(spark, d):
